@@ -1,3 +1,3 @@
 """Registered queries, one module per area."""
 
-from flowguard.plans.catalog import flows  # noqa: F401
+from flowguard.plans.catalog import flows, telemetry  # noqa: F401
