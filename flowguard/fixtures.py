@@ -36,6 +36,24 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipda
 FROM {lineitem}
 """
 
+# The six leading columns identify a row; written as one text id.
+ROW_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(CAST(l_shipdate AS DATE) AS STRING))"
+
+LABELLED = f"""
+SELECT {ROW_ID} AS row_id, Label, f_quantity, f_price, f_nullable, f_skewed, f_constant FROM ({FLOW_TABLE}) t
+"""
+
+# Labels with stand-in detector scores.
+SCORED = f"""
+SELECT *, (if_score + ae_score + svm_score) / 3e0 AS prob,
+  CASE WHEN (if_score + ae_score + svm_score) / 3e0 >= 0.5e0 THEN 1 ELSE 0 END AS pred
+FROM (SELECT {ROW_ID} AS row_id, CASE WHEN l_returnflag='R' THEN 0 ELSE 1 END AS label,
+  CASE WHEN l_returnflag='R' THEN 'Benign' WHEN l_returnflag='A' THEN 'Syn' ELSE 'DrDoS_DNS' END AS attack_type,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'val' ELSE 'test' END AS split,
+  least(1e0, l_quantity / 50e0) AS if_score, l_discount * 10e0 AS ae_score, least(1e0, l_extendedprice / 100000e0) AS svm_score
+  FROM {{lineitem}}) s
+"""
+
 SOCKETS = """
 SELECT CAST(floor(({US} - 1704067200000000) / 3600000000.0) AS BIGINT) AS snap, concat('host-', user_id % 5) AS host,
   CASE WHEN user_id % 3 = 0 THEN 'udp' ELSE 'tcp' END AS protocol,
@@ -94,6 +112,8 @@ FROM (SELECT DISTINCT concat('198.51.100.', user_id % 40) AS ip, user_id % 40 AS
 VIEWS = {
     "packets": PACKETS,
     "flow_table": FLOW_TABLE,
+    "labelled": LABELLED,
+    "scored": SCORED,
     "sockets": SOCKETS,
     "counters": COUNTERS,
     "iface_info": IFACE_INFO,

@@ -9,9 +9,9 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """num / den, 0.0 where the divisor is not positive."""
-    return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+def safe_ratio(num: str, den: str) -> str:
+    """SQL text of num / den, 0.0 where the divisor is not positive."""
+    return f"if({den} > 0, CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE), 0D)"
 
 
 def stats_block(prefix: str, value: Column | str, when: Column | None = None) -> list[Column]:
@@ -31,14 +31,14 @@ def stats_block(prefix: str, value: Column | str, when: Column | None = None) ->
     ]
 
 
-def moments_variance(n: Column, total: Column, squares: Column) -> Column:
-    """Sample variance from exact integer moments: (n*Sum x^2 - (Sum x)^2) / (n*(n-1)), 0 below two values.
+def moments_variance(n: str, total: str, squares: str) -> str:
+    """SQL text of the sample variance from exact integer moments, 0 below two values.
 
-    ``total`` and ``squares`` are DECIMAL, so the cancelling difference is exact and the
-    result is the same double whatever the order in which partial sums were merged.
+    (n * Sum x^2 - (Sum x)^2) / (n * (n - 1)) with a DECIMAL numerator: the cancelling difference is
+    exact, so the result is the same double whatever the order in which partial sums were merged.
     """
-    nd = n.cast("decimal(12,0)")
-    t = total.cast("decimal(19,0)")
-    spread = (nd * squares.cast("decimal(28,0)")).cast("decimal(38,0)") - (t * t).cast("decimal(38,0)")
-    nn = n.cast("double")
-    return F.when(n > 1, spread.cast("double") / (nn * (nn - 1))).otherwise(F.lit(0.0))
+    spread = (
+        f"CAST(CAST({n} AS DECIMAL(12,0)) * CAST({squares} AS DECIMAL(28,0)) AS DECIMAL(38,0))"
+        f" - CAST(CAST({total} AS DECIMAL(19,0)) * CAST({total} AS DECIMAL(19,0)) AS DECIMAL(38,0))"
+    )
+    return f"if({n} > 1, CAST({spread} AS DOUBLE) / (CAST({n} AS DOUBLE) * (CAST({n} AS DOUBLE) - 1)), 0D)"

@@ -102,42 +102,44 @@ def _with_inner_gaps(sliced: DataFrame) -> DataFrame:
     )
 
 
+def _exprs(texts: list[str]) -> list[Column]:
+    # SQL text keeps plan building to one gateway call per column.
+    return [F.expr(t) for t in texts]
+
+
 def _cell_aggregates() -> list[Column]:
-    ts, length, header = F.col("ts_us"), F.col("payload_len").cast("long"), F.col("header_len").cast("long")
-    flags = F.col("tcp_flags")
     out = [
-        F.min("ts_us").alias("first_us"),
-        F.max("ts_us").alias("last_us"),
-        F.min(F.struct("ts_us", "pkt_id", "from_a")).alias("opening"),
+        "min(ts_us) AS first_us",
+        "max(ts_us) AS last_us",
+        "min(struct(ts_us, pkt_id, from_a)) AS opening",
     ]
-    for side in SIDES:
-        mine = F.col("from_a") if side == "a" else ~F.col("from_a")
+    for side, mine in (("a", "from_a"), ("b", "NOT from_a")):
+        length, header = "CAST(payload_len AS BIGINT)", "CAST(header_len AS BIGINT)"
         out += [
-            F.count_if(mine).alias(f"n_{side}"),
-            F.sum(F.when(mine, length)).alias(f"bytes_{side}"),
-            F.sum(F.when(mine, length * length)).alias(f"bytes_sq_{side}"),
-            F.min(F.when(mine, length)).alias(f"len_min_{side}"),
-            F.max(F.when(mine, length)).alias(f"len_max_{side}"),
-            F.sum(F.when(mine, header)).alias(f"header_{side}"),
-            F.min(F.when(mine, header)).alias(f"header_min_{side}"),
-            F.count_if(mine & (length > 0)).alias(f"data_{side}"),
-            F.count_if(mine & (flags.bitwiseAND(TCP_PSH) != 0)).alias(f"psh_{side}"),
-            F.min(F.when(mine, ts)).alias(f"first_us_{side}"),
-            F.max(F.when(mine, ts)).alias(f"last_us_{side}"),
-            F.min(F.when(mine, F.struct(ts, F.col("pkt_id"), F.col("window_size")))).alias(f"win_{side}"),
+            f"count_if({mine}) AS n_{side}",
+            f"sum({length}) FILTER (WHERE {mine}) AS bytes_{side}",
+            f"sum({length} * {length}) FILTER (WHERE {mine}) AS bytes_sq_{side}",
+            f"min({length}) FILTER (WHERE {mine}) AS len_min_{side}",
+            f"max({length}) FILTER (WHERE {mine}) AS len_max_{side}",
+            f"sum({header}) FILTER (WHERE {mine}) AS header_{side}",
+            f"min({header}) FILTER (WHERE {mine}) AS header_min_{side}",
+            f"count_if({mine} AND payload_len > 0) AS data_{side}",
+            f"count_if({mine} AND (tcp_flags & {TCP_PSH}) <> 0) AS psh_{side}",
+            f"min(ts_us) FILTER (WHERE {mine}) AS first_us_{side}",
+            f"max(ts_us) FILTER (WHERE {mine}) AS last_us_{side}",
+            f"min(struct(ts_us, pkt_id, window_size)) FILTER (WHERE {mine}) AS win_{side}",
         ]
     for gap in ("gap", "gap_a", "gap_b"):
-        g = F.col(gap)
         out += [
-            F.count(g).alias(f"{gap}_n"),
-            F.sum(g).alias(f"{gap}_sum"),
-            F.sum(g * g).alias(f"{gap}_sq"),  # <= width^2, fits a long
-            F.min(g).alias(f"{gap}_min"),
-            F.max(g).alias(f"{gap}_max"),
+            f"count({gap}) AS {gap}_n",
+            f"sum({gap}) AS {gap}_sum",
+            f"sum({gap} * {gap}) AS {gap}_sq",  # <= width^2, fits a long
+            f"min({gap}) AS {gap}_min",
+            f"max({gap}) AS {gap}_max",
         ]
     for name, mask in (("syn", TCP_SYN), ("ack", TCP_ACK), ("urg", TCP_URG), ("rst", TCP_RST)):
-        out.append(F.count_if(flags.bitwiseAND(mask) != 0).alias(name))
-    return out
+        out.append(f"count_if((tcp_flags & {mask}) <> 0) AS {name}")
+    return _exprs(out)
 
 
 def flow_cells(
@@ -233,49 +235,45 @@ def inter_arrival(packets: DataFrame, timeout_s: float = FLOW_TIMEOUT_S) -> Data
     return sessionize(packets, timeout_s)
 
 
-def _total(c: Column) -> Column:
-    return F.coalesce(F.sum(c.cast(DEC)), F.lit(0).cast(DEC))
+def _squares(step: str) -> str:
+    return f"coalesce(sum(CAST(CAST({step} AS DECIMAL(18,0)) * CAST({step} AS DECIMAL(18,0)) AS {DEC})), 0)"
 
 
 def _flow_aggregates() -> list[Column]:
     out = [
-        F.min("first_us").alias("start_us"),
-        F.max("last_us").alias("last_us"),
-        F.first("fwd_is_a").alias("fwd_is_a"),
-        F.first("flow_opening.pkt_id").alias("flow_id"),
-        F.count("idle_us").alias("idle_count"),
-        F.min("active_us").alias("active_min"),
-        F.max("active_us").alias("active_max"),
-        F.sum("active_us").alias("active_sum"),
-        _total(F.col("active_us").cast(DEC) * F.col("active_us").cast("decimal(18,0)")).alias("active_sq"),
-        F.min("idle_us").alias("idle_min"),
-        F.max("idle_us").alias("idle_max"),
-        F.sum("idle_us").alias("idle_sum"),
-        _total(F.col("idle_us").cast(DEC) * F.col("idle_us").cast("decimal(18,0)")).alias("idle_sq"),
+        "min(first_us) AS start_us",
+        "max(last_us) AS last_us",
+        "first(fwd_is_a) AS fwd_is_a",
+        "first(flow_opening.pkt_id) AS flow_id",
+        "count(idle_us) AS idle_count",
     ]
+    for period in ("active", "idle"):
+        step = f"{period}_us"
+        out += [
+            f"min({step}) AS {period}_min",
+            f"max({step}) AS {period}_max",
+            f"sum({step}) AS {period}_sum",
+            f"{_squares(step)} AS {period}_sq",
+        ]
     for side in SIDES:
-        for name in ("n", "bytes", "header", "data", "psh"):
-            out.append(F.coalesce(F.sum(f"{name}_{side}"), F.lit(0)).alias(f"{name}_{side}"))
+        out += [f"coalesce(sum({n}_{side}), 0) AS {n}_{side}" for n in ("n", "bytes", "header", "data", "psh")]
         out += [
-            _total(F.col(f"bytes_sq_{side}")).alias(f"bytes_sq_{side}"),
-            F.min(f"len_min_{side}").alias(f"len_min_{side}"),
-            F.max(f"len_max_{side}").alias(f"len_max_{side}"),
-            F.min(f"header_min_{side}").alias(f"header_min_{side}"),
-            F.min(f"win_{side}").alias(f"win_{side}"),
+            f"coalesce(sum(CAST(bytes_sq_{side} AS {DEC})), 0) AS bytes_sq_{side}",
+            f"min(len_min_{side}) AS len_min_{side}",
+            f"max(len_max_{side}) AS len_max_{side}",
+            f"min(header_min_{side}) AS header_min_{side}",
+            f"min(win_{side}) AS win_{side}",
         ]
     for gap, link in (("gap", "link"), ("gap_a", "link_a"), ("gap_b", "link_b")):
-        step = F.col(link)
-        square = step.cast("decimal(18,0)") * step.cast("decimal(18,0)")
         out += [
-            (F.sum(f"{gap}_n") + F.count(step)).alias(f"{gap}_n"),
-            (F.coalesce(F.sum(f"{gap}_sum"), F.lit(0)) + F.coalesce(F.sum(step), F.lit(0))).alias(f"{gap}_sum"),
-            (_total(F.col(f"{gap}_sq")) + _total(square)).cast(DEC).alias(f"{gap}_sq"),
-            F.least(F.min(f"{gap}_min"), F.min(step)).alias(f"{gap}_min"),
-            F.greatest(F.max(f"{gap}_max"), F.max(step)).alias(f"{gap}_max"),
+            f"sum({gap}_n) + count({link}) AS {gap}_n",
+            f"coalesce(sum({gap}_sum), 0) + coalesce(sum({link}), 0) AS {gap}_sum",
+            f"CAST(coalesce(sum(CAST({gap}_sq AS {DEC})), 0) + {_squares(link)} AS {DEC}) AS {gap}_sq",
+            f"least(min({gap}_min), min({link})) AS {gap}_min",
+            f"greatest(max({gap}_max), max({link})) AS {gap}_max",
         ]
-    for name in ("syn", "ack", "urg", "rst"):
-        out.append(F.sum(name).alias(name))
-    return out
+    out += [f"sum({n}) AS {n}" for n in ("syn", "ack", "urg", "rst")]
+    return _exprs(out)
 
 
 def flow_table(
@@ -291,56 +289,29 @@ def flow_table(
 
 
 def _oriented(flows: DataFrame) -> DataFrame:
-    fwd_is_a = F.col("fwd_is_a")
-
-    def pick(name: str, forward: bool) -> Column:
-        a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
-        return F.when(fwd_is_a, a).otherwise(b) if forward else F.when(fwd_is_a, b).otherwise(a)
-
-    cols: dict[str, Column] = {
-        "src_ip": pick("ip", True), "src_port": pick("port", True),
-        "dst_ip": pick("ip", False), "dst_port": pick("port", False),
-    }
-    for d, fwd in (("fwd", True), ("bwd", False)):
-        for name in ("n", "bytes", "bytes_sq", "len_min", "len_max", "header", "header_min", "data", "psh"):
-            cols[f"{d}_{name}"] = pick(name, fwd)
-        cols[f"{d}_win"] = F.coalesce(pick("win", fwd)["window_size"], F.lit(0))
-        for stat in ("n", "sum", "sq", "min", "max"):
-            a, b = F.col(f"gap_a_{stat}"), F.col(f"gap_b_{stat}")
-            cols[f"{d}_iat_{stat}"] = F.when(fwd_is_a == F.lit(fwd), a).otherwise(b)
-    return flows.select(
-        "flow_id",
-        *[c.alias(n) for n, c in cols.items() if n in ("src_ip", "src_port", "dst_ip", "dst_port")],
-        "protocol",
-        "start_us",
-        "last_us",
-        (F.col("n_a") + F.col("n_b")).alias("packets"),
-        *[c.alias(n) for n, c in cols.items() if n not in ("src_ip", "src_port", "dst_ip", "dst_port")],
-        *[F.col(f"gap_{s}").alias(f"iat_{s}") for s in ("n", "sum", "sq", "min", "max")],
-        "syn", "ack", "urg", "rst",
-        "idle_count", "active_min", "active_max", "active_sum", "active_sq",
-        "idle_min", "idle_max", "idle_sum", "idle_sq",
-    )
-
-
-def _feature_columns() -> dict[str, Column]:
-    c = F.col
-    zero = F.lit(0.0)
-
-    def dbl(name: str) -> Column:
-        return F.coalesce(c(name).cast("double"), zero)
-
-    def mean(total: str, n: str) -> Column:
-        return safe_ratio(F.coalesce(c(total), F.lit(0)), c(n))
-
-    def std(n: str, total: str, sq: str) -> Column:
-        return F.sqrt(moments_variance(c(n), c(total), c(sq)))
-
-    seconds = (c("last_us") - c("start_us")).cast("double") / 1_000_000.0
-    total_bytes = c("fwd_bytes") + c("bwd_bytes")
-    total_sq = c("fwd_bytes_sq") + c("bwd_bytes_sq")
-    length_var = moments_variance(c("packets"), total_bytes, total_sq)
-    f: dict[str, Column] = {"Protocol": dbl("protocol"), "Flow Duration": (c("last_us") - c("start_us")).cast("double")}
+    out = ["flow_id"]
+    for d, near, far in (("src", "a", "b"), ("dst", "b", "a")):
+        out += [f"if(fwd_is_a, {n}_{near}, {n}_{far}) AS {d}_{n}" for n in ("ip", "port")]
+    out += ["protocol", "start_us", "last_us", "n_a + n_b AS packets"]
+    for d, near, far in (("fwd", "a", "b"), ("bwd", "b", "a")):
+        names = ("n", "bytes", "bytes_sq", "len_min", "len_max", "header", "header_min", "data", "psh")
+        out += [f"if(fwd_is_a, {n}_{near}, {n}_{far}) AS {d}_{n}" for n in names]
+        out.append(f"coalesce(if(fwd_is_a, win_{near}, win_{far}).window_size, 0) AS {d}_win")
+        out += [f"if(fwd_is_a, gap_{near}_{m}, gap_{far}_{m}) AS {d}_iat_{m}" for m in ("n", "sum", "sq", "min", "max")]
+    out += [f"gap_{m} AS iat_{m}" for m in ("n", "sum", "sq", "min", "max")]
+    out += ["syn", "ack", "urg", "rst", "idle_count"]
+    out += [f"{p}_{m}" for p in ("active", "idle") for m in ("min", "max", "sum", "sq")]
+    return flows.selectExpr(*out)
+
+
+def _feature_texts() -> dict[str, str]:
+    def dbl(name: str) -> str:
+        return f"coalesce(CAST({name} AS DOUBLE), 0D)"
+
+    seconds = "(CAST(last_us - start_us AS DOUBLE) / 1000000D)"
+    total_bytes, total_sq = "(fwd_bytes + bwd_bytes)", "(fwd_bytes_sq + bwd_bytes_sq)"
+    length_var = moments_variance("packets", total_bytes, total_sq)
+    f = {"Protocol": dbl("protocol"), "Flow Duration": dbl("last_us - start_us")}
     f["Total Fwd Packets"] = f["Subflow Fwd Packets"] = dbl("fwd_n")
     f["Total Backward Packets"] = f["Subflow Bwd Packets"] = dbl("bwd_n")
     f["Fwd Packets Length Total"] = f["Subflow Fwd Bytes"] = dbl("fwd_bytes")
@@ -348,26 +319,26 @@ def _feature_columns() -> dict[str, Column]:
     for label, d in (("Fwd", "fwd"), ("Bwd", "bwd")):
         f[f"{label} Packet Length Max"] = dbl(f"{d}_len_max")
         f[f"{label} Packet Length Min"] = dbl(f"{d}_len_min")
-        f[f"{label} Packet Length Mean"] = f[f"Avg {label} Segment Size"] = mean(f"{d}_bytes", f"{d}_n")
-        f[f"{label} Packet Length Std"] = std(f"{d}_n", f"{d}_bytes", f"{d}_bytes_sq")
+        f[f"{label} Packet Length Mean"] = f[f"Avg {label} Segment Size"] = safe_ratio(f"{d}_bytes", f"{d}_n")
+        f[f"{label} Packet Length Std"] = f"sqrt({moments_variance(f'{d}_n', f'{d}_bytes', f'{d}_bytes_sq')})"
         f[f"{label} IAT Total"] = dbl(f"{d}_iat_sum")
         f[f"{label} Header Length"] = dbl(f"{d}_header")
-        f[f"{label} Packets/s"] = safe_ratio(c(f"{d}_n"), seconds)
+        f[f"{label} Packets/s"] = safe_ratio(f"{d}_n", seconds)
         f[f"Init {label} Win Bytes"] = dbl(f"{d}_win")
     for label, p in (("Flow", "iat"), ("Fwd", "fwd_iat"), ("Bwd", "bwd_iat")):
-        f[f"{label} IAT Mean"] = mean(f"{p}_sum", f"{p}_n")
-        f[f"{label} IAT Std"] = std(f"{p}_n", f"{p}_sum", f"{p}_sq")
+        f[f"{label} IAT Mean"] = safe_ratio(f"{p}_sum", f"{p}_n")
+        f[f"{label} IAT Std"] = f"sqrt({moments_variance(f'{p}_n', f'{p}_sum', f'{p}_sq')})"
         f[f"{label} IAT Max"] = dbl(f"{p}_max")
         f[f"{label} IAT Min"] = dbl(f"{p}_min")
     f["Flow Bytes/s"] = safe_ratio(total_bytes, seconds)
-    f["Flow Packets/s"] = safe_ratio(c("packets"), seconds)
-    f["Packet Length Min"] = F.least("fwd_len_min", "bwd_len_min").cast("double")
-    f["Packet Length Max"] = F.greatest("fwd_len_max", "bwd_len_max").cast("double")
-    f["Packet Length Mean"] = f["Avg Packet Size"] = safe_ratio(total_bytes, c("packets"))
-    f["Packet Length Std"] = F.sqrt(length_var)
+    f["Flow Packets/s"] = safe_ratio("packets", seconds)
+    f["Packet Length Min"] = "CAST(least(fwd_len_min, bwd_len_min) AS DOUBLE)"
+    f["Packet Length Max"] = "CAST(greatest(fwd_len_max, bwd_len_max) AS DOUBLE)"
+    f["Packet Length Mean"] = f["Avg Packet Size"] = safe_ratio(total_bytes, "packets")
+    f["Packet Length Std"] = f"sqrt({length_var})"
     f["Packet Length Variance"] = length_var
     f["URG Flag Count"] = dbl("urg")
-    f["Down/Up Ratio"] = safe_ratio(c("bwd_n"), c("fwd_n"))
+    f["Down/Up Ratio"] = safe_ratio("bwd_n", "fwd_n")
     f["Fwd Act Data Packets"] = dbl("fwd_data")
     f["Fwd Seg Size Min"] = dbl("fwd_header_min")
     f["Active Min"] = dbl("active_min")
@@ -380,8 +351,8 @@ FLOW_ID_COLUMNS = ["flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto
 
 def features_of(flows: DataFrame) -> DataFrame:
     """The 54 feature columns, in order, beside the flow's identity."""
-    cols = _feature_columns()
-    return flows.select(*FLOW_ID_COLUMNS, *[cols[name].alias(name) for name in FEATURE_NAMES])
+    texts = _feature_texts()
+    return flows.selectExpr(*FLOW_ID_COLUMNS, *[f"{texts[name]} AS `{name}`" for name in FEATURE_NAMES])
 
 
 def flow_features(
@@ -397,28 +368,23 @@ def flow_features(
 
 def safe_rates(flows: DataFrame) -> DataFrame:
     """Rates and ratios of a flow table, 0.0 for zero durations or counts."""
-    cols = _feature_columns()
+    texts = _feature_texts()
     names = {
         "Flow Packets/s": "packets_per_s", "Fwd Packets/s": "fwd_packets_per_s", "Bwd Packets/s": "bwd_packets_per_s",
         "Flow Bytes/s": "bytes_per_s", "Down/Up Ratio": "down_up_ratio", "Avg Packet Size": "avg_packet_size",
     }
-    return flows.select(*FLOW_ID_COLUMNS, *[cols[k].alias(v) for k, v in names.items()])
+    return flows.selectExpr(*FLOW_ID_COLUMNS, *[f"{texts[k]} AS {v}" for k, v in names.items()])
 
 
 def active_idle(flows: DataFrame) -> DataFrame:
     """Active and idle period statistics of a flow table; a flow without idle gaps has zeros."""
-    n = F.col("idle_count")
-
-    def block(p: str) -> list[Column]:
-        total = F.coalesce(F.col(f"{p}_sum"), F.lit(0))
-        return [
-            F.coalesce(F.col(f"{p}_min"), F.lit(0)).cast("double").alias(f"{p}_min"),
-            F.coalesce(F.col(f"{p}_max"), F.lit(0)).cast("double").alias(f"{p}_max"),
-            safe_ratio(total, n).alias(f"{p}_mean"),
-            F.sqrt(moments_variance(n, total, F.col(f"{p}_sq"))).alias(f"{p}_std"),
-        ]
-
-    return flows.select(*FLOW_ID_COLUMNS, n.alias("idle_count"), *block("active"), *block("idle"))
+    out = ["idle_count"]
+    for p in ("active", "idle"):
+        total = f"coalesce({p}_sum, 0)"
+        out += [f"CAST(coalesce({p}_{m}, 0) AS DOUBLE) AS {p}_{m}" for m in ("min", "max")]
+        out.append(f"{safe_ratio(total, 'idle_count')} AS {p}_mean")
+        out.append(f"sqrt({moments_variance('idle_count', total, f'{p}_sq')}) AS {p}_std")
+    return flows.selectExpr(*FLOW_ID_COLUMNS, *out)
 
 
 def flag_counts(flows: DataFrame) -> DataFrame:
@@ -457,16 +423,15 @@ def iat_stats(flows: DataFrame) -> DataFrame:
     """Inter-arrival statistics of the flow and of each direction."""
     out = []
     for p in ("iat", "fwd_iat", "bwd_iat"):
-        n = F.col(f"{p}_n")
         out += [
-            n.alias(f"{p}_count"),
-            F.col(f"{p}_sum").cast("double").alias(f"{p}_total"),
-            safe_ratio(F.col(f"{p}_sum"), n).alias(f"{p}_mean"),
-            F.sqrt(moments_variance(n, F.col(f"{p}_sum"), F.col(f"{p}_sq"))).alias(f"{p}_std"),
-            F.coalesce(F.col(f"{p}_min"), F.lit(0)).cast("double").alias(f"{p}_min"),
-            F.coalesce(F.col(f"{p}_max"), F.lit(0)).cast("double").alias(f"{p}_max"),
+            f"{p}_n AS {p}_count",
+            f"CAST({p}_sum AS DOUBLE) AS {p}_total",
+            f"{safe_ratio(f'{p}_sum', f'{p}_n')} AS {p}_mean",
+            f"sqrt({moments_variance(f'{p}_n', f'{p}_sum', f'{p}_sq')}) AS {p}_std",
+            f"CAST(coalesce({p}_min, 0) AS DOUBLE) AS {p}_min",
+            f"CAST(coalesce({p}_max, 0) AS DOUBLE) AS {p}_max",
         ]
-    return flows.select(*FLOW_ID_COLUMNS, *out)
+    return flows.selectExpr(*FLOW_ID_COLUMNS, *out)
 
 
 def active_flows(flows: DataFrame, at_us: list[int] | Column, timeout_s: float = FLOW_TIMEOUT_S) -> DataFrame:

@@ -212,18 +212,10 @@ def top_established(spark, sf):
     return tm.top_established(sockets(spark, sf), 5, ["snap", "event_id"])
 
 
-@query(
-    "sort_connections",
-    SOCKETS
-    + "SELECT row_number() OVER (ORDER BY coalesce(process_name, ''), event_id) AS pos, event_id FROM sockets ORDER BY pos LIMIT 100",
-)
+@query("sort_connections", SOCKETS + "SELECT event_id, process_name, pid, protocol, state FROM sockets ORDER BY coalesce(process_name, ''), event_id")
 def sort_connections(spark, sf):
-    # The order itself is checked on the first screenful; the sort runs over the whole table.
-    top = tm.sort_connections(sockets(spark, sf), "process_name", ["event_id"]).limit(100)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.coalesce("process_name", F.lit("")), "event_id")
-    return top.select(F.row_number().over(w).cast("long").alias("pos"), "event_id")
+    out = tm.sort_connections(sockets(spark, sf), "process_name", ["event_id"])
+    return out.select("event_id", "process_name", "pid", "protocol", "state")
 
 
 LIFETIMES = (
