@@ -1,3 +1,3 @@
 """Registered queries, one module per area."""
 
-from flowguard.plans.catalog import evaluation, flows, monitoring, preparation, telemetry  # noqa: F401
+from flowguard.plans.catalog import detectors, evaluation, flows, monitoring, preparation, telemetry  # noqa: F401
