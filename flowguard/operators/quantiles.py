@@ -2,7 +2,7 @@
 
 A column is narrowed to the value interval that must hold the wanted rank by counting rows in equal
 bins (partial counts per task, at most BINS rows per target reach the driver). Once the interval holds
-few enough rows, the value is read from those rows alone.
+few enough rows, the value is read from those rows alone: three passes for most data.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 100_000
 BINS = 1024
 
 
@@ -59,44 +59,51 @@ def exact_percentiles(
     return out
 
 
+def _inside(targets: dict[tuple[str, int], dict], with_bin: bool):
+    """One struct per target whose interval holds the row's value: (target, value[, bin])."""
+    marks = []
+    for j, ((name, _), t) in enumerate(targets.items()):
+        x = F.col(f"`{name}`").cast("double")
+        parts = [F.lit(j).alias("j"), x.alias("x")]
+        if with_bin:
+            share = (x - F.lit(t["lo"])) / F.lit(t["hi"] - t["lo"])
+            parts.append(F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+        marks.append(F.when((x >= t["lo"]) & (x <= t["hi"]), F.struct(*parts)))
+    return F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")
+
+
 def _order_statistics(df: DataFrame, targets: dict[tuple[str, int], dict], direct_rows: int) -> dict[tuple[str, int], float]:
     values: dict[tuple[str, int], float] = {}
-    open_ = dict(targets)
-    while open_:
-        for key, t in list(open_.items()):
-            if t["lo"] == t["hi"]:
-                values[key] = t["lo"]
-                del open_[key]
-            elif t["n"] <= direct_rows:
-                x = F.col(f"`{key[0]}`").cast("double")
-                inside = df.filter((x >= t["lo"]) & (x <= t["hi"])).select(x.alias("x"))
-                values[key] = inside.orderBy("x").offset(key[1] - t["below"]).limit(1).first()["x"]
-                del open_[key]
-        if not open_:
+    while True:
+        values |= {key: t["lo"] for key, t in targets.items() if t["lo"] == t["hi"]}
+        wide = {k: t for k, t in targets.items() if k not in values and t["n"] > direct_rows}
+        if not wide:
             break
-        keys = list(open_)
-        marks = []
-        for j, key in enumerate(keys):
-            t = open_[key]
-            x = F.col(f"`{key[0]}`").cast("double")
-            share = (x - F.lit(t["lo"])) / F.lit(t["hi"] - t["lo"])
-            bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-            marks.append(
-                F.when((x >= t["lo"]) & (x <= t["hi"]), F.struct(F.lit(j).alias("j"), bin_.alias("bin"), x.alias("x")))
-            )
-        hits = df.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m"))
-        counts = hits.groupBy("m.j", "m.bin").agg(F.count(F.lit(1)).alias("n"), F.min("m.x").alias("lo"), F.max("m.x").alias("hi"))
-        by_target: dict[int, list] = {}
-        for r in counts.collect():  # at most BINS rows per target
-            by_target.setdefault(r["j"], []).append(r)
-        for j, key in enumerate(keys):
-            t = open_[key]
-            below = t["below"]
-            for r in sorted(by_target[j], key=lambda r: r["bin"]):
+        counts = (
+            df.select(_inside(wide, True))
+            .groupBy("m.j", "m.bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("m.x").alias("lo"), F.max("m.x").alias("hi"))
+            .collect()  # at most BINS rows per target
+        )
+        for j, key in enumerate(wide):
+            below = targets[key]["below"]
+            for r in sorted((r for r in counts if r["j"] == j), key=lambda r: r["bin"]):
                 if key[1] < below + r["n"]:
-                    open_[key] = {"lo": r["lo"], "hi": r["hi"], "below": below, "n": r["n"]}
+                    targets[key] = {"lo": r["lo"], "hi": r["hi"], "below": below, "n": r["n"]}
                     break
                 below += r["n"]
+    narrow = {k: t for k, t in targets.items() if k not in values}
+    if narrow:
+        at = F.element_at(F.array(*[F.lit(k[1] - t["below"] + 1) for k, t in narrow.items()]), F.col("j") + 1)
+        found = (
+            df.select(_inside(narrow, False))
+            .groupBy(F.col("m.j").alias("j"))
+            .agg(F.array_sort(F.collect_list("m.x")).alias("xs"))  # at most direct_rows values per target
+            .select("j", F.element_at("xs", at).alias("x"))
+            .collect()
+        )
+        keys = list(narrow)
+        values |= {keys[r["j"]]: r["x"] for r in found}
     return values
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowguard.detectors.common import materialise, raw_scores
+from flowguard.detectors.common import materialise, raw_scores, spread
 from flowguard.detectors.iforest import IsolationForest
 from flowguard.detectors.ocsvm import OneClassSVM
 from flowguard.detectors.vae import VAE
@@ -42,8 +42,11 @@ class DetectorModel:
 
 def prepare(flows: DataFrame, config: TrainingConfig, id_columns: list[str]) -> tuple[DataFrame, pp.ScalerParams]:
     """Clean, log-transform, impute, select, split and scale: (rows with split and scaled features, scaler)."""
-    labelled = pp.binarise_label(pp.normalise_label(flows))
-    features = [c for c in pp.numeric_columns(pp.drop_listed(labelled)) if c not in (*id_columns, "label")]
+    labelled = pp.drop_listed(pp.binarise_label(pp.normalise_label(flows)))
+    features = [c for c in pp.numeric_columns(labelled) if c not in (*id_columns, "label")]
+    labelled = labelled.select(*id_columns, "label", "attack_type", *[pp.q(c) for c in features])
+    if labelled.rdd.getNumPartitions() < flows.sparkSession.sparkContext.defaultParallelism:
+        labelled = materialise(spread(labelled, id_columns[0]))  # a single small file would keep every pass on one core
     skewed = pp.skewed_columns(labelled, features, config.skew_threshold)
     logged = pp.signed_log1p(labelled, skewed)
     constant = set(pp.zero_variance_columns(logged, features))
@@ -88,15 +91,25 @@ def train(flows: DataFrame, config: TrainingConfig | None = None, id_columns: li
     cfg = config or TrainingConfig()
     ids = id_columns or ["row_id"]
     started = time.time()
+    info: dict[str, float] = {}
+
+    def lap(name: str) -> None:
+        info[name] = time.time() - started - sum(info.values())
+
     prepared, scaler = prepare(flows, cfg, ids)
     names = scaler.feature_names
-    rows = materialise(prepared)
+    rows = materialise(spread(prepared, ids[0]))
+    lap("prepare_seconds")
     benign = rows.filter("split = 'train'")
     forest = IsolationForest.fit(benign, names, cfg.trees, cfg.tree_rows, cfg.seed, ids)
+    lap("forest_seconds")
     vae = VAE.fit(benign, rows.filter("split = 'val' AND label = 0"), names, cfg.vae_epochs, cfg.vae_local_epochs, seed=cfg.seed, id_columns=ids)
+    lap("vae_seconds")
     svm = OneClassSVM.fit(benign, names, rounds=cfg.svm_rounds, seed=cfg.seed, id_columns=ids)
+    lap("svm_seconds")
     raw = materialise(with_raw_scores(rows, forest, svm, vae).drop(*names))
     on_train = raw.filter("split = 'train'")
+    lap("scoring_seconds")
     cut = exact_percentiles(on_train, {"if_raw": [0.01, 0.99], "ae_raw": [0.0, 0.995], "svm_raw": [0.0, 1.0]})
     bounds = nm.NormalizationParams(*cut["if_raw"], *cut["ae_raw"], *cut["svm_raw"])
     scored = with_scores(raw.filter("split <> 'train'"), bounds)
@@ -104,7 +117,9 @@ def train(flows: DataFrame, config: TrainingConfig | None = None, id_columns: li
     ensemble = en.fit_stacker(val)
     best = en.tune_threshold(val.withColumn("prob", en.combine(en.SCORE_COLUMNS, ensemble.coefficients, ensemble.intercept))).first()
     ensemble.threshold, ensemble.best_metric_value, ensemble.optimized = best["threshold"], best["metric"], True
-    model = DetectorModel(scaler, forest, svm, vae, bounds, ensemble, {"training_time_seconds": time.time() - started})
+    lap("ensemble_seconds")
+    info["training_time_seconds"] = time.time() - started
+    model = DetectorModel(scaler, forest, svm, vae, bounds, ensemble, info)
     return model, with_decision(scored, ensemble)
 
 
