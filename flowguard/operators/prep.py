@@ -44,7 +44,7 @@ def normalise_label(df: DataFrame, label: str = LABEL_COLUMN) -> DataFrame:
     """``attack_type``: the label as trimmed text; a missing label becomes the text ``nan`` (counts as attack)."""
     if label not in df.columns:
         raise KeyError(f"label column {label!r} not found")
-    return df.withColumn("attack_type", F.trim(F.coalesce(q(label).cast("string"), F.lit("nan"))))
+    return df.withColumn("attack_type", F.btrim(F.coalesce(q(label).cast("string"), F.lit("nan")), F.lit(" \t\r\n")))
 
 
 def binarise_label(df: DataFrame) -> DataFrame:
