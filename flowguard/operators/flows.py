@@ -350,9 +350,10 @@ FLOW_ID_COLUMNS = ["flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto
 
 
 def features_of(flows: DataFrame) -> DataFrame:
-    """The 54 feature columns, in order, beside the flow's identity."""
+    """The 54 feature columns, in order, beside the flow's identity (names differ by more than case)."""
     texts = _feature_texts()
-    return flows.selectExpr(*FLOW_ID_COLUMNS, *[f"{texts[name]} AS `{name}`" for name in FEATURE_NAMES])
+    identity = ["protocol AS ip_protocol" if c == "protocol" else c for c in FLOW_ID_COLUMNS]
+    return flows.selectExpr(*identity, *[f"{texts[name]} AS `{name}`" for name in FEATURE_NAMES])
 
 
 def flow_features(

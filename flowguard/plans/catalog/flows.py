@@ -73,9 +73,8 @@ kept AS (SELECT f.*, coalesce(active_min, 0) AS active_min, coalesce(active_max,
 """
 )
 
-IDENT = (
-    "flow_id, src_ip, src_port, dst_ip, dst_port, protocol, start_us, last_us"
-)
+IDENT = "flow_id, src_ip, src_port, dst_ip, dst_port, protocol, start_us, last_us"
+FEATURE_IDENT = IDENT.replace("protocol", "protocol AS ip_protocol")
 
 
 def var(n: str, s: str, q: str) -> str:
@@ -134,7 +133,7 @@ def features_sql() -> str:
     return ", ".join(f'{FEATURE_SQL[name]} AS "{name}"' for name in fl.FEATURE_NAMES)
 
 
-@query("flow_features", FLOWS + f"SELECT {IDENT}, {features_sql()} FROM kept")
+@query("flow_features", FLOWS + f"SELECT {FEATURE_IDENT}, {features_sql()} FROM kept")
 def flow_features(spark, sf):
     return fl.flow_features(spark_view(spark, sf, "packets"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowguard import fixtures
 from flowguard.operators.flows import FLOW_ID_COLUMNS
-from flowguard.plans.catalog.flows import FLOWS, IDENT, features_sql
+from flowguard.plans.catalog.flows import FEATURE_IDENT, FLOWS, features_sql
 from flowguard.plans.catalog.telemetry import LIFE_COLS, LIFETIMES
 from flowguard.plans.registry import query
 from flowguard.sources.flows import read_packet_stream
@@ -19,7 +19,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 def stream_view(spark, sf, name):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = read_packet_stream(spark, f"{sf}/events.parquet", schema=EVENTS)
+    events = read_packet_stream(spark, sf, schema=EVENTS, pathGlobFilter="events.parquet")
     return spark.sql(fixtures.VIEWS[name].replace("{US}", fixtures.SPARK_US), events=events)
 
 
@@ -31,7 +31,7 @@ CLOSED = (
 )
 
 
-@query("flow_features_stream", CLOSED + f"SELECT {IDENT}, {features_sql()} FROM closed")
+@query("flow_features_stream", CLOSED + f"SELECT {FEATURE_IDENT}, {features_sql()} FROM closed")
 def flow_features_streamed(spark, sf):
     return drain(flow_features_stream(stream_view(spark, sf, "packets")))
 
@@ -56,7 +56,8 @@ def detection_sink(spark, sf):
     detections = flows.select(*FLOW_ID_COLUMNS, "packets", (F.col("packets") >= 20).alias("is_attack"))
     folder = run_folder(spark)
     write_detections_stream(detections, f"{folder}/detections", f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/detections").groupBy("is_attack").agg(F.count(F.lit(1)).alias("flows"))
+    stored = spark.read.parquet(f"{folder}/detections").withColumn("is_attack", F.col("is_attack").cast("boolean"))
+    return stored.groupBy("is_attack").agg(F.count(F.lit(1)).alias("flows"))
 
 
 # Every packet stands for one closed flow here; the last tick stays open until the watermark passes it.

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from flowguard.operators.flows import (
     FLOW_TIMEOUT_S, IDLE_THRESHOLD_S, KEY, MIN_PACKETS, TCP_ACK, TCP_PSH, TCP_RST, TCP_SYN, TCP_URG,
@@ -39,8 +39,10 @@ _FIELDS += [(f, "bigint") for f in _FLAGS] + [("idle_count", "bigint")]
 for _p in ("active", "idle"):
     _FIELDS += [(f"{_p}_{n}", "bigint") for n in _PERIODS] + [(f"{_p}_sq", "decimal(38,0)")]
 
-FLOW_SCHEMA = ", ".join(f"{n} {t}" for n, t in _FIELDS)
-STATE_SCHEMA = StructType.fromDDL(FLOW_SCHEMA + ", active_start_us bigint, fwd_from_a boolean, timer_ms bigint")
+_TYPES = {"bigint": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "decimal(38,0)": DecimalType(38, 0)}
+_EXTRA = [("active_start_us", "bigint"), ("fwd_from_a", "boolean"), ("timer_ms", "bigint")]
+FLOW_SCHEMA = StructType([StructField(n, _TYPES[t]) for n, t in _FIELDS])
+STATE_SCHEMA = StructType([StructField(n, _TYPES[t]) for n, t in _FIELDS + _EXTRA])
 STATE_NAMES = STATE_SCHEMA.fieldNames()
 DECIMALS = {n for n, t in _FIELDS if t.startswith("decimal")}
 
@@ -215,7 +217,7 @@ def flow_table_stream(
     )
     flows = used.groupBy(*KEY).transformWithStateInPandas(
         FlowProcessor(int(timeout_s * 1_000_000), int(idle_s * 1_000_000), min_packets),
-        outputStructType=StructType.fromDDL(FLOW_SCHEMA),
+        outputStructType=FLOW_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
     )
