@@ -48,7 +48,7 @@ def normalise_label(df: DataFrame, label: str = LABEL_COLUMN) -> DataFrame:
 
 
 def binarise_label(df: DataFrame) -> DataFrame:
-    """``label``: 0 for benign (any case), 1 for everything else."""
+    """``label``: 0 for benign (any case), 1 for everything else; takes the place of a raw ``Label`` column."""
     return df.withColumn("label", F.when(F.lower("attack_type") == BENIGN_LABEL.lower(), 0).otherwise(1))
 
 
