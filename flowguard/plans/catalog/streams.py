@@ -33,12 +33,12 @@ CLOSED = (
 
 @query("flow_features_stream", CLOSED + f"SELECT {FEATURE_IDENT}, {features_sql()} FROM closed")
 def flow_features_streamed(spark, sf):
-    return drain(flow_features_stream(stream_view(spark, sf, "packets")))
+    return drain(flow_features_stream(stream_view(spark, sf, "packets"), watermark="0 seconds"))
 
 
 @query("read_packet_stream", CLOSED + "SELECT flow_id, n AS packets FROM closed")
 def packet_stream(spark, sf):
-    return drain(flow_table_stream(stream_view(spark, sf, "packets")).select("flow_id", "packets"))
+    return drain(flow_table_stream(stream_view(spark, sf, "packets"), watermark="0 seconds").select("flow_id", "packets"))
 
 
 @query("late_packets")
@@ -52,7 +52,7 @@ def late_packets(spark, sf):
 def detection_sink(spark, sf):
     from flowguard.streaming.runs import run_folder, write_detections_stream
 
-    flows = flow_table_stream(stream_view(spark, sf, "packets"))
+    flows = flow_table_stream(stream_view(spark, sf, "packets"), watermark="0 seconds")
     detections = flows.select(*FLOW_ID_COLUMNS, "packets", (F.col("packets") >= 20).alias("is_attack"))
     folder = run_folder(spark)
     write_detections_stream(detections, f"{folder}/detections", f"{folder}/checkpoint", available_now=True).awaitTermination()

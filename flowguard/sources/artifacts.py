@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,8 +31,8 @@ def read_config(spark: SparkSession, folder: str, name: str, schema: str) -> Dat
     try:
         rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{folder}/{name}")
         row = rows.first()
-    except PySparkException as e:
-        raise ValueError(f"cannot read {name}: {e}") from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise ValueError(f"cannot read {name}") from e
     if row is None:
         raise ValueError(f"{name} is empty")
     for path in REQUIRED[name]:

@@ -202,9 +202,9 @@ def flow_table_stream(
     timeout_s: float = FLOW_TIMEOUT_S,
     idle_s: float = IDLE_THRESHOLD_S,
     min_packets: int = MIN_PACKETS,
-    watermark: str = "0 seconds",
+    watermark: str = "1 second",
 ) -> DataFrame:
-    """Packet stream -> closed flows (append). Packets later than the watermark are dropped by Spark.
+    """Packet stream -> closed flows (append). Packets at or before the watermark are dropped by Spark as late.
 
     A micro-batch of one conversation is held by one task; its size is set by the source's rate limit.
     """
@@ -224,6 +224,6 @@ def flow_table_stream(
     return flows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fwd_win", "bwd_win")}).drop("fwd_last_us", "bwd_last_us")
 
 
-def flow_features_stream(packets: DataFrame, timeout_s: float = FLOW_TIMEOUT_S, watermark: str = "0 seconds") -> DataFrame:
+def flow_features_stream(packets: DataFrame, timeout_s: float = FLOW_TIMEOUT_S, watermark: str = "1 second") -> DataFrame:
     """Packet stream -> identity and 54 features of every flow, emitted when it closes."""
     return features_of(flow_table_stream(packets, timeout_s, watermark=watermark))

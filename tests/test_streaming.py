@@ -33,20 +33,20 @@ def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
 
 
 def test_boundary_inside_one_batch(spark, tmp_path):
-    write_batches(spark, tmp_path, [[packet(1, 0), packet(2, 120), back(3, 241), back(4, 242)], [sentinel(5000)], [sentinel(9000)]])
+    write_batches(spark, tmp_path, [[packet(1, 10), packet(2, 130), back(3, 251), back(4, 252)], [sentinel(5000)], [sentinel(9000)]])
     got = [(r["flow_id"], r["packets"], r["src_ip"]) for r in drain(flow_table_stream(stream(spark, tmp_path))).orderBy("flow_id").collect()]
     assert got == [(1, 2, A[0]), (3, 2, B[0])]
 
 
 def test_late_packets_are_dropped(spark, tmp_path):
-    batches = [[packet(1, 0), packet(2, 1)], [sentinel(1000)], [sentinel(1001), packet(3, 2)], [sentinel(5000)], [sentinel(9000)]]
+    batches = [[packet(1, 10), packet(2, 11)], [sentinel(1000)], [sentinel(1001), packet(3, 12)], [sentinel(5000)], [sentinel(9000)]]
     write_batches(spark, tmp_path, batches)
     got = {r["flow_id"]: r["packets"] for r in drain(flow_table_stream(stream(spark, tmp_path), min_packets=1)).collect()}
     assert got[1] == 2 and 3 not in got
 
 
 def test_sweep_stream(spark, tmp_path):
-    times = [0, 3, 9.9, 10, 25, 60]
+    times = [1, 3, 9.9, 10, 25, 60]
     write_batches(spark, tmp_path, [[packet(i, t)] for i, t in enumerate(times)])
     d = stream(spark, tmp_path).select(F.col("ts_us").alias("close_us"), (F.col("pkt_id") % 2 == 1).alias("is_attack"))
     got = sorted(tuple(r) for r in drain(rp.sweep_summary_stream(d)).collect())
