@@ -27,8 +27,11 @@ def split_endpoint(addr: Column | str) -> Column:
     a = col(addr)
     bracket = a.contains("]:")
     colon = a.contains(":")
-    ip = F.when(bracket, F.regexp_extract(a, r"^.(.*)\]:(.*)$", 1)).when(colon, F.regexp_extract(a, r"^(.*):([^:]*)$", 1)).otherwise(a)
-    port = F.when(bracket, F.regexp_extract(a, r"^.(.*)\]:(.*)$", 2)).when(colon, F.regexp_extract(a, r"^(.*):([^:]*)$", 2))
+    after_bracket, after_colon = F.substring_index(a, "]:", -1), F.substring_index(a, ":", -1)
+    in_bracket = F.substring(a, F.lit(2), F.length(a) - F.length(after_bracket) - 3)
+    before_colon = F.left(a, F.length(a) - F.length(after_colon) - 1)
+    ip = F.when(bracket, in_bracket).when(colon, before_colon).otherwise(a)
+    port = F.when(bracket, after_bracket).when(colon, after_colon)
     blank = a.isNull() | (a == "*:*") | (a == "")
     star = ~bracket & colon
     return F.struct(

@@ -108,7 +108,7 @@ def _order_statistics(df: DataFrame, targets: dict[tuple[str, int], dict], direc
 
 
 def hash_cutoffs(
-    df: DataFrame, hash_col: str, group_col: str, wanted: dict, direct_rows: int = 200_000
+    df: DataFrame, hash_col: str, group_col: str, wanted: dict, direct_rows: int = 50_000
 ) -> tuple[dict, dict]:
     """k-th smallest hex hash per group: ({group: rows}, {(group, k): hash}).
 
@@ -145,9 +145,22 @@ def hash_cutoffs(
             if n > direct_rows:
                 inside = [r for r in rows if r["p"].startswith(p)]
                 open_[key] = _locate(inside, key[0], key[1], below)
-    for (g, k), (p, below, _) in open_.items():
-        inside = df.filter((F.col(group_col) == F.lit(g)) & F.col(hash_col).startswith(p)).select(hash_col)
-        cutoffs[(g, k)] = inside.orderBy(hash_col).offset(k - below - 1).limit(1).first()[0]
+    if open_:
+        # One pass for all remaining targets; a prefix holds at most direct_rows hashes.
+        targets = {(key[0], t[0]) for key, t in open_.items()}
+        label = F.lit(None).cast("string")
+        for g, p in sorted(targets):
+            label = F.when((F.col(group_col) == F.lit(g)) & F.col(hash_col).startswith(p), F.lit(f"{g}|{p}")).otherwise(label)
+        inside = df.select(label.alias("t"), F.col(hash_col).alias("h")).filter("t IS NOT NULL")
+        offsets: dict[str, list[int]] = {}
+        for (g, k), (p, below, _) in open_.items():
+            offsets.setdefault(f"{g}|{p}", []).append(k - below)
+        wanted_at = F.create_map(*[c for t, ks in offsets.items() for c in (F.lit(t), F.array(*[F.lit(k) for k in ks]))])
+        sorted_hashes = inside.groupBy("t").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+        found = sorted_hashes.select("t", F.transform(wanted_at[F.col("t")], lambda k: F.element_at("hs", k)).alias("picked")).collect()
+        picked = {(r["t"], k): h for r in found for k, h in zip(offsets[r["t"]], r["picked"])}
+        for (g, k), (p, below, _) in open_.items():
+            cutoffs[(g, k)] = picked[(f"{g}|{p}", k - below)]
     return totals, cutoffs
 
 

@@ -17,6 +17,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # numpy temporaries stay in the worker's heap instead of being mapped and unmapped at every step
+        .config("spark.executorEnv.MALLOC_MMAP_THRESHOLD_", str(512 * 1024 * 1024))
+        .config("spark.executorEnv.MALLOC_TRIM_THRESHOLD_", str(512 * 1024 * 1024))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -39,7 +39,8 @@ def test_boundary_inside_one_batch(spark, tmp_path):
 
 
 def test_late_packets_are_dropped(spark, tmp_path):
-    batches = [[packet(1, 10), packet(2, 11)], [sentinel(1000)], [sentinel(1001), packet(3, 12)], [sentinel(5000)], [sentinel(9000)]]
+    # Spark judges lateness by the watermark of the batch before the previous one.
+    batches = [[packet(1, 10), packet(2, 11)], [sentinel(1000)], [sentinel(1001)], [sentinel(1002), packet(3, 12)], [sentinel(5000)], [sentinel(9000)]]
     write_batches(spark, tmp_path, batches)
     got = {r["flow_id"]: r["packets"] for r in drain(flow_table_stream(stream(spark, tmp_path), min_packets=1)).collect()}
     assert got[1] == 2 and 3 not in got
