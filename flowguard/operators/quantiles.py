@@ -59,51 +59,61 @@ def exact_percentiles(
     return out
 
 
-def _inside(targets: dict[tuple[str, int], dict], with_bin: bool):
-    """One struct per target whose interval holds the row's value: (target, value[, bin])."""
+Interval = tuple[str, float, float]
+
+
+def _inside(intervals: list[Interval], with_bin: bool):
+    """One struct per interval that holds the row's value: (interval, value[, bin])."""
     marks = []
-    for j, ((name, _), t) in enumerate(targets.items()):
+    for j, (name, lo, hi) in enumerate(intervals):
         x = F.col(f"`{name}`").cast("double")
         parts = [F.lit(j).alias("j"), x.alias("x")]
         if with_bin:
-            share = (x - F.lit(t["lo"])) / F.lit(t["hi"] - t["lo"])
+            share = (x - F.lit(lo)) / F.lit(hi - lo)
             parts.append(F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-        marks.append(F.when((x >= t["lo"]) & (x <= t["hi"]), F.struct(*parts)))
-    return F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")
+        marks.append(F.when((x >= lo) & (x <= hi), F.struct(*parts)))
+    return F.explode(F.array_compact(F.array(*marks))).alias("m")
 
 
 def _order_statistics(df: DataFrame, targets: dict[tuple[str, int], dict], direct_rows: int) -> dict[tuple[str, int], float]:
     values: dict[tuple[str, int], float] = {}
+
+    def interval(key: tuple[str, int]) -> Interval:
+        return key[0], targets[key]["lo"], targets[key]["hi"]
+
     while True:
         values |= {key: t["lo"] for key, t in targets.items() if t["lo"] == t["hi"]}
-        wide = {k: t for k, t in targets.items() if k not in values and t["n"] > direct_rows}
+        wide = [k for k, t in targets.items() if k not in values and t["n"] > direct_rows]
         if not wide:
             break
+        intervals = sorted({interval(k) for k in wide})  # neighbouring ranks share one
         counts = (
-            df.select(_inside(wide, True))
+            df.select(_inside(intervals, True))
             .groupBy("m.j", "m.bin")
             .agg(F.count(F.lit(1)).alias("n"), F.min("m.x").alias("lo"), F.max("m.x").alias("hi"))
-            .collect()  # at most BINS rows per target
+            .collect()  # at most BINS rows per interval
         )
-        for j, key in enumerate(wide):
-            below = targets[key]["below"]
+        for key in wide:
+            j, below = intervals.index(interval(key)), targets[key]["below"]
             for r in sorted((r for r in counts if r["j"] == j), key=lambda r: r["bin"]):
                 if key[1] < below + r["n"]:
                     targets[key] = {"lo": r["lo"], "hi": r["hi"], "below": below, "n": r["n"]}
                     break
                 below += r["n"]
-    narrow = {k: t for k, t in targets.items() if k not in values}
+    narrow = [k for k in targets if k not in values]
     if narrow:
-        at = F.element_at(F.array(*[F.lit(k[1] - t["below"] + 1) for k, t in narrow.items()]), F.col("j") + 1)
+        intervals = sorted({interval(k) for k in narrow})
+        offsets = [sorted({k[1] - targets[k]["below"] for k in narrow if interval(k) == i}) for i in intervals]
+        at = F.element_at(F.array(*[F.array(*[F.lit(o + 1) for o in os]) for os in offsets]), F.col("j") + 1)
         found = (
-            df.select(_inside(narrow, False))
+            df.select(_inside(intervals, False))
             .groupBy(F.col("m.j").alias("j"))
-            .agg(F.array_sort(F.collect_list("m.x")).alias("xs"))  # at most direct_rows values per target
-            .select("j", F.element_at("xs", at).alias("x"))
+            .agg(F.array_sort(F.collect_list("m.x")).alias("xs"))  # at most direct_rows values per interval
+            .select("j", F.transform(at, lambda o: F.element_at("xs", o)).alias("picked"))
             .collect()
         )
-        keys = list(narrow)
-        values |= {keys[r["j"]]: r["x"] for r in found}
+        picked = {(intervals[r["j"]], o): x for r in found for o, x in zip(offsets[r["j"]], r["picked"])}
+        values |= {k: picked[(interval(k), k[1] - targets[k]["below"])] for k in narrow}
     return values
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowguard.detectors.common import materialise, raw_scores, spread
+from flowguard.detectors.common import is_small, materialise, raw_scores, spread
 from flowguard.detectors.iforest import IsolationForest
 from flowguard.detectors.ocsvm import OneClassSVM
 from flowguard.detectors.vae import VAE
@@ -45,8 +45,8 @@ def prepare(flows: DataFrame, config: TrainingConfig, id_columns: list[str]) ->
     labelled = pp.drop_listed(pp.binarise_label(pp.normalise_label(flows)))
     features = [c for c in pp.numeric_columns(labelled) if c not in (*id_columns, "label")]
     labelled = labelled.select(*id_columns, "label", "attack_type", *[pp.q(c) for c in features])
-    if labelled.rdd.getNumPartitions() < flows.sparkSession.sparkContext.defaultParallelism:
-        labelled = materialise(spread(labelled, id_columns[0]))  # a single small file would keep every pass on one core
+    if is_small(labelled):
+        labelled = materialise(spread(labelled, id_columns[0]))
     skewed = pp.skewed_columns(labelled, features, config.skew_threshold)
     logged = pp.signed_log1p(labelled, skewed)
     constant = set(pp.zero_variance_columns(logged, features))
@@ -98,7 +98,7 @@ def train(flows: DataFrame, config: TrainingConfig | None = None, id_columns: li
 
     prepared, scaler = prepare(flows, cfg, ids)
     names = scaler.feature_names
-    rows = materialise(spread(prepared, ids[0]))
+    rows = materialise(prepared)
     lap("prepare_seconds")
     benign = rows.filter("split = 'train'")
     forest = IsolationForest.fit(benign, names, cfg.trees, cfg.tree_rows, cfg.seed, ids)
