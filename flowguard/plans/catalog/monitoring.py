@@ -92,6 +92,12 @@ def latest_n(spark, sf):
     return mo.latest_n(spark_view(spark, sf, "packets")).select("pkt_id", "ts_us")
 
 
-@query("page", LOG + "SELECT flow_id, message FROM log ORDER BY close_us, flow_id LIMIT 25 OFFSET 100")
+# The start is clamped so that a full page is shown when there are enough rows.
+@query(
+    "page",
+    LOG
+    + """, n AS (SELECT *, row_number() OVER (ORDER BY close_us, flow_id) AS rn, count(*) OVER () AS total FROM log)
+SELECT flow_id, message FROM n WHERE rn > least(100, greatest(total - 25, 0)) AND rn <= least(100, greatest(total - 25, 0)) + 25""",
+)
 def page(spark, sf):
     return mo.page(log_lines(spark, sf), ["close_us", "flow_id"], 25, 100).select("flow_id", "message")
