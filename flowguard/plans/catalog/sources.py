@@ -64,11 +64,11 @@ def rejected_frames(spark, sf):
     f, k = F.col("frame"), F.col("pkt_id") % 6
     ihl = F.conv(F.hex(F.substring("frame", 16, 1)), 16, 10)  # unused low byte keeps the expression JVM-side
     broken = (
-        F.when(k == 0, F.concat(F.substring(f, 1, 12), F.unhex(F.lit("86DD")), F.substring(f, 15, 5000)))
+        F.when(k == 0, F.concat(F.substring(f, 1, 12), F.unhex(F.lit("86DD")), F.substring(f, F.lit(15), F.length(f))))
         .when(k == 1, F.substring(f, 1, 33))
         .when(k == 2, F.substring(f, 1, 13))
         .when(k == 3, F.substring(f, 1, 41))
-        .when(k == 4, F.concat(F.substring(f, 1, 23), F.unhex(F.lit("01")), F.substring(f, 25, 5000)))
+        .when(k == 4, F.concat(F.substring(f, 1, 23), F.unhex(F.lit("01")), F.substring(f, F.lit(25), F.length(f))))
         .otherwise(f)
     )
     return fr.rejected_frames(good.filter(ihl.isNotNull()).withColumn("frame", broken).drop("ts_us"))

@@ -76,7 +76,7 @@ def parse_ss(lines: DataFrame) -> DataFrame:
 def parse_lsof(lines: DataFrame) -> DataFrame:
     """``lsof -i -n -P`` lines; without an arrow the remote side is ``*:*``."""
     c = F.col("_c")
-    name = F.array_join(F.slice(c, 9, 1_000), " ")
+    name = F.array_join(F.slice(c, F.lit(9), F.size(c)), " ")
     rows = lines.filter(~F.col("line").startswith("COMMAND")).withColumn("_c", _words()).filter(F.size("_c") >= 9)
     rows = rows.withColumn("_name", name)
     addr = F.trim(F.when(F.col("_name").contains("("), F.regexp_extract("_name", r"^(.*)\(", 1)).otherwise(F.col("_name")))
@@ -260,7 +260,7 @@ def parse_mtu_table(lines: DataFrame) -> DataFrame:
     """Sub-interface listing -> (iface, mtu): number first, name from the fifth column on."""
     rows = lines.withColumn("_c", _words()).withColumn("mtu", _unsigned(F.col("_c")[0], 2**32 - 1))
     rows = rows.filter((F.size("_c") >= 5) & F.col("mtu").isNotNull())
-    return rows.select(*_rest(lines, "line"), F.array_join(F.slice("_c", 5, 1_000), " ").alias("iface"), "mtu")
+    return rows.select(*_rest(lines, "line"), F.array_join(F.slice("_c", F.lit(5), F.size("_c")), " ").alias("iface"), "mtu")
 
 
 def parse_net_config(docs: DataFrame) -> DataFrame:
