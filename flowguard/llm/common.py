@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,3 +43,11 @@ def lower_ascii(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def worker_kept(name: str, make: Callable[[], object]) -> object:
+    """An object kept for the life of a Python worker, which serves many tasks; bounded caches belong here."""
+    kept = sys.__dict__.setdefault("_flowguard_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

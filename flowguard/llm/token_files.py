@@ -27,25 +27,37 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowguard.llm.common import new_folder, stage
+from flowguard.llm.common import new_folder, stage, worker_kept
 from flowguard.operators.ordered import prefix_offsets
 
 #: Magic numbers of skippable frames, the seek table and its descriptor.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 2
 FILE_BYTES = 16 * 1024 * 1024
-CACHED_UNITS = 300_000
+CACHED_UNITS = 800_000
 LEVEL = 3
 
+#: All letters below U+0250; texts with anything above take the coarser units.
+_L = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _ODD_SPACE = re.compile(r"[^\S\t\n\r ]")
-_UNIT = re.compile(r"[\t\n\r ]+[^\t\n\r ]*|[^\t\n\r ]+")
+_HIGH = re.compile("[\u0250-\U0010ffff]")
+_COARSE = re.compile(r"[\t\n\r ]+[^\t\n\r ]*|[^\t\n\r ]+")
+_FINE = re.compile(f" ?[{_L}]+(?:'+[{_L}]+)*|(?:(?! [{_L}])[^{_L}])+(?:(?<=['\t\n\r])[{_L}]+(?:'+[{_L}]+)*)?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
 class Encoder:
     """Token ids of whole texts as packed little-endian integers.
 
-    Byte-level BPE never merges across the start of white space, so a text is encoded unit by unit (white
-    space and the word after it) and repeated units come from a bounded cache. Texts with white space
+    Byte-level BPE never merges across the end of a run of letters or the start of white space, so a text is
+    encoded unit by unit and repeated units come from a bounded cache. A unit of letters (and a space before)
+    goes straight to the library's BPE model, any other through its whole chain. Texts with white space
     other than tab, line feed, return and space are encoded in one piece.
     """
 
@@ -56,15 +68,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        width, letters, tokenize = self.dtype.itemsize, self.letters, self.model.tokenize
+        simple = [(u[1:] if u[0] == " " else u).isalpha() for u in units]
+        rest = iter(self._encode([u for u, s in zip(units, simple, strict=True) if not s]))
+        return [
+            b"".join([t.id.to_bytes(width, "little") for t in tokenize("".join([letters[b] for b in u.encode()]))]) if s else next(rest)
+            for u, s in zip(units, simple, strict=True)
+        ]
+
     def __call__(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             return self._encode([text])[0]
-        units = _UNIT.findall(text)
+        units = (_COARSE if _HIGH.search(text) or any(a in text for a in self.added) else _FINE).findall(text)
         cache = self.cache
         try:
             return b"".join(map(cache.__getitem__, units))
@@ -73,7 +96,7 @@ class Encoder:
             if len(cache) + len(new) > CACHED_UNITS:
                 cache.clear()
                 new = list(set(units))
-            cache.update(zip(new, self._encode(new), strict=True))
+            cache.update(zip(new, self._units(new), strict=True))
             return b"".join(map(cache.__getitem__, units))
 
 
@@ -121,7 +144,7 @@ class TokenFile:
 
 def _file_rows(tokenizer: str, end_id: int, file_bytes: int):
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, press = Encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL)
+        encode, press = worker_kept(f"encoder {tokenizer}", lambda: Encoder(tokenizer)), zstandard.ZstdCompressor(level=LEVEL)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         partition, sequence = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []

@@ -32,6 +32,16 @@ def test_encoder_equals_whole_text_encoding(tokenizer):
         assert np.frombuffer(encode(text), encode.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_random_texts(tokenizer):
+    import random
+
+    rng, encode = random.Random(9), Encoder(vocabulary())
+    alphabets = ["ab' ", "aé'’s t.,", "a1_ \n\t'", "xü  \r\n!?", "абв é'", "a\x0b\x1c b", "ªµº×÷ǅʰa ", "a\u0301 e'll I'm '"]
+    for k in range(4000):
+        text = "".join(rng.choice(alphabets[k % len(alphabets)]) for _ in range(rng.randrange(0, 25)))
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files_round_trip(spark, tokenizer):
     folder = tempfile.mkdtemp() + "/files"
     write_token_files(awkward(spark), folder, vocabulary(), file_bytes=2000)
