@@ -229,6 +229,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
         left = apart.select("bucket", F.col("node").alias("a"), F.col("n_node").alias("n_a"), F.col("label").alias("label_a"))
         if turn < STAR_ROUNDS:
             pick = F.xxhash64("a", "bucket", F.lit(turn))
+            # a quarter of the buckets at a time: what one quarter joins, the next need not compare
+            left = left.filter(F.pmod("bucket", F.lit(4)) == turn)
             left = stage(left.groupBy("bucket").agg(F.min_by(F.struct("a", "n_a", "label_a"), pick).alias("hub")).select("bucket", "hub.*"), "near-hubs")
         else:
             # what stars left apart: members of all components but the largest label's, against the others
