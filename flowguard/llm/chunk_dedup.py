@@ -37,7 +37,9 @@ def chunks(data: bytes, spacing: int = SPACING, least: int = LEAST_CHUNK) -> tup
     """Starts and ends of the variable chunks of ``data``; the text's own start and end are boundaries too."""
     if not data:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    inner = np.flatnonzero(gear(np.frombuffer(data, dtype=np.uint8)) < np.uint16(2**16 // spacing)) + 1
+    seen = np.frombuffer(data, dtype=np.uint8)
+    inner = np.flatnonzero(gear(seen)[:-1] < np.uint16(2**16 // spacing)) + 1
+    inner = inner[seen[inner] & 0xC0 != 0x80]  # never inside a character
     edges = np.unique(np.concatenate([[0], inner, [len(data)]]))
     ends = np.searchsorted(edges, edges + least)
     good = ends < len(edges)
