@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 RATE = 0.1  # word edits allowed per word of an item, rounded down
-REPETITIONS = 14
+REPETITIONS = 10
 #: Window classes: items of at least so many words are embedded by their first so many, with so many samples.
 CLASSES = ((12, 4), (6, 3), (3, 2), (1, 1))
 BLOCK_CHARS = 8_000_000
