@@ -16,10 +16,11 @@ COUNTS = (
 )
 
 # Stand-in bounds and coefficients.
-P1, P99 = -0.6290496160964124, -0.3502758022623036
-AE_MIN, AE_MAX = 0.00019675801740959287, 0.10324154794216156
-SVM_MIN, SVM_MAX = -4.051191572384214, 3.367048156993987
-COEF, INTERCEPT = [-1.4507773610253512, 14.2069486324836, 1.4928124146549517], -3.366260157834922
+P1, P99 = -0.6, -0.35
+AE_MIN, AE_MAX = 0.0, 0.1
+SVM_MIN, SVM_MAX = -4.0, 3.5
+COEF, INTERCEPT = [-1.5, 12.0, 1.25], -3.0
+THRESHOLD = 0.35
 
 
 def scored(spark, sf):
@@ -177,10 +178,10 @@ def combine(spark, sf):
     return scored(spark, sf).select("row_id", F.round(en.combine(en.SCORE_COLUMNS, COEF, INTERCEPT), 9).alias("prob"))
 
 
-@query("decide", COMBINED + "SELECT row_id, p >= 0.32517587939698495::DOUBLE AS is_attack FROM combined")
+@query("decide", COMBINED + f"SELECT row_id, p >= {THRESHOLD}::DOUBLE AS is_attack FROM combined")
 def decide(spark, sf):
     p = scored(spark, sf).withColumn("p", en.combine(en.SCORE_COLUMNS, COEF, INTERCEPT))
-    return p.select("row_id", en.decide("p", 0.32517587939698495).alias("is_attack"))
+    return p.select("row_id", en.decide("p", THRESHOLD).alias("is_attack"))
 
 
 SWEEP = """, t AS (SELECT i, CASE WHEN i = 199 THEN 0.99::DOUBLE ELSE i * ((0.99::DOUBLE - 0.01::DOUBLE) / 199) + 0.01::DOUBLE END AS thr FROM generate_series(0, 199) s(i)),

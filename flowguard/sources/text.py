@@ -43,8 +43,8 @@ def _rest(df: DataFrame, *taken: str) -> list[str]:
 
 def _unsigned(text: Column, limit: int) -> Column:
     """Digits only, within an unsigned range; anything else is null."""
-    n = F.when(text.rlike(r"^\+?[0-9]{1,18}$"), text.try_cast("long"))
-    return F.when(n <= limit, n)
+    n = F.when(text.rlike(r"^\+?[0-9]+$"), F.regexp_replace(text, r"^\+?0*(?=[0-9])", "").try_cast("decimal(20,0)"))
+    return F.when(n <= limit, n.cast("long"))
 
 
 def _pid(text: Column) -> Column:

@@ -113,3 +113,12 @@ def test_config_files(spark, tmp_path):
         (tmp_path / "scaler.json").write_text(bad)
         with pytest.raises(ValueError):
             artifacts.load_configs(spark, folder)
+
+
+def test_long_counters(spark):
+    from flowguard.sources.text import _count
+    from pyspark.sql import functions as F
+
+    texts = ["1234567890123456789", "9223372036854775807", "+0000000000000000000000012", "99999999999999999999", "12x", None]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(_count(F.col("t")).alias("v")).collect()]
+    assert got == [1234567890123456789, 9223372036854775807, 12, 0, 0, 0]
