@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowguard.session import materialise
+
 FANOUT = 4096
 
 
@@ -74,6 +76,24 @@ def with_neighbours(
     )
 
 
+def ranged(df: DataFrame, order_by: list[str], out: str = "_slice") -> DataFrame:
+    """Rows dealt to ranges of ``order_by`` of similar size, ``out`` numbers the ranges in order.
+
+    Spark samples the range bounds, so a key with very many rows spans several ranges. The result is written
+    once: all readers see the same ranges.
+    """
+    return materialise(df.repartitionByRange(*order_by).withColumn(out, F.spark_partition_id().cast("long")))
+
+
+def number_ranged(df: DataFrame, keys: list[str], order_by: list[str], out: str) -> DataFrame:
+    """0-based row number per key of rows that ``ranged`` dealt by (keys, order_by)."""
+    counts = df.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order_by)
+    local = df.withColumn("_local", F.row_number().over(w).cast("long") - 1)
+    placed = local.join(prefix_offsets(counts, keys, "_slice", ["_n"]), [*keys, "_slice"])
+    return placed.withColumn(out, F.col("_local") + F.col("_n_before")).drop("_local", "_n_before", "_slice")
+
+
 def blocks_with_context(df: DataFrame, row_no: str, block_rows: int, before: int) -> DataFrame:
     """Fixed-size blocks of numbered rows; the last ``before`` rows of a block are repeated as context of the next."""
     if before >= block_rows:

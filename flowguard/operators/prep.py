@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from flowguard.functions.stats import col
-from flowguard.operators.quantiles import exact_percentiles, hash_cutoffs
+from flowguard.operators.quantiles import Cut, exact_percentiles, hash_cutoffs
 
 # Label and column conventions of the labelled flow tables.
 LABEL_COLUMN = "Label"
@@ -148,14 +148,54 @@ def row_hash(seed: int, *id_columns: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in id_columns]))
 
 
+#: Hex digits of ``row_key``.
+KEY_DIGITS = 48
+COPIES_PER_TASK = 65_536
+
+
+def row_key(df: DataFrame, seed: int, id_columns: list[str]) -> Column:
+    """``row_hash`` followed by a hash of the whole row: only rows equal in every column share it, whatever ids repeat."""
+    content = F.lower(F.lpad(F.hex(F.xxhash64(*[q(c) for c in df.columns])), 16, "0"))
+    return F.concat(row_hash(seed, *id_columns), content)
+
+
+def _numbered_ties(keyed: DataFrame, group: str, cuts: list[Cut]) -> DataFrame:
+    """``_copy``: running number of the rows that share a key which a cut divides; 0 for all other rows.
+
+    Such rows are equal in every column, so they are counted and written out again with numbers.
+    """
+    keys = sorted({c.prefix for c in cuts if c.take is not None})
+    if not keys:
+        return keyed.withColumn("_copy", F.lit(0).cast("long"))
+    at_cut = F.col("_k").isin(keys)
+    names = keyed.columns
+    counted = keyed.filter(at_cut).groupBy(*[q(c) for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+    # more than one row per key only if two rows collide in all bits of the key
+    order = Window.partitionBy(group, "_k").orderBy(F.xxhash64(F.lit(1), *[q(c) for c in names])).rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    lots = before.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES_PER_TASK).cast("long")))).repartition("_k", "_lot")
+    first = F.col("_lot") * COPIES_PER_TASK + 1
+    copies = F.explode(F.sequence(first, F.least(first + COPIES_PER_TASK - 1, F.col("_n"))))
+    tied = lots.withColumn("_i", copies).select(*[q(c) for c in names], (F.col("_before") + F.col("_i")).alias("_copy"))
+    return keyed.filter(~at_cut).withColumn("_copy", F.lit(0).cast("long")).unionByName(tied)
+
+
+def _inside(cut: Cut) -> Column:
+    if not cut.prefix:
+        return F.lit(False)
+    if cut.take is None:
+        return F.substring("_k", 1, len(cut.prefix)) <= cut.prefix
+    return (F.col("_k") < cut.prefix) | ((F.col("_k") == cut.prefix) & (F.col("_copy") <= cut.take))
+
+
 def subsample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SEED, id_columns: list[str] | None = None) -> DataFrame:
-    """At most ``n`` rows without replacement: those with the smallest seeded id hash (a filter, no sort)."""
-    ids = id_columns or ["row_id"]
-    hashed = df.withColumns({"_h": row_hash(seed, *ids), "_g": F.lit(0)})
-    _, cut = hash_cutoffs(hashed, "_h", "_g", lambda g, total: [n] if total > n else [])
-    if not cut:
+    """Exactly ``n`` rows without replacement (all, if there are fewer): those with the smallest seeded keys (a filter, no sort)."""
+    keyed = df.withColumns({"_k": row_key(df, seed, id_columns or ["row_id"]), "_g": F.lit(0)})
+    _, cuts = hash_cutoffs(keyed, "_k", "_g", lambda g, total: [n] if total > n else [], KEY_DIGITS)
+    if not cuts:
         return df
-    return hashed.filter(F.col("_h") <= next(iter(cut.values()))).drop("_h", "_g")
+    cut = next(iter(cuts.values()))
+    return _numbered_ties(keyed, "_g", [cut]).filter(_inside(cut)).drop("_k", "_g", "_copy")
 
 
 def split_sizes(n: int, test_ratio: float) -> tuple[int, int]:
@@ -167,8 +207,8 @@ def split_sizes(n: int, test_ratio: float) -> tuple[int, int]:
 def one_class_split(df: DataFrame, seed: int = SEED, id_columns: list[str] | None = None) -> DataFrame:
     """``split`` column: benign 70/15/15 train/val/test, attacks 50/50 val/test, so train is benign only.
 
-    Rows are ranked by seeded hash inside their class; only the three cut hashes are computed, and the
-    assignment itself is a filter-like projection without shuffle.
+    Rows are ranked by seeded key inside their class; only the three cut keys are computed, and the
+    assignment itself is a filter-like projection without shuffle. Sizes are exact, also with repeated ids.
     """
     ids = id_columns or ["row_id"]
     remainder = (VAL_RATIO + TEST_RATIO) / (TRAIN_RATIO + VAL_RATIO + TEST_RATIO)
@@ -181,20 +221,16 @@ def one_class_split(df: DataFrame, seed: int = SEED, id_columns: list[str] | Non
             return [train, train + val]
         return [split_sizes(n, ATTACK_TEST_RATIO)[0]]
 
-    hashed = df.withColumn("_h", row_hash(seed, *ids))
-    totals, cut = hash_cutoffs(hashed, "_h", "label", ranks)
+    keyed = df.withColumn("_k", row_key(df, seed, ids))
+    totals, cuts = hash_cutoffs(keyed, "_k", "label", ranks, KEY_DIGITS)
+    benign, attack = F.col("label") == 0, F.col("label") == 1
     split = F.lit("test")
-    h = F.col("_h")
     if 1 in totals:
-        val_cut = cut[(1, ranks(1, totals[1])[0])]
-        split = F.when((F.col("label") == 1) & (h <= val_cut), "val").otherwise(split)
+        split = F.when(attack & _inside(cuts[1, ranks(1, totals[1])[0]]), "val").otherwise(split)
     if 0 in totals:
-        train_rank, val_rank = ranks(0, totals[0])
-        split = F.when((F.col("label") == 0) & (h <= cut[(0, train_rank)]), "train").otherwise(
-            F.when((F.col("label") == 0) & (h <= cut[(0, val_rank)]), "val").otherwise(split)
-        )
-    benign = F.col("label") == 0
-    out = hashed.withColumn("split", split).drop("_h")
+        train, val = (_inside(cuts[0, k]) for k in ranks(0, totals[0]))
+        split = F.when(benign & train, "train").when(benign & val, "val").otherwise(split)
+    out = _numbered_ties(keyed, "label", list(cuts.values())).withColumn("split", split).drop("_k", "_copy")
     if "attack_type" in df.columns:
         out = out.withColumn("attack_type", F.when(benign, F.lit(BENIGN_LABEL)).otherwise(F.col("attack_type")))
     return out

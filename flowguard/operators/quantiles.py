@@ -1,182 +1,138 @@
 """Exact order statistics without collecting a column into one task.
 
-A column is narrowed to the value interval that must hold the wanted rank by counting rows in equal
-bins (partial counts per task, at most BINS rows per target reach the driver). Once the interval holds
-few enough rows, the value is read from those rows alone: three passes for most data.
+Percentiles: a rank is bracketed by values of a quantile sketch, then rows are counted exactly against those
+values. A round finds the value or leaves an open interval with at most about 6 / ACCURACY of the rows, so
+ten thousand million rows take three rounds. No arithmetic is done on values, so any finite double will do.
+
+Hash cuts: prefix counts, three hex digits more per pass. A pass ends the search when the cut falls on the
+edge of a prefix; the number of passes is bounded by the key's length.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-DIRECT_ROWS = 100_000
-BINS = 1024
+ACCURACY = 10_000
+PREFIX_DIGITS = 3
 
 
-def exact_percentiles(
-    df: DataFrame, wanted: dict[str, list[float]], direct_rows: int = DIRECT_ROWS
-) -> dict[str, list[float | None]]:
+def exact_percentiles(df: DataFrame, wanted: dict[str, list[float]], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """Linear-interpolated percentiles of non-null values; NaN and infinities must be null already."""
     cols = list(wanted)
     if not cols:
         return {}
-    ends = df.agg(
-        *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)],
-    ).first()
-    if max(ends[f"n{i}"] for i in range(len(cols))) <= direct_rows:
-        row = df.agg(
-            *[
-                F.percentile(F.col(f"`{c}`").cast("double"), [float(p) for p in wanted[c]]).alias(f"q{i}")
-                for i, c in enumerate(cols)
-            ]
-        ).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(wanted[c]) for i, c in enumerate(cols)}
-    ranks: dict[tuple[str, int], dict] = {}
-    for i, c in enumerate(cols):
-        n = ends[f"n{i}"]
-        for p in wanted[c]:
-            if n:
-                at = p * (n - 1)
-                for k in {math.floor(at), math.ceil(at)}:
-                    ranks[(c, k)] = {"lo": ends[f"lo{i}"], "hi": ends[f"hi{i}"], "below": 0, "n": n}
-    values = _order_statistics(df, ranks, direct_rows)
+    xs = [F.col(f"`{c}`").cast("double") for c in cols]
+    sizes = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
+    ranks = [sorted({r for p in wanted[c] for r in (math.floor(p * (sizes[i] - 1)), math.ceil(p * (sizes[i] - 1)))}) if sizes[i] else [] for i, c in enumerate(cols)]
+    values = _order_statistics(df, xs, list(sizes), ranks, accuracy)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        n = ends[f"n{i}"]
-        row = []
+        row: list[float | None] = []
         for p in wanted[c]:
-            if not n:
-                row.append(None)
-                continue
-            at = p * (n - 1)
-            lo, hi = values[(c, math.floor(at))], values[(c, math.ceil(at))]
-            row.append(lo + (hi - lo) * (at - math.floor(at)))
+            at = p * (sizes[i] - 1)
+            row.append(_between(values[i, math.floor(at)], values[i, math.ceil(at)], at - math.floor(at)) if sizes[i] else None)
         out[c] = row
     return out
 
 
-Interval = tuple[str, float, float]
-
-
-def _inside(intervals: list[Interval], with_bin: bool):
-    """One struct per interval that holds the row's value: (interval, value[, bin])."""
-    marks = []
-    for j, (name, lo, hi) in enumerate(intervals):
-        x = F.col(f"`{name}`").cast("double")
-        parts = [F.lit(j).alias("j"), x.alias("x")]
-        if with_bin:
-            share = (x - F.lit(lo)) / F.lit(hi - lo)
-            parts.append(F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-        marks.append(F.when((x >= lo) & (x <= hi), F.struct(*parts)))
-    return F.explode(F.array_compact(F.array(*marks))).alias("m")
-
-
-def _order_statistics(df: DataFrame, targets: dict[tuple[str, int], dict], direct_rows: int) -> dict[tuple[str, int], float]:
-    values: dict[tuple[str, int], float] = {}
-
-    def interval(key: tuple[str, int]) -> Interval:
-        return key[0], targets[key]["lo"], targets[key]["hi"]
-
-    while True:
-        values |= {key: t["lo"] for key, t in targets.items() if t["lo"] == t["hi"]}
-        wide = [k for k, t in targets.items() if k not in values and t["n"] > direct_rows]
-        if not wide:
-            break
-        intervals = sorted({interval(k) for k in wide})  # neighbouring ranks share one
-        counts = (
-            df.select(_inside(intervals, True))
-            .groupBy("m.j", "m.bin")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("m.x").alias("lo"), F.max("m.x").alias("hi"))
-            .collect()  # at most BINS rows per interval
-        )
-        for key in wide:
-            j, below = intervals.index(interval(key)), targets[key]["below"]
-            for r in sorted((r for r in counts if r["j"] == j), key=lambda r: r["bin"]):
-                if key[1] < below + r["n"]:
-                    targets[key] = {"lo": r["lo"], "hi": r["hi"], "below": below, "n": r["n"]}
+def _between(lo: float, hi: float, share: float) -> float:
+    value = lo + (hi - lo) * share
+    return value if math.isfinite(value) else lo * (1 - share) + hi * share
+
+
+def _order_statistics(df: DataFrame, xs: list, sizes: list[int], ranks: list[list[int]], accuracy: int) -> dict[tuple[int, int], float]:
+    values: dict[tuple[int, int], float] = {}
+    # rank -> open interval (low, high) that holds it, rows before it, rows inside
+    open_ = {(i, k): (None, None, 0, sizes[i]) for i, ks in enumerate(ranks) for k in ks}
+    while open_:
+        probes = _probes(df, xs, open_, accuracy)
+        marks = []
+        for i, vs in probes.items():
+            # 2 j: between probes j - 1 and j; 2 j + 1: equal to probe j
+            place = sum(((xs[i] > F.lit(v)).cast("int") + (xs[i] >= F.lit(v)).cast("int") for v in vs), F.lit(0))
+            marks.append(F.when(xs[i].isNotNull(), F.struct(F.lit(i).alias("i"), place.alias("place"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.i", "m.place").count().collect()
+        counted: dict[int, dict[int, int]] = {}
+        for r in rows:
+            counted.setdefault(r["i"], {})[r["place"]] = r["count"]
+        for i, k in list(open_):
+            below, vs = 0, probes[i]
+            for place in range(2 * len(vs) + 1):
+                n = counted[i].get(place, 0)
+                if k < below + n:
                     break
-                below += r["n"]
-    narrow = [k for k in targets if k not in values]
-    if narrow:
-        intervals = sorted({interval(k) for k in narrow})
-        offsets = [sorted({k[1] - targets[k]["below"] for k in narrow if interval(k) == i}) for i in intervals]
-        at = F.element_at(F.array(*[F.array(*[F.lit(o + 1) for o in os]) for os in offsets]), F.col("j") + 1)
-        found = (
-            df.select(_inside(intervals, False))
-            .groupBy(F.col("m.j").alias("j"))
-            .agg(F.array_sort(F.collect_list("m.x")).alias("xs"))  # at most direct_rows values per interval
-            .select("j", F.transform(at, lambda o: F.element_at("xs", o)).alias("picked"))
-            .collect()
-        )
-        picked = {(intervals[r["j"]], o): x for r in found for o, x in zip(offsets[r["j"]], r["picked"])}
-        values |= {k: picked[(interval(k), k[1] - targets[k]["below"])] for k in narrow}
+                below += n
+            if place % 2:
+                values[i, k] = vs[place // 2]
+                del open_[i, k]
+            else:
+                j = place // 2
+                open_[i, k] = (vs[j - 1] if j else None, vs[j] if j < len(vs) else None, below, n)
     return values
 
 
-def hash_cutoffs(
-    df: DataFrame, hash_col: str, group_col: str, wanted: dict, direct_rows: int = 50_000
-) -> tuple[dict, dict]:
-    """k-th smallest hex hash per group: ({group: rows}, {(group, k): hash}).
+def _probes(df: DataFrame, xs: list, open_: dict, accuracy: int) -> dict[int, list[float]]:
+    """Per column the sorted values to count against: for each rank three from the sketch of its interval, and the interval's ends."""
+    intervals: dict[tuple, list[float]] = {}
+    for (i, k), (low, high, below, n) in open_.items():
+        at = (k - below + 0.5) / n
+        near = 2.0 / accuracy
+        intervals.setdefault((i, low, high), []).extend(min(1.0, max(0.0, p)) for p in (at - near, at, at + near))
+    sketches = []
+    for m, ((i, low, high), shares) in enumerate(intervals.items()):
+        inside = xs[i].isNotNull()
+        inside = inside & (xs[i] > F.lit(low)) if low is not None else inside
+        inside = inside & (xs[i] < F.lit(high)) if high is not None else inside
+        sketches.append(F.percentile_approx(F.when(inside, xs[i]), shares, accuracy).alias(f"s{m}"))
+    found = df.agg(*sketches).first()
+    out: dict[int, set[float]] = {}
+    for values, (i, low, high) in zip(found, intervals, strict=True):
+        out.setdefault(i, set()).update(v for v in (*values, low, high) if v is not None)
+    return {i: sorted(vs) for i, vs in out.items()}
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Rows whose key starts below or with ``prefix``; with ``take``, of the rows equal to it only so many."""
 
-    ``wanted`` maps a row count to the ranks needed: ``wanted(group, n) -> list[k]`` (1-based; 0 gives "").
-    Prefix counts are refined three hex digits at a time until the prefix that holds the rank is small.
+    prefix: str
+    take: int | None = None
+
+
+def hash_cutoffs(df: DataFrame, key_col: str, group_col: str, wanted, digits: int) -> tuple[dict, dict[tuple, Cut]]:
+    """Cuts after the k smallest hex keys (of ``digits`` digits) per group: ({group: rows}, {(group, k): Cut}).
+
+    ``wanted`` maps a row count to the counts needed: ``wanted(group, n) -> list[k]`` (0 gives the empty prefix).
     """
-    width = 3
-    prefix = F.substring(hash_col, 1, width)
-    first = df.groupBy(F.col(group_col).alias("g"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    width = min(PREFIX_DIGITS, digits)
+
+    def counts(rows: DataFrame) -> list:
+        return rows.groupBy(F.col(group_col).alias("g"), F.substring(key_col, 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+
+    rows = counts(df)
     totals: dict = {}
-    for r in first:
+    for r in rows:
         totals[r["g"]] = totals.get(r["g"], 0) + r["n"]
-    cutoffs: dict = {}
-    open_: dict = {}
-    for g, n in totals.items():
-        for k in wanted(g, n):
-            if k <= 0:
-                cutoffs[(g, k)] = ""
+    cuts: dict[tuple, Cut] = {(g, k): Cut("") for g, n in totals.items() for k in wanted(g, n) if k <= 0}
+    open_ = {(g, k): ("", 0) for g, n in totals.items() for k in wanted(g, n) if k > 0}
+    while open_:
+        for (g, k), (start, below) in list(open_.items()):
+            for r in sorted((r for r in rows if r["g"] == g and r["p"].startswith(start)), key=lambda r: r["p"]):
+                if k <= below + r["n"]:
+                    break
+                below += r["n"]
+            if k == below + r["n"] or width == digits:
+                cuts[g, k] = Cut(r["p"], None if k == below + r["n"] else k - below)
+                del open_[g, k]
             else:
-                open_[(g, k)] = _locate(first, g, k, 0)
-    while any(t[2] > direct_rows for t in open_.values()):
-        width += 3
-        prefixes = sorted({(g, t[0]) for (g, _), t in open_.items() if t[2] > direct_rows})
-        match = F.lit(False)
-        for g, p in prefixes:
-            match = match | ((F.col(group_col) == F.lit(g)) & F.col(hash_col).startswith(p))
-        rows = (
-            df.filter(match)
-            .groupBy(F.col(group_col).alias("g"), F.substring(hash_col, 1, width).alias("p"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        for key, (p, below, n) in list(open_.items()):
-            if n > direct_rows:
-                inside = [r for r in rows if r["p"].startswith(p)]
-                open_[key] = _locate(inside, key[0], key[1], below)
-    if open_:
-        # One pass for all remaining targets; a prefix holds at most direct_rows hashes.
-        targets = {(key[0], t[0]) for key, t in open_.items()}
-        label = F.lit(None).cast("string")
-        for g, p in sorted(targets):
-            label = F.when((F.col(group_col) == F.lit(g)) & F.col(hash_col).startswith(p), F.lit(f"{g}|{p}")).otherwise(label)
-        inside = df.select(label.alias("t"), F.col(hash_col).alias("h")).filter("t IS NOT NULL")
-        offsets: dict[str, list[int]] = {}
-        for (g, k), (p, below, _) in open_.items():
-            offsets.setdefault(f"{g}|{p}", []).append(k - below)
-        wanted_at = F.create_map(*[c for t, ks in offsets.items() for c in (F.lit(t), F.array(*[F.lit(k) for k in ks]))])
-        sorted_hashes = inside.groupBy("t").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-        found = sorted_hashes.select("t", F.transform(wanted_at[F.col("t")], lambda k: F.element_at("hs", k)).alias("picked")).collect()
-        picked = {(r["t"], k): h for r in found for k, h in zip(offsets[r["t"]], r["picked"])}
-        for (g, k), (p, below, _) in open_.items():
-            cutoffs[(g, k)] = picked[(f"{g}|{p}", k - below)]
-    return totals, cutoffs
-
-
-def _locate(rows, group, k: int, below: int) -> tuple[str, int, int]:
-    for r in sorted((r for r in rows if r["g"] == group), key=lambda r: r["p"]):
-        if k <= below + r["n"]:
-            return r["p"], below, r["n"]
-        below += r["n"]
-    raise ValueError("rank beyond the group")
+                open_[g, k] = (r["p"], below)
+        if open_:
+            width = min(width + PREFIX_DIGITS, digits)
+            match = F.lit(False)
+            for g, p in sorted({(g, start) for (g, _), (start, _) in open_.items()}):
+                match = match | (F.col(group_col).eqNullSafe(F.lit(g)) & F.col(key_col).startswith(p))
+            rows = counts(df.filter(match))
+    return totals, cuts

@@ -129,7 +129,7 @@ def _psi(x: str) -> str:
 
 MI = (
     LABELLED
-    + f""", s AS (SELECT *, md5(concat('42|', row_id)) AS h FROM labelled ORDER BY md5(concat('42|', row_id)) LIMIT 50000),
+    + f""", s AS (SELECT *, md5(concat('42|', row_id)) AS h FROM labelled),
 l AS (SELECT label_ AS y, h, feature, x FROM s UNPIVOT (x FOR feature IN ({", ".join(MI_FEATURES)}))),
 st AS (SELECT feature, avg(x) AS mu, stddev_pop(x) AS sd, greatest(1, avg(abs(x)) / stddev_pop(x)) AS sc FROM l GROUP BY feature),
 p AS (SELECT l.feature, y, h, CAST(round((x - mu) / sd * 1e15) AS BIGINT) + CAST(round((CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE - 0.5) * 3.4641016151377544::DOUBLE * 1e-10 * sc * 1e15) AS BIGINT) AS v
@@ -154,6 +154,26 @@ def select_by_mi(spark, sf):
     return sl.select_by_mi(sl.mutual_information(labelled(spark, sf), MI_FEATURES)).select("feature", "kept")
 
 
+
+
+@query(
+    "split_with_repeated_ids",
+    LABELLED
+    + """, g AS (SELECT label_, count(*) AS n FROM labelled GROUP BY ALL),
+z AS (SELECT *, CAST(ceil(n * 0.3::DOUBLE) AS BIGINT) AS rem FROM g)
+SELECT label_ AS label, split, c AS n FROM (
+  SELECT label_, 'train' AS split, n - rem AS c FROM z WHERE label_ = 0
+  UNION ALL SELECT label_, 'val', rem - CAST(ceil(rem * 0.5) AS BIGINT) FROM z WHERE label_ = 0
+  UNION ALL SELECT label_, 'test', CAST(ceil(rem * 0.5) AS BIGINT) FROM z WHERE label_ = 0
+  UNION ALL SELECT label_, 'val', n - CAST(ceil(n * 0.5) AS BIGINT) FROM z WHERE label_ = 1
+  UNION ALL SELECT label_, 'test', CAST(ceil(n * 0.5) AS BIGINT) FROM z WHERE label_ = 1)""",
+)
+def split_with_repeated_ids(spark, sf):
+    """Sizes are exact although two ids stand for all rows and rows repeat."""
+    few = labelled(spark, sf).select((F.col("f_quantity") > 25).cast("string").alias("row_id"), "label", "attack_type")
+    return pp.one_class_split(few).groupBy(F.col("label").cast("int").alias("label"), "split").agg(F.count(F.lit(1)).alias("n"))
+
+
 SPLIT = (
     LABELLED
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY label_ ORDER BY md5(concat('42|', row_id))) AS rn, count(*) OVER (PARTITION BY label_) AS n FROM labelled),

@@ -55,26 +55,47 @@ def test_nonfinite_and_median(spark):
     assert sorted(r[0] for r in pp.impute_median(clean, ["v"]).collect()) == [1.0, 2.5, 2.5, 2.5, 2.5, 4.0]
 
 
-@pytest.mark.parametrize("direct", [1, 7, 10_000])
-def test_exact_percentiles_by_narrowing(spark, direct):
+@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
+def test_exact_percentiles_by_narrowing(spark, accuracy):
     rng = np.random.RandomState(3)
     pdf = pd.DataFrame({"heavy": rng.standard_cauchy(3000) ** 3, "tied": rng.randint(0, 5, 3000).astype(float), "one": 7.0})
     df = spark.createDataFrame(pdf).repartition(5)
     want = {c: [0.0, 0.01, 0.5, 0.995, 1.0] for c in pdf}
-    got = exact_percentiles(df, want, direct_rows=direct)
+    got = exact_percentiles(df, want, accuracy=accuracy)
     for c in pdf:
         assert np.allclose(got[c], np.percentile(pdf[c], [p * 100 for p in want[c]]), rtol=1e-12)
 
 
-@pytest.mark.parametrize("direct", [3, 100_000])
-def test_hash_cutoffs(spark, direct):
+def test_exact_percentiles_of_extreme_values(spark):
+    big = 1.7e308
+    df = spark.createDataFrame([(-big,), (big,), (big,), (None,), (0.0,), (-0.0,), (1e-300,)], "v double")
+    assert exact_percentiles(df, {"v": [0.0, 0.5, 1.0]}, accuracy=10) == {"v": [-big, 5e-301, big]}
+    assert exact_percentiles(df.filter("v IS NULL"), {"v": [0.5]}) == {"v": [None]}
+    assert exact_percentiles(df.filter("abs(v) > 1"), {"v": [0.25]})["v"][0] == 0.0
+
+
+def test_hash_cutoffs(spark):
     df = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("h"), (F.col("id") % 3 == 0).cast("int").alias("g"))
-    totals, cut = hash_cutoffs(df, "h", "g", lambda g, n: [0, 1, n // 2, n], direct)
+    totals, cuts = hash_cutoffs(df, "h", "g", lambda g, n: [0, 1, n // 2, n], 32)
     pdf = df.toPandas()
     for g, n in totals.items():
         hs = sorted(pdf[pdf.g == g].h)
         assert n == len(hs)
-        assert [cut[(g, k)] for k in (0, 1, n // 2, n)] == ["", hs[0], hs[n // 2 - 1], hs[-1]]
+        for k in (0, 1, n // 2, n):
+            cut = cuts[g, k]
+            assert cut.take is None and sum(bool(cut.prefix) and h[: len(cut.prefix)] <= cut.prefix for h in hs) == k
+
+
+def test_repeated_ids_are_cut_exactly(spark):
+    rows = [(None, 1.0)] * 500 + [("a", float(i % 7)) for i in range(300)] + [("a", None)] * 200
+    df = spark.createDataFrame(rows, "row_id string, x double").repartition(6)
+    for n in (1, 250, 555, 999):
+        part = pp.subsample(df, n)
+        assert part.columns == df.columns and part.count() == n
+    again = sorted(map(str, pp.subsample(df.repartition(3), 555).collect()))
+    assert again == sorted(map(str, pp.subsample(df, 555).collect()))
+    split = pp.one_class_split(df.withColumn("label", F.lit(0)))
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 700, "val": 150, "test": 150}
 
 
 def test_subsample_is_exact_and_partition_independent(spark):
