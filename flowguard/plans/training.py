@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowguard.detectors.common import is_small, materialise, raw_scores, spread
+from flowguard.detectors.common import raw_scores, spread
 from flowguard.detectors.iforest import IsolationForest
 from flowguard.detectors.ocsvm import OneClassSVM
 from flowguard.detectors.vae import VAE
 from flowguard.operators import ensemble as en, metrics as mt, normalise as nm, prep as pp, selection as sl
 from flowguard.operators.quantiles import exact_percentiles
+from flowguard.session import materialise
 
 
 @dataclass
@@ -20,6 +21,7 @@ class TrainingConfig:
     seed: int = pp.SEED
     skew_threshold: float = pp.SKEW_THRESHOLD
     mi_drop_percentile: float = sl.DROP_PERCENTILE
+    mi_sample: int | None = None  # rows for mutual information; all by default
     trees: int = 300
     tree_rows: int = 256
     svm_rounds: int = 4
@@ -45,8 +47,7 @@ def prepare(flows: DataFrame, config: TrainingConfig, id_columns: list[str]) ->
     labelled = pp.drop_listed(pp.binarise_label(pp.normalise_label(flows)))
     features = [c for c in pp.numeric_columns(labelled) if c not in (*id_columns, "label")]
     labelled = labelled.select(*id_columns, "label", "attack_type", *[pp.q(c) for c in features])
-    if is_small(labelled):
-        labelled = materialise(spread(labelled, id_columns[0]))
+    labelled = spread(labelled)
     skewed = pp.skewed_columns(labelled, features, config.skew_threshold)
     logged = pp.signed_log1p(labelled, skewed)
     constant = set(pp.zero_variance_columns(logged, features))
@@ -55,7 +56,7 @@ def prepare(flows: DataFrame, config: TrainingConfig, id_columns: list[str]) ->
     filled = pp.impute_median(clean, features).select(*id_columns, "label", "attack_type", *[pp.q(c) for c in features])
     # Everything below reads this table several times; it is written once.
     filled = materialise(filled)
-    scores = sl.mutual_information(filled, features, seed=config.seed, id_columns=id_columns)
+    scores = sl.mutual_information(filled, features, sample=config.mi_sample, seed=config.seed, id_columns=id_columns)
     kept = {r["feature"]: r["kept"] for r in sl.select_by_mi(scores, config.mi_drop_percentile).collect()}
     dropped = [c for c in features if not kept.get(c, False)]
     features = [c for c in features if kept.get(c, False)]
