@@ -11,7 +11,6 @@ Counts cover all labelled training rows; windows cover whole texts.
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -28,8 +27,9 @@ WINDOW_WORDS = 4
 HIGH_RATIO = 3.0
 PIECE = 48  # a longer word is read in pieces of so many letters
 HELD_WORDS = 200_000
-#: The model that tasks hold has at most so many n-grams; beyond it the least count to enter is raised.
-MAX_ENTRIES = 1_000_000
+LEAST_COUNT = 2  # n-grams seen once are left to the shared model
+#: Tasks hold about so many entries of the model at a time; a larger model takes more passes over the texts, and drops nothing.
+SLICE_ENTRIES = 1_000_000
 #: Grid on which the curve is fitted: cells of both figures, so its size does not grow with the rows.
 PEAK_STEP, PEAK_CELLS, SHARE_STEP = 0.1, 200, 0.01
 
@@ -104,10 +104,11 @@ def ngram_counts(labelled: DataFrame) -> DataFrame:
 
 @dataclass
 class Ratios:
-    """Log-likelihood ratios (toxic over ordinary): of seen n-grams, and of unseen letters after a history."""
+    """Log-likelihood ratios (toxic over ordinary): of seen n-grams, and of unseen letters after a history. One slice of a model will do: slices add up."""
 
     gram: dict[str, float]
     history: dict[str, float]
+    last: bool = True
 
     def word(self, word: str) -> float:
         gram, history, total = self.gram, self.history, 0.0
@@ -118,70 +119,63 @@ class Ratios:
         return total
 
 
-def kneser_ney(grams: list[str], toxic: list[int], ordinary: list[int], discount: float = DISCOUNT) -> Ratios:
-    """Interpolated Kneser-Ney per class over a shared continuation model."""
+def kneser_ney(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """Log-likelihood ratios of interpolated Kneser-Ney models per class over a shared continuation model.
+
+    ``grams`` (gram, toxic, ordinary) is a staged table of n-grams of 2 to ORDER letters. Returns (history, gram, ratio);
+    a null gram stands for letters not seen after the history.
+    """
+    history, tail = F.expr("substring(gram, 1, length(gram) - 1)"), F.expr("substring(gram, 2)")
+    letters = max(1, grams.agg(F.count_distinct(F.expr("right(gram, 1)"))).first()[0])
     # shared lower orders: how many different letters stand before each shorter n-gram
-    shorter: dict[str, int] = {}
-    level = set(grams)
-    by_length: dict[int, set[str]] = defaultdict(set)
-    for g in level:
-        by_length[len(g)].add(g)
+    shorter: dict[int, DataFrame] = {}
+    level = grams.filter(F.length("gram") == ORDER).select("gram")
     for length in range(ORDER, 1, -1):
-        for g in by_length[length]:
-            tail = g[1:]
-            shorter[tail] = shorter.get(tail, 0) + 1
-            by_length[length - 1].add(tail)
-    total: dict[str, int] = defaultdict(int)
-    kinds: dict[str, int] = defaultdict(int)
-    for g, n in shorter.items():
-        total[g[:-1]] += n
-        kinds[g[:-1]] += 1
-    letters = max(1, len({g[-1] for g in grams}))
-    known: dict[str, float] = {}
-
-    def shared(gram: str) -> float:
-        p = known.get(gram)
-        if p is None:
-            below = shared(gram[1:]) if len(gram) > 1 else 1.0 / letters
-            n = total.get(gram[:-1], 0)
-            p = below if not n else (max(shorter.get(gram, 0) - discount, 0) + discount * kinds[gram[:-1]] * below) / n
-            known[gram] = p
-        return p
-
-    seen: list[dict[str, list[int]]] = [defaultdict(lambda: [0, 0]) for _ in range(3)]
-    for g, *counts in zip(grams, toxic, ordinary, strict=True):
-        counts.append(sum(counts))
-        for c in (0, 1, 2):
-            if counts[c]:
-                held = seen[c][g[:-1]]
-                held[0] += counts[c]
-                held[1] += 1
-
-    def share(c: int, history: str) -> float:
-        held = seen[c].get(history)
-        return discount * held[1] / held[0] if held else 1.0
-
-    ratios = {}
-    for g, *counts in zip(grams, toxic, ordinary, strict=True):
-        history, logs = g[:-1], []
-        pooled = max(sum(counts) - discount, 0) / seen[2][history][0] if sum(counts) else 0.0
-        pooled += share(2, history) * shared(g[1:])
-        for c in (0, 1):
-            held = seen[c].get(history)
-            logs.append(math.log((max(counts[c] - discount, 0) / held[0] if held else 0.0) + share(c, history) * pooled))
-        ratios[g] = logs[0] - logs[1]
-    histories = {h: math.log(share(0, h)) - math.log(share(1, h)) for h in seen[2]}
-    return Ratios(ratios, histories)
-
-
-def fit_ratios(counts: DataFrame, max_entries: int = MAX_ENTRIES) -> Ratios:
-    """The model of staged counts. N-grams seen once are left to the shared model; the least count rises further if needed."""
-    least = 2
-    levels = counts.groupBy(F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000)).alias("n")).count().collect()
-    while sum(r["count"] for r in levels if r["n"] >= least) > max_entries and least < 1000:
-        least += 1
-    rows = counts.filter(F.col("toxic") + F.col("ordinary") >= least).orderBy("gram").toArrow()
-    return kneser_ney(*(rows.column(c).to_pylist() for c in ("gram", "toxic", "ordinary")))
+        shorter[length - 1] = stage(level.groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "toxic-shorter")
+        level = grams.filter(F.length("gram") == length - 1).select("gram").union(shorter[length - 1].select("gram")).distinct()
+    shared = None
+    for length in range(1, ORDER):
+        counted = shorter[length].withColumn("after", history)
+        sums = counted.groupBy("after").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        joined = counted.join(sums, "after")
+        if shared is None:
+            joined = joined.withColumn("below", F.lit(1.0 / letters))
+        else:
+            joined = joined.join(shared.select(F.col("gram").alias("end"), F.col("p").alias("below")), tail == F.col("end"))
+        p = (F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("kinds") * F.col("below")) / F.col("total")
+        here = stage(joined.select("gram", p.alias("p")), "toxic-shared")
+        lower = here if shared is None else lower.union(here)
+        shared = here
+    both = F.col("toxic") + F.col("ordinary")
+    classes = {"toxic": F.col("toxic"), "ordinary": F.col("ordinary"), "pooled": both}
+    seen = stage(
+        grams.groupBy(history.alias("history")).agg(
+            *[F.sum(c).alias(f"{name}_sum") for name, c in classes.items()], *[F.count_if(c > 0).alias(f"{name}_kinds") for name, c in classes.items()]
+        ),
+        "toxic-histories",
+    )
+
+    def share(name: str) -> Column:
+        return F.when(F.col(f"{name}_sum") > 0, discount * F.col(f"{name}_kinds") / F.col(f"{name}_sum")).otherwise(1.0)
+
+    def seen_part(name: str) -> Column:
+        return F.when(F.col(f"{name}_sum") > 0, F.greatest(classes[name] - discount, F.lit(0.0)) / F.col(f"{name}_sum")).otherwise(0.0)
+
+    placed = grams.withColumns({"history": history, "tail": tail}).join(seen, "history").join(lower.select(F.col("gram").alias("tail"), "p"), "tail")
+    pooled = seen_part("pooled") + share("pooled") * F.col("p")
+    ratio = F.ln(seen_part("toxic") + share("toxic") * pooled) - F.ln(seen_part("ordinary") + share("ordinary") * pooled)
+    unseen = seen.select("history", F.lit(None).cast("string").alias("gram"), (F.ln(share("toxic")) - F.ln(share("ordinary"))).alias("ratio"))
+    return stage(placed.select("history", "gram", ratio.alias("ratio")).union(unseen), "toxic-model")
+
+
+def model_slices(model: DataFrame, entries: int = SLICE_ENTRIES) -> Iterator[Ratios]:
+    """The model in parts of about ``entries`` rows, an n-gram and its history in the same one."""
+    slices = max(1, -(-model.count() // entries))
+    for no in range(slices):
+        rows = model.filter(F.pmod(F.xxhash64("history"), F.lit(slices)) == no).toArrow().to_pylist()
+        yield Ratios(
+            {r["gram"]: r["ratio"] for r in rows if r["gram"] is not None}, {r["history"]: r["ratio"] for r in rows if r["gram"] is None}, no == slices - 1
+        )
 
 
 def window_score(values: np.ndarray, window: int = WINDOW_WORDS) -> float:
@@ -192,7 +186,12 @@ def window_score(values: np.ndarray, window: int = WINDOW_WORDS) -> float:
     return float((sums[window:] - sums[:-window]).max() if len(values) > window else sums[-1]) / window
 
 
-def _score(model):
+PARTIAL = "doc_id long, text string, sums binary"
+
+
+def _score(model, last: bool):
+    """One pass: the ratios of every word from one slice of the model, added to ``sums``; the last pass makes the two figures."""
+
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = Ratios(*model.value)
 
@@ -205,18 +204,37 @@ def _score(model):
 
         cache = Cache()
         for batch in batches:
-            peaks, shares = [], []
-            for text in batch.column("text"):
+            peaks, shares, sums = [], [], []
+            for text, so_far in zip(batch.column("text"), batch.column("sums"), strict=True):
                 words = words_of(text.as_py())
                 values = np.fromiter(map(cache.__getitem__, words), float, len(words))
-                peaks.append(window_score(values))
-                shares.append(float(np.sqrt((values > HIGH_RATIO).mean())) if len(values) else 0.0)
-            columns = [batch.column("doc_id"), pa.array(peaks, pa.float64()), pa.array(shares, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "peak", "share"])
+                if so_far.is_valid:
+                    values += np.frombuffer(so_far.as_py())
+                if last:
+                    peaks.append(window_score(values))
+                    shares.append(float(np.sqrt((values > HIGH_RATIO).mean())) if len(values) else 0.0)
+                else:
+                    sums.append(values.tobytes())
+            if last:
+                columns = [batch.column("doc_id"), pa.array(peaks, pa.float64()), pa.array(shares, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "peak", "share"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(sums, pa.binary())], ["doc_id", "text", "sums"])
 
     return score
 
 
+def scored(docs: DataFrame, model: DataFrame, entries: int = SLICE_ENTRIES) -> DataFrame:
+    """doc_id, peak, share of texts (doc_id, text) under a model of any size: one pass per slice."""
+    spark = docs.sparkSession
+    rows = docs.withColumn("sums", F.lit(None).cast("binary"))
+    for part in model_slices(model, entries):
+        shipped = spark.sparkContext.broadcast((part.gram, part.history))
+        step = rows.mapInArrow(_score(shipped, part.last), "doc_id long, peak double, share double" if part.last else PARTIAL)
+        rows = stage(step, "toxic-raw")
+    return rows
+
+
 def calibrate(cells: list[tuple[float, float, int, int]]) -> tuple[float, float, float]:
     """Weights of peak and share and the intercept of a logistic curve from (peak, share, label, count), by Newton steps.
 
@@ -253,7 +271,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts enter a score. A document with two labels counts as toxic if one says so; null labels are
     left out. Empty and null texts get the score of no evidence. Without labels every score is that.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = stage(
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -266,9 +283,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = known.count()
     counting = known.filter(fold(F.col("label_id")) < 4)
     labelled = own.join(sized(counting, rows, 16), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-    ratios = fit_ratios(stage(ngram_counts(labelled), "toxic-counts"))
-    model = spark.sparkContext.broadcast((ratios.gram, ratios.history))
-    raw = stage(own.mapInArrow(_score(model), "doc_id long, peak double, share double"), "toxic-raw")
+    counts = stage(ngram_counts(labelled).filter(F.col("toxic") + F.col("ordinary") >= LEAST_COUNT), "toxic-counts")
+    raw = scored(own, kneser_ney(counts))
     judged = raw.join(sized(known.filter(fold(F.col("label_id")) == 4), rows, 16), F.col("doc_id") == F.col("label_id"))
     peak = F.least(F.greatest(F.round(F.col("peak") / PEAK_STEP), F.lit(-PEAK_CELLS)), F.lit(PEAK_CELLS)) * PEAK_STEP
     share = F.round(F.col("share") / SHARE_STEP) * SHARE_STEP

@@ -1,5 +1,6 @@
 """Near duplicates, contamination, repeated passages, toxicity and the pipeline against brute force."""
 
+import math
 import os
 import random
 import sys
@@ -13,7 +14,7 @@ from flowguard.llm import catalog
 from flowguard.llm.chunk_dedup import chunks, gear, repeated_passages, without_repeats
 from flowguard.llm.decontaminate import best_end, contamination, words_of
 from flowguard.llm.near_dedup import near_groups
-from flowguard.llm.toxicity import fold, kneser_ney, score_toxicity, window_score
+from flowguard.llm.toxicity import DISCOUNT, ORDER, Ratios, fold, kneser_ney, model_slices, score_toxicity, scored, window_score
 from tests.llm.helpers import SENTENCE, awkward, awkward_rows, edit_distance, empty, near_components
 
 from pyspark.sql import functions as F
@@ -169,9 +170,65 @@ def test_repeated_passages_on_awkward_rows(spark):
     assert {r.doc_id for r in got} == {10, 11} and repeated_passages(empty(spark)).count() == 0
 
 
+def plain_kneser_ney(grams: list[str], toxic: list[int], ordinary: list[int], discount: float = DISCOUNT) -> Ratios:
+    """The same models from one dictionary."""
+    # shared lower orders: how many different letters stand before each shorter n-gram
+    shorter: dict[str, int] = {}
+    level = set(grams)
+    by_length: dict[int, set[str]] = defaultdict(set)
+    for g in level:
+        by_length[len(g)].add(g)
+    for length in range(ORDER, 1, -1):
+        for g in by_length[length]:
+            tail = g[1:]
+            shorter[tail] = shorter.get(tail, 0) + 1
+            by_length[length - 1].add(tail)
+    total: dict[str, int] = defaultdict(int)
+    kinds: dict[str, int] = defaultdict(int)
+    for g, n in shorter.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+    letters = max(1, len({g[-1] for g in grams}))
+    known: dict[str, float] = {}
+
+    def shared(gram: str) -> float:
+        p = known.get(gram)
+        if p is None:
+            below = shared(gram[1:]) if len(gram) > 1 else 1.0 / letters
+            n = total.get(gram[:-1], 0)
+            p = below if not n else (max(shorter.get(gram, 0) - discount, 0) + discount * kinds[gram[:-1]] * below) / n
+            known[gram] = p
+        return p
+
+    seen: list[dict[str, list[int]]] = [defaultdict(lambda: [0, 0]) for _ in range(3)]
+    for g, *counts in zip(grams, toxic, ordinary, strict=True):
+        counts.append(sum(counts))
+        for c in (0, 1, 2):
+            if counts[c]:
+                held = seen[c][g[:-1]]
+                held[0] += counts[c]
+                held[1] += 1
+
+    def share(c: int, history: str) -> float:
+        held = seen[c].get(history)
+        return discount * held[1] / held[0] if held else 1.0
+
+    ratios = {}
+    for g, *counts in zip(grams, toxic, ordinary, strict=True):
+        history, logs = g[:-1], []
+        pooled = max(sum(counts) - discount, 0) / seen[2][history][0] if sum(counts) else 0.0
+        pooled += share(2, history) * shared(g[1:])
+        for c in (0, 1):
+            held = seen[c].get(history)
+            logs.append(math.log((max(counts[c] - discount, 0) / held[0] if held else 0.0) + share(c, history) * pooled))
+        ratios[g] = logs[0] - logs[1]
+    histories = {h: math.log(share(0, h)) - math.log(share(1, h)) for h in seen[2]}
+    return Ratios(ratios, histories)
+
+
 def test_kneser_ney_ratios():
     grams = ["\x02a", "\x02ab", "ab\x03", "\x02b", "\x02ba", "ba\x03"]
-    ratios = kneser_ney(grams, [5, 5, 5, 0, 0, 0], [1, 1, 1, 9, 9, 9])
+    ratios = plain_kneser_ney(grams, [5, 5, 5, 0, 0, 0], [1, 1, 1, 9, 9, 9])
     assert ratios.word("ab") > 0 > ratios.word("ba") and ratios.gram["\x02a"] > 0 > ratios.gram["\x02b"]
     assert window_score(np.array([])) == 0 and window_score(np.array([0.0] * 50 + [8.0] + [0.0] * 50)) == 2.0
 
@@ -185,6 +242,22 @@ def auc(pairs):
     return (sum(positive) - len(positive) * (len(positive) + 1) / 2) / (len(positive) * (len(ranked) - len(positive)))
 
 
+def test_distributed_models_and_slices(spark):
+    rng = np.random.RandomState(5)
+    grams = sorted({"".join(rng.choice(list("abcé\x02\x03😀"), rng.randint(2, ORDER + 1))) for _ in range(800)})
+    rows = [(g, int(t), int(o)) for g, t, o in zip(grams, rng.poisson(2, len(grams)) + 1, rng.poisson(2, len(grams)))]
+    plain = plain_kneser_ney(*(list(c) for c in zip(*rows)))
+    model = kneser_ney(spark.createDataFrame(rows, "gram string, toxic long, ordinary long"))
+    parts = list(model_slices(model, 200))
+    assert len(parts) > 3 and [p.last for p in parts] == [False] * (len(parts) - 1) + [True]
+    for name, want in (("gram", plain.gram), ("history", plain.history)):
+        got = {k: v for p in parts for k, v in getattr(p, name).items()}
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=1e-9)
+    docs = spark.createDataFrame([(1, "abc cab éa 😀b"), (2, None), (3, ""), (4, "a" * 300)], "doc_id long, text string")
+    once, often = (sorted(scored(docs, model, n).collect()) for n in (10**6, 150))
+    assert np.allclose(np.array(once, float), np.array(often, float), atol=1e-9)
+
+
 @tables
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
