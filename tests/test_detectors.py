@@ -132,3 +132,36 @@ def test_training_scoring_and_artifacts(spark, planted, tmp_path):
     artifacts.save_metrics(tr.evaluate_model(scored), tr.evaluate_types(scored), 1.5, f"{folder}/metrics")
     m = spark.read.json(f"{folder}/metrics").first()
     assert m["training_time_seconds"] == 1.5 and m["per_attack_type"]["Benign"]["count"] > 0
+
+
+def test_blocks_do_not_depend_on_batches():
+    from flowguard.detectors.common import blocks
+
+    whole = pd.DataFrame({"a": range(1000)})
+    for size in (1, 7, 300, 1000):
+        got = list(blocks((whole.iloc[i : i + size] for i in range(0, 1000, size)), 256))
+        assert [len(b) for b in got] == [256, 256, 256, 232] and [v for b in got for v in b["a"]] == list(range(1000))
+
+
+def test_models_do_not_depend_on_batches_or_partitions(spark, monkeypatch):
+    from flowguard.detectors import common
+    from flowguard.detectors.iforest import IsolationForest
+    from flowguard.detectors.ocsvm import OneClassSVM
+    from flowguard.detectors.vae import VAE
+
+    for name in ("SHARD_ROWS", "MERGE_STATES"):
+        monkeypatch.setattr(common, name, {"SHARD_ROWS": 150, "MERGE_STATES": 4}[name])
+    rng = np.random.RandomState(1)
+    pdf = pd.DataFrame(rng.normal(size=(1000, 3)), columns=["x", "y", "z"])
+    pdf.insert(0, "row_id", [str(i) for i in range(1000)])
+    found = []
+    for parts, batch in ((2, "10000"), (5, "64")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        df = spark.createDataFrame(pdf).repartition(parts)
+        svm = OneClassSVM.fit(df, ["x", "y", "z"], rounds=2)
+        vae = VAE.fit(df, None, ["x", "y", "z"], max_epochs=2, local_epochs=1)
+        forest = IsolationForest.fit(df, ["x", "y", "z"], trees=5, tree_rows=32)
+        found.append((svm.weights, np.concatenate([v.ravel() for v in vae.params.values()]), forest.nodes))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    a, b = found
+    assert np.allclose(a[0], b[0], atol=1e-12) and np.allclose(a[1], b[1], atol=1e-6) and a[2].equals(b[2])
