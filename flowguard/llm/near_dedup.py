@@ -3,9 +3,10 @@
 Documents with equal shingle sets are one node. A node's signature takes one permutation of its shingle
 hashes, cut into bins; empty bins borrow from others by a fixed random walk per bin (optimal
 densification). Bands of the signature are buckets. Buckets yield star-shaped candidate edges only: from
-one hub to the other members, first with the smallest node as hub, then with hubs that differ by bucket, and only to
-members of other components. What is still apart in a bucket after that is compared across components,
-so that no link is lost. Every edge is confirmed on the full shingle sets.
+one hub to the other members, first with the node that meets most others as hub, then with hubs that differ by bucket,
+and only to members of other components. What is still apart in a bucket after that is compared across components,
+so that no link is lost. A pair is compared only if a bitmap of each set does not rule it out: elements whose bit the
+other set lacks cannot be common, so the bound never rejects a link. Every edge is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard.llm.common import sized, stage
 
 BANDS, ROWS = 40, 6  # a pair of similarity 0.8 misses all buckets with probability 5e-6
 BINS = BANDS * ROWS
 STAR_ROUNDS = 3
+MAP_WORDS = 16  # 64-bit words of a set's bitmap
 _ATTEMPTS = 4096
 _U = np.uint64
 
@@ -100,7 +102,27 @@ def bucket_ids(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SIGNED = "doc_id long, text_key long, n_shingles long, node long, buckets array<long>"
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit per shingle, in MAP_WORDS words; equal shingles of two sets have equal bits."""
+    bits = np.zeros(MAP_WORDS * 64, dtype=np.uint8)
+    bits[(shingles & _U(MAP_WORDS * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def may_link(percent: int) -> Column:
+    """Whether sets a and b of n_a and n_b shingles, bitmaps map_a and map_b, can be similar enough; never false for a link.
+
+    Each bit that only one set has stands for at least one shingle that the other lacks.
+    """
+    common = sum((F.bit_count(F.col(f"a{i}").bitwiseAND(F.col(f"b{i}"))) for i in range(MAP_WORDS)), F.lit(0))
+    most = F.least(F.col("n_a") - F.col("ones_a"), F.col("n_b") - F.col("ones_b")) + common
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
+#: What a side of a comparison has besides its bucket and bitmap: column, name before the side's letter.
+_SIDE = (("node", ""), ("n_node", "n"), ("label", "label"), ("ones", "ones"))
+
+SIGNED = "doc_id long, text_key long, n_shingles long, node long, buckets array<long>, map array<long>"
 
 
 def _signed(words: int):
@@ -114,6 +136,8 @@ def _signed(words: int):
                 ids = bucket_ids(signatures(some, walks)) if some else np.empty((0, BANDS), dtype=np.int64)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+                maps = np.concatenate([bitmap(s) for s in some]) if some else np.empty(0, dtype=np.int64)
+                map_ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, MAP_WORDS, 0))]).astype(np.int32)
                 nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -122,8 +146,9 @@ def _signed(words: int):
                         pa.array(sizes),
                         pa.array(nodes, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.ravel())),
+                        pa.ListArray.from_arrays(pa.array(map_ends), pa.array(maps)),
                     ],
-                    ["doc_id", "text_key", "n_shingles", "node", "buckets"],
+                    ["doc_id", "text_key", "n_shingles", "node", "buckets", "map"],
                 )
 
     return sign
@@ -190,19 +215,16 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     full = signed.filter("node IS NOT NULL")
     nodes = stage(
         full.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")
+            F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.first("map").alias("map")
         ),
         "near-nodes",
     )
     buckets = nodes.select(F.explode("buckets").alias("bucket"), "node", "n")
-    shared = stage(
-        buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1"),
-        "near-shared",
-    )
-    met = stage(buckets.join(shared.select("bucket"), "bucket"), "near-buckets")
-    in_play = stage(met.select("node").distinct(), "near-candidates")
+    shared = stage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-shared")
+    met = stage(buckets.join(shared, "bucket"), "near-buckets")
+    in_play = stage(met.groupBy("node").agg(F.sum("members").alias("weight")), "near-candidates")
     sets = _candidate_sets(docs, nodes, in_play, shingle_words)
-    wanted = met.select("bucket", "node", F.col("n").alias("n_node"))
+    wanted = stage(met.join(in_play, "node").select("bucket", "node", F.col("n").alias("n_node"), "weight"), "near-wanted")
     similar = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -213,9 +235,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     def ordered(pairs: DataFrame) -> DataFrame:
         return stage(pairs.filter(similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
-    hubs = shared.select("bucket", F.col("hub").alias("a"))
-    sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    hubs = stage(hubs.join(sizes, "a"), "near-hubs")
+    hubs = wanted.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n_node").alias("n_a")), F.struct("weight", "node")).alias("hub"))
+    hubs = stage(hubs.select("bucket", "hub.*"), "near-hubs")
     star = hubs.join(wanted, "bucket").filter("a != node").select("a", "n_a", F.col("node").alias("b"), F.col("n_node").alias("n_b"))
     tried = ordered(star)
     edges = confirmed(tried)
@@ -223,20 +244,22 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
         labels = components(edges)
         marked = wanted.join(labels, "node", "left").select("bucket", "node", "n_node", F.coalesce("label", "node").alias("label"))
         split = stage(marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket"), "near-split")
-        apart = stage(marked.join(split, "bucket"), "near-apart")
+        maps = nodes.select("node", F.aggregate("map", F.lit(0), lambda n, word: n + F.bit_count(word)).alias("ones"), "map")
+        apart = stage(marked.join(split, "bucket").join(maps, "node"), "near-apart")
         if not apart.limit(1).count():
             break
-        left = apart.select("bucket", F.col("node").alias("a"), F.col("n_node").alias("n_a"), F.col("label").alias("label_a"))
+        left, right = (apart.select("bucket", *[F.col(c).alias(f"{new}_{s}" if new else s) for c, new in _SIDE], *[F.col("map")[i].alias(f"{s}{i}") for i in range(MAP_WORDS)]) for s in "ab")
         if turn < STAR_ROUNDS:
             pick = F.xxhash64("a", "bucket", F.lit(turn))
             # a quarter of the buckets at a time: what one quarter joins, the next need not compare
             left = left.filter(F.pmod("bucket", F.lit(4)) == turn)
-            left = stage(left.groupBy("bucket").agg(F.min_by(F.struct("a", "n_a", "label_a"), pick).alias("hub")).select("bucket", "hub.*"), "near-hubs")
+            left = stage(left.groupBy("bucket").agg(F.min_by(F.struct(*left.drop("bucket").columns), pick).alias("hub")).select("bucket", "hub.*"), "near-hubs")
+            once = F.lit(True)
         else:
             # what stars left apart: members of all components but the largest label's, against the others
-            left = stage(left.join(apart.groupBy("bucket").agg(F.mode("label").alias("most")), "bucket").filter("label_a != most"), "near-rest")
-        right = apart.select("bucket", F.col("node").alias("b"), F.col("n_node").alias("n_b"), F.col("label").alias("label_b"))
-        crossing = left.join(right, "bucket").filter("label_a != label_b")
+            left = stage(left.join(apart.groupBy("bucket").agg(F.mode("label", deterministic=True).alias("most")), "bucket").filter("label_a != most"), "near-rest")
+            once = F.expr("label_b = most OR a < b")  # of two outside the largest, one order is enough
+        crossing = left.join(right, "bucket").filter("label_a != label_b").filter(similar).filter(once).filter(may_link(percent))
         fresh = stage(ordered(crossing).join(tried, ["a", "b"], "left_anti"), "near-fresh")
         edges = stage(edges.union(confirmed(fresh)), "near-edges")
         tried = tried.union(fresh)
