@@ -257,7 +257,9 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
             once = F.lit(True)
         else:
             # what stars left apart: members of all components but the largest label's, against the others
-            left = stage(left.join(apart.groupBy("bucket").agg(F.mode("label", deterministic=True).alias("most")), "bucket").filter("label_a != most"), "near-rest")
+            held = apart.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("held"))
+            most = stage(held.groupBy("bucket").agg(F.max_by("label", F.struct("held", "label")).alias("most")), "near-most")
+            left = stage(left.join(most, "bucket").filter("label_a != most"), "near-rest")
             once = F.expr("label_b = most OR a < b")  # of two outside the largest, one order is enough
         crossing = left.join(right, "bucket").filter("label_a != label_b").filter(similar).filter(once).filter(may_link(percent))
         fresh = stage(ordered(crossing).join(tried, ["a", "b"], "left_anti"), "near-fresh")

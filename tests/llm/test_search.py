@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flowguard.llm import catalog
+from flowguard.llm import catalog, near_dedup
 from flowguard.llm.chunk_dedup import chunks, gear, repeated_passages, without_repeats
 from flowguard.llm.decontaminate import best_end, contamination, words_of
 from flowguard.llm.near_dedup import near_groups
@@ -53,6 +53,30 @@ def test_near_groups_of_a_loose_cluster(spark):
     assert as_rows(near_groups(df, 2)) == sorted(near_components(rows, 2), key=order)
 
 
+def test_bitmap_bound_never_rejects_a_link(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 9, 40, 150, 1500, 6000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0, 0.02, 0.05, 0.09, 0.11, 0.12, 0.16, 0.3):
+            other = rng.integers(0, 2**63, n, dtype=np.uint64)
+            sets.append(np.unique(np.where(rng.random(n) < share, other, base)))
+    rows, linked = [], []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(np.intersect1d(a, b))
+            ends = [[int(w) for w in near_dedup.bitmap(s)] for s in (a, b)]
+            ones = [sum((w & (2**64 - 1)).bit_count() for w in e) for e in ends]
+            rows.append((i, j, len(a), len(b), *ones, *ends[0], *ends[1]))
+            linked.append(100 * common >= 80 * (len(a) + len(b) - common))
+    names = ["i", "j", "n_a", "n_b", "ones_a", "ones_b", *[f"{s}{k}" for s in "ab" for k in range(near_dedup.MAP_WORDS)]]
+    table = spark.createDataFrame(rows, " long, ".join(names) + " long")
+    passed = {(r["i"], r["j"]) for r in table.filter(near_dedup.may_link(80)).select("i", "j").collect()}
+    assert any(linked)
+    assert {(r[0], r[1]) for r, yes in zip(rows, linked, strict=True) if yes} <= passed
+    assert len(passed) < len(rows) / 2
+
+
 @tables
 def test_near_groups_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
