@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowguard.session import ensure_checkpoint_dir
@@ -45,6 +48,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def give_back() -> None:
+    """At the end of a task: hands freed memory back to the system, since the worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it keep their free memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_kept(name: str, make: Callable[[], object]) -> object:
     """An object kept for the life of a Python worker, which serves many tasks; bounded caches belong here."""
     kept = sys.__dict__.setdefault("_flowguard_kept", {})

@@ -20,6 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from flowguard.llm.common import give_back
+
 RATE = 0.1  # word edits allowed per word of an item, rounded down
 REPETITIONS = 10
 #: Window classes: items of at least so many words are embedded by their first so many, with so many samples.
@@ -218,6 +220,8 @@ def _search(items: list[tuple[int | None, str]], rate: float, repetitions: int):
                     held, size = [], 0
         if held and (rows := run(held)):
             yield batch_of(rows)
+        held.clear()
+        give_back()
 
     return search
 

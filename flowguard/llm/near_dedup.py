@@ -18,11 +18,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowguard.llm.common import sized, stage
+from flowguard.llm.common import give_back, sized, stage
 
 BANDS, ROWS = 40, 6  # a pair of similarity 0.8 misses all buckets with probability 5e-6
 BINS = BANDS * ROWS
 STAR_ROUNDS = 3
+HELD_WORDS = 150_000  # word hashes that a task keeps
 MAP_WORDS = 16  # 64-bit words of a set's bitmap
 _ATTEMPTS = 4096
 _U = np.uint64
@@ -44,7 +45,7 @@ class Shingler:
 
         class Hashes(dict):
             def __missing__(self, word: bytes) -> int:
-                if len(self) > 500_000:
+                if len(self) > HELD_WORDS:
                     self.clear()
                 self[word] = value = xxhash.xxh3_64_intdigest(word)
                 return value
@@ -150,6 +151,8 @@ def _signed(words: int):
                     ],
                     ["doc_id", "text_key", "n_shingles", "node", "buckets", "map"],
                 )
+        del shingle
+        give_back()
 
     return sign
 
@@ -162,6 +165,8 @@ def _full_sets(words: int):
                 part = batch.slice(start, 1000)
                 found = pa.array([shingle(t.as_py()).tobytes() for t in part.column("text")], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("node"), found], ["node", "shingles"])
+        del shingle
+        give_back()
 
     return sets
 
@@ -174,8 +179,8 @@ def _confirm(percent: int):
                 x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))  # without a copy of the sets
+        give_back()
 
     return confirm
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowguard.llm.common import sized, stage
+from flowguard.llm.common import give_back, sized, stage
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -220,6 +220,8 @@ def _score(model, last: bool):
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "peak", "share"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(sums, pa.binary())], ["doc_id", "text", "sums"])
+        del ratios, cache
+        give_back()
 
     return score
 
@@ -232,6 +234,7 @@ def scored(docs: DataFrame, model: DataFrame, entries: int = SLICE_ENTRIES) -> D
         shipped = spark.sparkContext.broadcast((part.gram, part.history))
         step = rows.mapInArrow(_score(shipped, part.last), "doc_id long, peak double, share double" if part.last else PARTIAL)
         rows = stage(step, "toxic-raw")
+        shipped.destroy()  # the staged table does not need it, nor do lost executors
     return rows
 
 
