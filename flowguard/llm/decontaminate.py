@@ -1,10 +1,10 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling, with exact edit verification.
+"""Benchmark decontamination by CGK embeddings of anchored pieces, with exact edit verification.
 
-The CGK walk reads a word sequence from a window's start: at every step it emits the current word and a
-random bit of (step, word) decides whether it moves on. Sequences at small edit distance emit mostly
-equal words at equal steps, so Hamming distance stands for edit distance. A repetition samples a few
-steps; windows (one at every word, sized like the items) whose samples equal an item's are candidates.
-A window is dropped at its first sample that no item shares, which changes no result. Candidates are
+The CGK walk reads a word sequence from a start: at every step it emits the current word and a random bit of
+(step, word) decides whether it moves on. An item is cut into one piece more than the edits it is allowed, so every
+passage within its limit holds some piece unchanged, wherever the edits lie. Pieces anchor the walks: a piece's samples
+are the steps that its walk spends inside it, so an unchanged piece gives equal samples for sure and no passage is
+missed. A walk starts at every word of a text and ends at the first step whose samples no piece shares. Candidates are
 verified by exact word edit distance.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from flowguard.llm.common import give_back
 
 RATE = 0.1  # word edits allowed per word of an item, rounded down
-REPETITIONS = 10
-#: Window classes: items of at least so many words are embedded by their first so many, with so many samples.
-CLASSES = ((12, 4), (6, 3), (3, 2), (1, 1))
+STEPS = 16  # a piece is sampled at so many steps at most
+MULTIPLIER = 0x5851F42D4C957F2D
 BLOCK_CHARS = 8_000_000
 CHUNK_WORDS = 400_000
 _U = np.uint64
@@ -44,53 +42,37 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-@dataclass(frozen=True)
-class Walk:
-    """One repetition for one window class."""
+def moves(words: np.ndarray, step: int) -> np.ndarray:
+    """The random bit of every (step, word)."""
+    return ((words * _U(MULTIPLIER)) >> _U(40 + step)).astype(np.int64) & 1
 
-    multiplier: int
-    samples: tuple[int, ...]  # ascending steps
 
-    def moves(self, words: np.ndarray, step: int) -> np.ndarray:
-        return ((words * _U(self.multiplier)) >> _U(40 + step)).astype(np.int64) & 1
-
-
-def plan(size: int, samples: int, repetitions: int) -> list[Walk]:
-    """Walks of a class: the first sample lies within the first quarter, the others anywhere after it."""
-    random = np.random.default_rng(size * 1009 + samples)
-    steps = size + size // 2
-    out = []
-    for r in range(repetitions):
-        first = r % max(1, size // 4)
-        more = random.choice(np.arange(first + 1, steps), min(samples - 1, steps - first - 1), replace=False)
-        out.append(Walk(int(random.integers(1 << 62)) * 2 + 1, (first, *sorted(int(s) for s in more))))
-    return out
+def pieces(size: int, limit: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of an item of ``size`` words: one more than ``limit`` edits can touch, lengths near equal."""
+    count = min(size, limit + 1)
+    edges = [size * k // count for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _folded(key: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (key + words) * _U(0x9E3779B97F4A7C15) ^ ((key + words) >> _U(29))
 
 
-def embed(words: np.ndarray, starts: np.ndarray, walk: Walk, allowed: list[np.ndarray] | None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sample keys of the windows at ``starts``: (surviving indices, keys after every sample).
+def embed(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walks from ``starts`` over pieces of ``lengths`` words: keys after every step (STEPS x starts), and the steps inside the piece.
 
-    ``words`` must reach past every window with zeros. ``allowed`` has per sample a table of key heads to go on with.
+    ``words`` must reach STEPS words past every start.
     """
-    at, live = starts.copy(), np.arange(len(starts))
+    at, steps = starts.copy(), np.zeros(len(starts), dtype=np.int64)
     key, keys = np.zeros(len(starts), dtype=np.uint64), []
     with np.errstate(over="ignore"):
-        for step in range(walk.samples[-1] + 1):
+        for step in range(STEPS):
             here = words[at]
-            if step in walk.samples:
-                key = _folded(key, here)
-                if allowed is not None:
-                    good = np.flatnonzero(allowed[len(keys)][(key >> _U(48)).astype(np.int64)])
-                    at, live, key, here = at[good], live[good], key[good], here[good]
-                    if not len(live):
-                        return live, [key]
-                keys.append(key)
-            at = at + walk.moves(here, step)
-    return live, keys
+            steps += at < starts + lengths
+            key = _folded(key, here)
+            keys.append(key)
+            at = at + moves(here, step)
+    return np.array(keys), steps
 
 
 def best_end(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -119,48 +101,54 @@ def best_end(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Items:
     """The embedded items of one block."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, repetitions: int):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         hashes = WordHashes()
         self.items = [(i, [hashes[w] for w in words_of(t)]) for i, t in items]
         self.items = [(i, w) for i, w in self.items if w]
         self.limits = [int(rate * len(w)) for _, w in self.items]
-        self.walks: list[tuple[Walk, list[np.ndarray], dict[int, list[int]]]] = []
-        bounds = [None, *(size for size, _ in CLASSES)]
-        for above, (size, samples) in zip(bounds, CLASSES, strict=False):
-            mine = [k for k, (_, w) in enumerate(self.items) if len(w) >= size and (above is None or len(w) < above)]
-            if not mine:
-                continue
-            pad = np.zeros(2 * size + 2, dtype=np.uint64)
-            parts = [np.concatenate([np.array(self.items[k][1], dtype=np.uint64), pad]) for k in mine]
-            starts = np.cumsum([0, *map(len, parts)])[:-1]
-            for walk in plan(size, samples, repetitions):
-                _, keys = embed(np.concatenate(parts), starts, walk, None)
-                tables = []
-                for key in keys:
-                    table = np.zeros(1 << 16, dtype=bool)
-                    table[(key >> _U(48)).astype(np.int64)] = True
-                    tables.append(table)
-                of: dict[int, list[int]] = defaultdict(list)
-                for k, key in zip(mine, keys[-1].tolist(), strict=True):
-                    of[key].append(k)
-                self.walks.append((walk, tables, dict(of)))
-
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(position in ``starts``, item) whose samples agree in some repetition."""
-        found: set[tuple[int, int]] = set()
-        for walk, tables, of in self.walks:
-            live, keys = embed(words, starts, walk, tables)
-            if len(live):
-                known = np.fromiter(of, np.uint64, len(of))
-                for k in np.flatnonzero(np.isin(keys[-1], known)):
-                    found.update((int(live[k]), item) for item in of[int(keys[-1][k])])
-        return found
-
-    def verify(self, words: list[int], start: int, item: int) -> tuple[int, int, int] | None:
-        """(distance, first word, end word) of the item near ``start``, if within its limit."""
+        #: Per step: which heads of keys some piece goes on with, the sorted keys of the pieces that end there, and their (item, start).
+        self.steps: list[tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]] = []
+        cut = [(k, a, n) for k, (_, w) in enumerate(self.items) for a, n in pieces(len(w), self.limits[k])]
+        if not cut:
+            return
+        pad = np.zeros(STEPS, dtype=np.uint64)
+        words = np.concatenate([np.array(x, dtype=np.uint64) for _, w in self.items for x in (w, pad)])
+        firsts = np.cumsum([0, *(len(w) + STEPS for _, w in self.items)])
+        owner, start, length = (np.array(c, dtype=np.int64) for c in zip(*cut, strict=True))
+        keys, steps = embed(words, firsts[owner] + start, length)
+        bits = min(20, max(16, len(cut).bit_length() + 3))
+        self.shift = _U(64 - bits)
+        for step in range(int(steps.max())):
+            table = np.zeros(1 << bits, dtype=bool)
+            table[(keys[step][steps > step] >> self.shift).astype(np.int64)] = True
+            of: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for j in np.flatnonzero(steps == step + 1):
+                of[int(keys[step][j])].append((int(owner[j]), int(start[j])))
+            self.steps.append((table, np.array(sorted(of), dtype=np.uint64), dict(of)))
+
+    def candidates(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position in ``starts``, item, start of the piece in the item) whose samples agree. ``words`` must reach STEPS zeros past every text."""
+        at, live, key = starts, np.arange(len(starts)), np.zeros(len(starts), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for step, (table, known, of) in enumerate(self.steps):
+                here = words[at]
+                key = _folded(key, here)
+                good = np.flatnonzero(table[(key >> self.shift).astype(np.int64)])
+                at, live, key, here = at[good], live[good], key[good], here[good]
+                if not len(live):
+                    return
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    for k in np.flatnonzero(known[place] == key):
+                        for item, start in of[int(key[k])]:
+                            yield int(live[k]), item, start
+                at = at + moves(here, step)
+
+    def verify(self, words: list[int], start: int, item: int, least: int = 0) -> tuple[int, int, int] | None:
+        """(distance, first word, end word) of the item near ``start`` and from word ``least`` on, if within its limit."""
         pattern, limit = self.items[item][1], self.limits[item]
-        low = max(0, start - limit - 2)
-        near = words[low : start + len(pattern) + limit + 2]
+        low = max(least, start - limit - 2)
+        near = words[low : max(0, start + len(pattern) + limit + 2)]
         distance, end = best_end(pattern, near)
         if distance > limit or not end:
             return None
@@ -171,29 +159,27 @@ class Items:
 FOUND = "doc_id long, item_id long, start int, end int, distance int, item_words int"
 
 
-def _search(items: list[tuple[int | None, str]], rate: float, repetitions: int):
+def _search(items: list[tuple[int | None, str]], rate: float):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hashes = Items(items, rate, repetitions), WordHashes()
-        gap = 2 * CLASSES[0][0] + 2
+        block, hashes = Items(items, rate), WordHashes()
+        gap = STEPS
 
         def run(docs: list[tuple[int | None, str, np.ndarray]]) -> list[tuple]:
             pad = np.zeros(gap, dtype=np.uint64)
             words = np.concatenate([x for _, _, w in docs for x in (w, pad)])
             firsts = np.cumsum([0, *(len(w) + gap for _, _, w in docs)])
             starts = np.flatnonzero(words)
-            hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for k, item in block.candidates(words, starts):
+            hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for k, item, piece in block.candidates(words, starts):
                 doc = int(np.searchsorted(firsts, starts[k], side="right")) - 1
-                hits[doc, item].append(int(starts[k] - firsts[doc]))
+                hits[doc, item].append((int(starts[k] - firsts[doc]), piece))
             rows = []
             for (doc, item), at in sorted(hits.items()):
                 doc_id, text, w = docs[doc]
-                own, spans, done = w.tolist(), None, -1
-                for start in sorted(at):
-                    if start < done:
-                        continue
-                    match = block.verify(own, start, item)
-                    if match:
+                own, spans, done = w.tolist(), None, 0
+                for anchor, piece in sorted(at):
+                    # a passage found earlier may end before this anchor, which then stands for another one
+                    while done <= anchor and (match := block.verify(own, anchor - piece, item, done)):
                         distance, first, done = match
                         spans = spans or [m.span() for m in _WORD.finditer(text.lower())]
                         rows.append((doc_id, block.items[item][0], spans[first][0], spans[done - 1][1], distance, len(block.items[item][1])))
@@ -226,7 +212,7 @@ def _search(items: list[tuple[int | None, str]], rate: float, repetitions: int):
     return search
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, repetitions: int = REPETITIONS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """Passages of benchmark items in documents: doc_id, item_id, start, end, distance, item_words.
 
     A passage is a stretch of words within ``rate`` word edits per item word (rounded down; items under ten words must be
@@ -242,5 +228,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, rep
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         if rows:
-            out = out.union(own.mapInArrow(_search([(r["item_id"], r["text"]) for r in rows], rate, repetitions), FOUND))
+            out = out.union(own.mapInArrow(_search([(r["item_id"], r["text"]) for r in rows], rate), FOUND))
     return out

@@ -130,6 +130,25 @@ def test_contamination_recall_and_exactness(spark):
         assert edit_distance(items[r.item_id], words_of(text[r.doc_id][r.start : r.end])) == r.distance <= len(items[r.item_id]) // 10
 
 
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+def test_contamination_with_edits_in_one_place(spark, place):
+    """All edits of the limit next to each other: changed, missing or added words."""
+    rng = random.Random(11)
+    items = [[f"i{k}w{rng.randrange(10**6)}" for _ in range(n)] for k, n in enumerate([10, 11, 12, 13, 19, 20, 25, 30, 31, 45, 80, 160])]
+    docs, planted = [], set()
+    for k, item in enumerate(items):
+        limit = len(item) // 10
+        at = {"start": 0, "middle": (len(item) - limit) // 2, "end": len(item) - limit}[place]
+        for put in ([f"new{j}" for j in range(limit)], []):
+            planted.add((len(docs), k))
+            docs.append((len(docs), " ".join(["before"] * 7 + item[:at] + put + item[at + limit :] + ["after"] * 7)))
+        planted.add((len(docs), k))
+        docs.append((len(docs), " ".join(["before"] * 7 + item[:at] + ["new"] * limit + item[at:] + ["after"] * 7)))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == planted and len(got) == len(planted)
+
+
 def test_contamination_on_awkward_rows(spark):
     benchmark = spark.createDataFrame([(1, SENTENCE), (2, "one")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contamination(awkward(spark), benchmark).collect()}
