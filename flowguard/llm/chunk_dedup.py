@@ -3,7 +3,8 @@
 A byte position is a boundary if the gear hash of the 16 bytes before it falls below a bound, so
 boundaries depend on content alone and an insertion moves them only nearby. From every boundary a
 variable chunk runs to the first boundary at least ``least`` bytes on. Chunks are deduplicated by digest:
-one that occurs in two documents is repeated, and repeated chunks that touch form passages.
+one that occurs in two documents is repeated, and repeated chunks that touch form passages. A passage is
+split where the first holder of its bytes changes, so that no holder loses what an earlier one does not have.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowguard.llm.common import stage
 
@@ -76,10 +77,54 @@ def _chunk_rows(spacing: int, least: int):
     return rows
 
 
+PASSAGE = "doc_id long, start int, end int, first_doc_id long"
+
+
+def _parts(least_passage: int):
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("hits")
+            chunk = listed.flatten()
+            if not len(chunk):
+                continue
+            starts, ends, firsts = (chunk.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            sizes = np.diff(listed.offsets.to_numpy())
+            # the documents are laid end to end with gaps; chunks are in order, and their ends ascend with their starts
+            last = np.cumsum(sizes) - 1
+            base = np.concatenate([[0], np.cumsum(ends[last] + 1)])[:-1]
+            starts, ends = starts + np.repeat(base, sizes), ends + np.repeat(base, sizes)
+            edges = np.unique(np.concatenate([starts, ends]))
+            low, high = np.searchsorted(ends, edges[:-1], side="right"), np.searchsorted(starts, edges[:-1], side="right")
+            cells = np.flatnonzero(high > low)
+            pairs = np.column_stack([low[cells], high[cells]]).ravel()
+            first = np.minimum.reduceat(np.append(firsts, 0), pairs)[::2]
+            opens = np.diff(cells, prepend=-2) > 1
+            run = np.cumsum(opens) - 1
+            run_bytes = np.bincount(run, weights=edges[cells + 1] - edges[cells])
+            heads = np.flatnonzero(opens | (np.diff(first, prepend=first[0]) != 0))
+            tails = np.append(heads[1:], len(cells)) - 1
+            good = run_bytes[run[heads]] >= least_passage
+            heads, tails = heads[good], tails[good]
+            doc = np.searchsorted(base, edges[cells[heads]], side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(doc)),
+                    pa.array((edges[cells[heads]] - base[doc]).astype(np.int32)),
+                    pa.array((edges[cells[tails] + 1] - base[doc]).astype(np.int32)),
+                    pa.array(first[heads]),
+                ],
+                ["doc_id", "start", "end", "first_doc_id"],
+            )
+
+    return parts
+
+
 def repeated_passages(docs: DataFrame, spacing: int = SPACING, least_chunk: int = LEAST_CHUNK, least_passage: int = LEAST_PASSAGE) -> DataFrame:
     """Passages that documents share: doc_id, start, end (UTF-8 byte offsets), n_bytes, first_doc_id, removed.
 
-    The first document (smallest doc_id) that holds a passage keeps it, removed marks the later ones. Repeats
+    Repeated chunks that touch count from ``least_passage`` bytes on. A byte's first document is the smallest doc_id that
+    holds a chunk over it, and a run of chunks is split where that changes, so a part may be shorter than
+    ``least_passage``. The first document keeps the part, removed marks the later ones. Repeats
     inside one document alone do not count, nor do rows without doc_id. Null and empty texts have no chunks.
     """
     own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -87,15 +132,10 @@ def repeated_passages(docs: DataFrame, spacing: int = SPACING, least_chunk: int
     spread = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     shared = stage(spread.filter("first_doc_id < last_doc_id").select("digest", "first_doc_id"), "chunk-shared")
     hits = stage(rows.join(shared, "digest").select("doc_id", "start", "end", "first_doc_id"), "chunk-hits")
-    ordered = Window.partitionBy("doc_id").orderBy("start")
-    reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    runs = hits.withColumn("opens", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn(
-        "run", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    passages = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")
-    )
-    return passages.withColumn("n_bytes", F.col("end") - F.col("start")).filter(F.col("n_bytes") >= least_passage).select(
+    chunk = F.struct("start", "end", "first_doc_id")
+    by_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(chunk)).alias("hits"))
+    passages = by_doc.mapInArrow(_parts(least_passage), PASSAGE)
+    return passages.withColumn("n_bytes", F.col("end") - F.col("start")).select(
         "doc_id", "start", "end", "n_bytes", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed")
     )
 

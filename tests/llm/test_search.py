@@ -208,6 +208,27 @@ def test_repeated_passages(spark):
         assert left[min(ids)] == text[min(ids)] and all(len(left[i]) < len(text[i]) - 120 for i in ids if i != min(ids))
 
 
+def test_every_removed_passage_survives(spark):
+    """Partial copies with smaller ids: each document holds a stretch of one row of passages, or of two of them."""
+    rng = random.Random(8)
+    passages = [prose(rng, 60) for _ in range(9)]
+    docs = [(1, passages[1]), (2, f"{passages[0]} {passages[1]}"), (3, f"{passages[0]} {passages[1]}")]
+    for i in range(4, 40):
+        a, b = sorted(rng.sample(range(10), 2))
+        docs.append((i, f"{prose(rng, rng.randrange(9))} {' '.join(passages[a:b])} {prose(rng, 9)}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = repeated_passages(df)
+    left = {r.doc_id: r.text for r in without_repeats(df, got).collect()}
+    text, rows = dict(docs), got.collect()
+    assert all(any(p in t for t in left.values()) for p in passages[:2])
+    assert {r.doc_id for r in rows if r.removed} >= {2, 3}
+    for r in rows:
+        part = text[r.doc_id].encode()[r.start : r.end].decode()
+        assert r.n_bytes == len(part.encode()) and part in text[r.first_doc_id]
+        assert any(part in t for t in left.values())
+    assert len(left[3]) < 150
+
+
 def test_repeated_passages_on_awkward_rows(spark):
     got = repeated_passages(awkward(spark)).collect()
     assert {r.doc_id for r in got} == {10, 11} and repeated_passages(empty(spark)).count() == 0
