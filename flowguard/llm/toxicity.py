@@ -6,7 +6,7 @@ the pooled counts, so rare expressions say nothing by themselves. Because the sh
 word's log-likelihood ratio needs one value per seen n-gram and one per history. A text is scored by two
 length-normalised figures: the largest ratio over windows of words, so that a passage in a long text
 counts, and the share of words whose ratio is high. A logistic curve fitted on other labelled rows joins them.
-Counts cover all labelled training rows; windows cover whole texts.
+Counts cover all labelled training rows, n-grams seen once included; windows cover whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ WINDOW_WORDS = 4
 HIGH_RATIO = 3.0
 PIECE = 48  # a longer word is read in pieces of so many letters
 HELD_WORDS = 200_000
-LEAST_COUNT = 2  # n-grams seen once are left to the shared model
 #: Tasks hold about so many entries of the model at a time; a larger model takes more passes over the texts, and drops nothing.
 SLICE_ENTRIES = 1_000_000
 #: Grid on which the curve is fitted: cells of both figures, so its size does not grow with the rows.
@@ -286,7 +285,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = known.count()
     counting = known.filter(fold(F.col("label_id")) < 4)
     labelled = own.join(sized(counting, rows, 16), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-    counts = stage(ngram_counts(labelled).filter(F.col("toxic") + F.col("ordinary") >= LEAST_COUNT), "toxic-counts")
+    counts = stage(ngram_counts(labelled), "toxic-counts")
     raw = scored(own, kneser_ney(counts))
     judged = raw.join(sized(known.filter(fold(F.col("label_id")) == 4), rows, 16), F.col("doc_id") == F.col("label_id"))
     peak = F.least(F.greatest(F.round(F.col("peak") / PEAK_STEP), F.lit(-PEAK_CELLS)), F.lit(PEAK_CELLS)) * PEAK_STEP

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flowguard.llm import catalog, near_dedup
+from flowguard.llm import catalog, near_dedup, toxicity
 from flowguard.llm.chunk_dedup import chunks, gear, repeated_passages, without_repeats
 from flowguard.llm.decontaminate import best_end, contamination, words_of
 from flowguard.llm.near_dedup import near_groups
@@ -322,6 +322,34 @@ def test_distributed_models_and_slices(spark):
     assert np.allclose(np.array(once, float), np.array(often, float), atol=1e-9)
 
 
+def test_toxicity_counts_expressions_seen_once(spark, monkeypatch):
+    """From texts: the model equals a plain one of all n-grams, and a toxic word of one training row is evidence."""
+    import zlib
+
+    ids = defaultdict(list)
+    for i in range(200):
+        ids[zlib.crc32(str(i).encode()) % 5].append(i)
+    train, curve, held = [i for f in (1, 2, 3) for i in ids[f]], ids[4], ids[0]
+    texts, labels = {train[0]: "zqxv", train[1]: "plomu"}, {train[0]: 1, train[1]: 0}
+    for k, i in enumerate(curve[:6]):
+        texts[i], labels[i] = ("zqxv", 1) if k % 2 else ("plomu", 0)
+    texts |= {held[0]: "zqxv", held[1]: "plomu"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    models = []
+    monkeypatch.setattr(toxicity, "kneser_ney", lambda grams: models.append(kneser_ney(grams)) or models[-1])
+    got = {r.doc_id: r.score for r in score_toxicity(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    assert got[held[0]] > 0.5 > got[held[1]]
+    counts = defaultdict(lambda: [0, 0])
+    for i in train[:2]:
+        marked = f"\x02{texts[i]}\x03"
+        for k in range(1, len(marked)):
+            counts[marked[max(0, k - ORDER + 1) : k + 1]][1 - labels[i]] += 1
+    plain = plain_kneser_ney(list(counts), *(list(c) for c in zip(*counts.values(), strict=True)))
+    (part,) = model_slices(models[0])
+    for have, want in ((part.gram, plain.gram), (part.history, plain.history)):
+        assert have.keys() == want.keys() and np.allclose([have[k] for k in want], list(want.values()), atol=1e-9)
+
+
 @tables
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
