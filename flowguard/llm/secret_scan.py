@@ -51,13 +51,13 @@ RULES = (
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
-LEDGER = "blob binary, rules array<string>, findings array<struct<kind:string,start:int,end:int>>"
+LEDGER = "blob binary, rules array<string>, findings array<struct<rule:string,kind:string,start:int,end:int>>"
 
 
 def _scan(rules: tuple[Rule, ...]):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = {r.name: (r.kind, r.finder()) for r in rules}
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        kind = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -66,8 +66,8 @@ def _scan(rules: tuple[Rule, ...]):
                     text = text.as_py()
                     found.append(
                         [
-                            {"kind": kind_, "start": a, "end": b}
-                            for kind_, find in (finders[n] for n in names)
+                            {"rule": name, "kind": kind_, "start": a, "end": b}
+                            for name, (kind_, find) in ((n, finders[n]) for n in names)
                             for a, b in find(text)
                         ]
                     )
@@ -82,7 +82,8 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     """Scan what ``ledger`` (a folder, may not exist yet) has not seen, append to it, and return (findings, scanned).
 
     ``versions`` has path, version and text (null: empty). findings: one row per input row with path,
-    version, blob (sha256) and findings (array of kind, start, end in code points). scanned: the rows this run added.
+    version, blob (sha256) and findings of the given rules in their versions (array of kind, start, end in code points).
+    scanned: the rows this run added.
     """
     spark = versions.sparkSession
     blob = F.unhex(F.sha2(F.col("text"), 256))
@@ -103,15 +104,21 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     )
     scanned = stage(unseen.mapInArrow(_scan(rules), LEDGER), "secret-scan")
     scanned.write.mode("append").parquet(ledger)
-    known = [r.kind for r in rules]
+    known = [r.name for r in rules]
+    # ledgers written before findings had their rule: it is the one of that kind in the row
+    named = F.transform(
+        "findings",
+        lambda f: f.withField("rule", F.coalesce(f["rule"], F.get(F.filter("rules", lambda r: F.regexp_replace(r, "@[0-9]+$", "") == f["kind"]), F.lit(0)))),
+    )
     found = (
         spark.read.schema(LEDGER)
         .parquet(ledger)
         .filter(F.size("findings") > 0)
         .groupBy("blob")
-        .agg(F.flatten(F.collect_list("findings")).alias("findings"))
+        .agg(F.flatten(F.collect_list(named)).alias("findings"))
     )
-    current = F.filter("findings", lambda f: f["kind"].isin(known))
+    of_known = F.filter("findings", lambda f: f["rule"].isin(known))
+    current = F.transform(of_known, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     joined = paths.join(stage(found, "secret-found"), "blob", "left")
     nothing = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return joined.select("path", "version", "blob", F.coalesce(current, nothing).alias("findings")), scanned

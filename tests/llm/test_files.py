@@ -122,6 +122,25 @@ def test_ledger_scans_only_the_unseen(spark):
     assert {r.path for r in findings.collect() if any(f.kind == "note" for f in r.findings)} == {"c", "d"}
 
 
+def test_findings_of_a_raised_rule_are_those_of_its_version(spark):
+    ledger = tempfile.mkdtemp() + "/ledger"
+    docs = spark.createDataFrame([("a", 1, "ab12 abc345"), ("b", 1, "ab1")], "path string, version int, text string")
+    spans = lambda found: {r.path: sorted(tuple(f) for f in r.findings) for r in found.collect()}
+    old, new = (Rule("code", "ab[a-z]?[0-9]+"),), (Rule("code", "ab[a-z]?[0-9]{2,}", version=2),)
+    before = {"a": [("code", 0, 4), ("code", 5, 11)], "b": [("code", 0, 3)]}
+    assert spans(scan_versions(docs, ledger, old)[0]) == before
+    for _ in range(2):
+        assert spans(scan_versions(docs, ledger, new)[0]) == {"a": before["a"], "b": []}
+    assert spans(scan_versions(docs, ledger, old)[0]) == before
+    # a ledger whose findings have no rule yet
+    plain = tempfile.mkdtemp() + "/ledger"
+    entries = spark.read.parquet(ledger).filter("array_contains(rules, 'code@1')")
+    cast = F.col("findings").cast("array<struct<rule:string,kind:string,start:int,end:int>>")
+    entries.withColumn("findings", F.transform(cast, lambda f: f.dropFields("rule"))).write.parquet(plain)
+    assert spans(scan_versions(docs, plain, old)[0]) == before
+    assert spans(scan_versions(docs, plain, new)[0]) == {"a": before["a"], "b": []}
+
+
 HOSTILE = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\/s> <s <<s>>", "[/INST]\\", "<image><br>\n<\\br>", "", "\\", "<s>\n</s>"]
 
 
