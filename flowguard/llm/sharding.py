@@ -3,7 +3,8 @@
 Groups (equal texts) are ordered by their smallest doc_id and never split. The smallest feasible shard
 capacity is found by binary search with a greedy check over block sums. Blocks that may hold a cut are
 split again, level by level, until those blocks are single groups; each level is one aggregation and
-brings at most a few thousand block sums to the driver, whatever the number of groups.
+brings at most a few thousand block sums to the driver, whatever the number of groups. Among the cuts within
+that capacity the most even ones (least sum of squares) are taken, so a large group leaves no shard empty.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from flowguard.operators.ordered import prefix_offsets
 
 FIRST_BLOCKS, NEXT_BLOCKS, TOP_GROUPS, MOST_RANGES = 4096, 1024, 1024, 48
 SLOT_ROWS = 1024
+EVEN_STEPS = 1024  # the even cuts are chosen among about so many places of equal bytes
 
 
 @dataclass
@@ -51,6 +53,27 @@ def whole_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None
     return cuts if at == len(ends) else None
 
 
+def even_cuts(ends: np.ndarray, cuts: list[int], capacity: int) -> list[int]:
+    """The cuts with the least sum of squared sizes, all within ``capacity``; ``cuts`` are some that fit."""
+    total, shards = int(ends[-1]), len(cuts)
+    edges = np.concatenate([[0], ends])
+    marks = np.searchsorted(ends, total * np.arange(EVEN_STEPS + 1, dtype=float) / EVEN_STEPS)
+    places = np.unique(np.concatenate([[0, len(ends)], cuts, marks, marks + 1]).clip(0, len(ends)))
+    at = edges[places]
+    size = at[None, :] - at[:, None]  # from row to column
+    cost = np.where((size >= 0) & (size <= capacity), size.astype(float) ** 2, np.inf)
+    best, chosen = cost[0], []
+    for _ in range(shards - 1):
+        sums = best[:, None] + cost
+        chosen.append(sums.argmin(axis=0))
+        best = sums.min(axis=0)
+    end, out = len(places) - 1, [len(ends)]
+    for before in reversed(chosen):
+        end = int(before[end])
+        out.append(int(places[end]))
+    return out[::-1]
+
+
 def _could_fit(blocks: Blocks, capacity: int, shards: int) -> bool:
     """Greedy check where blocks of several groups may be cut anywhere: False proves ``capacity`` too small."""
     ends, atomic, at = blocks.ends, blocks.atomic, 0
@@ -130,8 +153,10 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         low = _smallest(least, total, lambda c: _could_fit(blocks, c, shards))
         high = _smallest(low, total, lambda c: whole_cuts(ends, c, shards) is not None)
         again = _open_blocks(blocks, low, high, shards)
+        if not again.any():  # blocks too coarse for even cuts are split too
+            again = (blocks.size > -(-total // EVEN_STEPS)) & ~blocks.atomic
         if not again.any():
-            cuts = whole_cuts(ends, high, shards)
+            cuts = even_cuts(ends, whole_cuts(ends, high, shards), high)
             return high, [int(blocks.high[c - 1]) if c else int(edge[0]) - 1 for c in cuts[:-1]]
         joined: list[list[int]] = []
         for k in np.flatnonzero(again):

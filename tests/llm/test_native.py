@@ -117,6 +117,23 @@ def test_capacity_over_many_groups(spark):
     assert whole_cuts(np.cumsum(sizes), capacity, 16) and not whole_cuts(np.cumsum(sizes), capacity - 1, 16)
 
 
+@pytest.mark.parametrize("place", [0, 1500, 2999])
+def test_a_large_group_leaves_no_shard_empty(spark, place):
+    random = np.random.default_rng(6)
+    sizes = random.integers(200, 400, 3000)
+    sizes[place] = sizes.sum() // 2
+    for spread in (lambda k: k, lambda k: k if k < 2990 else 10**15 + k):
+        rows = [(spread(k), int(s)) for k, s in enumerate(sizes)]
+        capacity, cuts = minimax_cuts(spark.createDataFrame(rows, "place long, bytes long"), 16)
+        assert capacity == sizes[place]
+        loads = Counter()
+        for k, size in rows:
+            loads[sum(k > c for c in cuts)] += size
+        hot = sum(spread(place) > c for c in cuts)
+        rest = [loads[n] for n in range(16) if n != hot]
+        assert loads[hot] == capacity and max(rest) < 1.2 * (sum(sizes) - capacity) / 15 and min(rest) > 0.8 * (sum(sizes) - capacity) / 15
+
+
 def test_shards(spark):
     rows = [(i, f"{SENTENCE} {i if i % 3 else 0} " * (1 + i % 4)) for i in range(2000)]
     got = shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
