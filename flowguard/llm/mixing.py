@@ -110,6 +110,7 @@ def mix(docs: DataFrame) -> DataFrame:
             "source_size",
             "target",
             (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
+            "epochs",
         )
     )
 
@@ -118,9 +119,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``.
 
     A document appears once per whole epoch, and once more if the cut takes at least half of it.
+    Documents without words come once per whole epoch of their source.
     """
-    shares = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).distinct()
-    copies = F.expr("CASE WHEN _size = 0 THEN 0 ELSE _taken div _size + IF(2 * (_taken % _size) >= _size, 1, 0) END")
+    shares = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("epochs").alias("_epochs")).distinct()
+    copies = F.expr("CASE WHEN _size = 0 THEN _epochs ELSE _taken div _size + IF(2 * (_taken % _size) >= _size, 1, 0) END")
     per_doc = stage(shares.groupBy("_id").agg(F.max(copies).cast("int").alias("_copies")).filter("_copies > 0"), "mix-copies")
     joined = docs.join(sized(per_doc, per_doc.count(), 16), docs["doc_id"].cast("long").eqNullSafe(per_doc["_id"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -82,6 +82,15 @@ def test_mix_on_awkward_rows_and_its_documents(spark):
     assert Counter(map(tuple, out.collect())) == Counter(map(tuple, again.collect()))
 
 
+def test_documents_without_words_come_once_per_epoch(spark):
+    rows = [(i, " ".join(["w"] * 10), "a" if i < 10 else "b") for i in range(50)] + [(100 + k, t, s) for s in "ab" for k, t in enumerate((None, "", " \t"), 3 * (s == "b"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    epochs = {r.doc_id: r.epochs for r in mix(docs).collect()}
+    copies = Counter(r.doc_id for r in mixed_documents(docs).collect())
+    assert epochs[100] == epochs[0] > 0
+    assert all(copies[i] == epochs[i] for i in range(100, 106))
+
+
 def greedy_least(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
