@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowguard.llm import chat, chunk_dedup, decontaminate, exact_dedup, mixing, near_dedup, secret_scan, sharding, token_files, toxicity
+from flowguard.llm import (
+    centroids,
+    chat,
+    chunk_dedup,
+    decontaminate,
+    exact_dedup,
+    fill_in_middle,
+    html_main,
+    mixing,
+    near_dedup,
+    secret_scan,
+    sharding,
+    token_files,
+    toxicity,
+)
 from flowguard.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -72,6 +86,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all usable vectors."""
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("compared")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged for fill-in-middle, and restored."""
+    return fill_in_middle.middle_digests(fill_in_middle.fill_in_middle(documents(spark, sf_dir)))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_main.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -92,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_exact_dedup,
         op10_mixing,
+        op11_centroids,
+        op12_fill_in_middle,
+        op13_html_text,
         pipeline,
     )
 }
@@ -100,4 +132,6 @@ ORACLES: dict[str, str] = {
     "op7_chat": chat.CHAT_SQL,
     "op9_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
     "op10_mixing": mixing.MIX_SQL,
+    "op11_centroids": centroids.CENTROIDS_SQL,
+    "op12_fill_in_middle": fill_in_middle.MIDDLE_SQL,
 }
