@@ -282,10 +282,16 @@ def flow_table(
     idle_s: float = IDLE_THRESHOLD_S,
     slice_s: float | None = None,
     min_packets: int = MIN_PACKETS,
+    end_us: int | None = None,
 ) -> DataFrame:
-    """One row per flow with oriented integer accumulators (counts, sums, moments, extremes)."""
+    """One row per flow with oriented integer accumulators (counts, sums, moments, extremes).
+
+    ``closed`` tells whether the flow had timed out when the capture ended, at ``end_us`` or with the newest packet.
+    """
     flows = flow_cells(packets, timeout_s, idle_s, slice_s).groupBy(*KEY, "flow_no").agg(*_flow_aggregates())
-    return _oriented(flows).filter(F.col("packets") >= min_packets)
+    end = F.lit(end_us) if end_us is not None else with_micros(packets).agg(F.max("ts_us")).scalar()
+    timed = _oriented(flows).withColumn("closed", F.col("last_us") + int(timeout_s * 1_000_000) < end)
+    return timed.filter(F.col("packets") >= min_packets)
 
 
 def _oriented(flows: DataFrame) -> DataFrame:
@@ -350,9 +356,9 @@ FLOW_ID_COLUMNS = ["flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto
 
 
 def features_of(flows: DataFrame) -> DataFrame:
-    """The 54 feature columns, in order, beside the flow's identity (names differ by more than case)."""
+    """The 54 feature columns, in order, beside the flow's identity and ``closed`` (names differ by more than case)."""
     texts = _feature_texts()
-    identity = ["protocol AS ip_protocol" if c == "protocol" else c for c in FLOW_ID_COLUMNS]
+    identity = ["protocol AS ip_protocol" if c == "protocol" else c for c in [*FLOW_ID_COLUMNS, "closed"]]
     return flows.selectExpr(*identity, *[f"{texts[name]} AS `{name}`" for name in FEATURE_NAMES])
 
 
@@ -362,9 +368,10 @@ def flow_features(
     idle_s: float = IDLE_THRESHOLD_S,
     slice_s: float | None = None,
     min_packets: int = MIN_PACKETS,
+    end_us: int | None = None,
 ) -> DataFrame:
-    """Packets -> one row per closed-by-inactivity flow: identity + 54 features."""
-    return features_of(flow_table(packets, timeout_s, idle_s, slice_s, min_packets))
+    """Packets -> one row per flow: identity, ``closed`` and 54 features."""
+    return features_of(flow_table(packets, timeout_s, idle_s, slice_s, min_packets, end_us))
 
 
 def safe_rates(flows: DataFrame) -> DataFrame:

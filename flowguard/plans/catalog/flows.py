@@ -133,7 +133,11 @@ def features_sql() -> str:
     return ", ".join(f'{FEATURE_SQL[name]} AS "{name}"' for name in fl.FEATURE_NAMES)
 
 
-@query("flow_features", FLOWS + f"SELECT {FEATURE_IDENT}, {features_sql()} FROM kept")
+# A flow is closed if its timeout lies before the newest packet.
+IS_CLOSED = "last_us + 120000000 < (SELECT max(ts_us) FROM packets) AS closed"
+
+
+@query("flow_features", FLOWS + f"SELECT {FEATURE_IDENT}, {IS_CLOSED}, {features_sql()} FROM kept")
 def flow_features(spark, sf):
     return fl.flow_features(spark_view(spark, sf, "packets"))
 

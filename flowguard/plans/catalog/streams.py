@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowguard import fixtures
-from flowguard.operators.flows import FLOW_ID_COLUMNS
-from flowguard.plans.catalog.flows import FEATURE_IDENT, FLOWS, features_sql
+from flowguard.operators.flows import FLOW_TIMEOUT_S, IDLE_THRESHOLD_S, KEY
+from flowguard.plans.catalog.flows import FEATURE_IDENT, FLOWS, IS_CLOSED, SESSIONS, features_sql
 from flowguard.plans.catalog.telemetry import LIFE_COLS, LIFETIMES
 from flowguard.plans.registry import query
 from flowguard.sources.flows import read_packet_stream
 from flowguard.streaming import reports as rp
-from flowguard.streaming.flows import flow_features_stream, flow_table_stream
-from flowguard.streaming.runs import drain
+from flowguard.streaming.flows import flow_events_stream, flow_features_stream, flow_table_stream, late_of, number_of
+from flowguard.streaming.runs import drain, drain_to_end, run_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -23,56 +23,100 @@ def stream_view(spark, sf, name):
     return spark.sql(fixtures.VIEWS[name].replace("{US}", fixtures.SPARK_US), events=events)
 
 
-# Flows whose timeout lies before the newest packet (whole milliseconds, as event-time timers count).
-CLOSED = (
-    FLOWS
-    + ", closed AS (SELECT * FROM kept k WHERE (last_us + 120000000) // 1000 + 1 <= (SELECT max(ts_us) // 1000 FROM packets)"
-    " OR EXISTS (SELECT 1 FROM flows f WHERE f.conv = k.conv AND f.flow_no > k.flow_no))"
-)
+def capture_end(spark, sf):
+    """The time of the newest packet, which is when this capture ended."""
+    return fixtures.spark_view(spark, sf, "packets").agg(F.max("ts_us")).first()[0]
 
 
-@query("flow_features_stream", CLOSED + f"SELECT {FEATURE_IDENT}, {features_sql()} FROM closed")
+@query("flow_features_stream", FLOWS + f"SELECT {FEATURE_IDENT}, {IS_CLOSED}, {features_sql()} FROM kept")
 def flow_features_streamed(spark, sf):
-    return drain(flow_features_stream(stream_view(spark, sf, "packets"), watermark="0 seconds"))
+    end = capture_end(spark, sf)
+    return drain_to_end(stream_view(spark, sf, "packets"), lambda p: flow_features_stream(p, watermark="0 seconds", end_us=end))
 
 
-@query("read_packet_stream", CLOSED + "SELECT flow_id, n AS packets FROM closed")
+@query("read_packet_stream", FLOWS + "SELECT flow_id, n AS packets FROM kept")
 def packet_stream(spark, sf):
-    return drain(flow_table_stream(stream_view(spark, sf, "packets"), watermark="0 seconds").select("flow_id", "packets"))
+    packets = stream_view(spark, sf, "packets")
+    return drain_to_end(packets, lambda p: flow_table_stream(p, watermark="0 seconds").select("flow_id", "packets"))
+
+
+# Packets in the order of their arrival: files of 300 s, into which every 37th packet comes 450 s late.
+ARRIVAL = "CAST(floor((ts_us + CASE WHEN pkt_id % 37 = 5 THEN 450000000 ELSE 0 END) / 300000000) AS BIGINT)"
+_WIDTH = int(min(FLOW_TIMEOUT_S, IDLE_THRESHOLD_S) * 1_000_000)
+_DELAY_MS = 20_000
+# A packet is late if its slice had ended, by the whole milliseconds of the packets in earlier files less the delay.
+JUDGED = f"""
+WITH packets AS ({fixtures.duckdb_view("packets")}),
+arrived AS (SELECT *, {ARRIVAL} AS arrival FROM packets),
+newest AS (SELECT arrival, max(max(ts_us)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_us FROM arrived GROUP BY arrival),
+lines AS (SELECT arrival, greatest(COALESCE(newest_us // 1000 - {_DELAY_MS}, 0), 0) AS line_ms FROM newest),
+judged AS (SELECT a.*, line_ms, (ts_us // {_WIDTH} + 1) * {_WIDTH} // 1000 <= line_ms AS late FROM arrived a JOIN lines USING (arrival)),
+keyed AS (SELECT *, src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) AS from_a FROM judged),
+conversations AS (SELECT *, CASE WHEN from_a THEN src_ip ELSE dst_ip END AS ip_a, CASE WHEN from_a THEN src_port ELSE dst_port END AS port_a,
+  CASE WHEN from_a THEN dst_ip ELSE src_ip END AS ip_b, CASE WHEN from_a THEN dst_port ELSE src_port END AS port_b FROM keyed)
+"""
+
+
+def arriving(spark, sf):
+    """The packets as a folder that receives one file after another, in order of arrival."""
+    packets = fixtures.spark_view(spark, sf, "packets").withColumn("arrival", F.expr(ARRIVAL))
+    folder = run_folder(spark)
+    sorted_packets = packets.repartition("arrival")
+    arrivals = [r[0] for r in packets.select("arrival").distinct().orderBy("arrival").collect()]
+    for no in arrivals:  # one file per 300 s, oldest first
+        sorted_packets.filter(F.col("arrival") == no).drop("arrival").coalesce(1).write.parquet(f"{folder}/{no:06d}")
+    return read_packet_stream(spark, f"{folder}/*", schema=packets.drop("arrival").schema, max_files=1)
+
 
+def arrived_events(spark, sf):
+    return drain_to_end(arriving(spark, sf), lambda p: flow_events_stream(p, min_packets=1, watermark=f"{_DELAY_MS} milliseconds"))
 
-@query("late_packets")
+
+@query(
+    "late_packets",
+    JUDGED + f"SELECT {', '.join(KEY)}, count(*) FILTER (NOT late) AS accepted, count(*) FILTER (late) AS late FROM conversations GROUP BY ALL",
+)
 def late_packets(spark, sf):
-    """With a generous watermark nothing is late: as many packets leave in flows as without one."""
-    flows = drain(flow_table_stream(stream_view(spark, sf, "packets"), min_packets=1, watermark="1 hour"))
-    return flows.agg(F.count(F.lit(1)).alias("flows"), F.coalesce(F.sum("packets"), F.lit(0)).alias("packets"))
+    """Packets of each conversation that went into its flows, and those that came too late for them."""
+    events = arrived_events(spark, sf).withColumn("packets", number_of("packets"))
+    from_a = (F.col("src_ip") < F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port")))
+    ends = {"ip_a": ("src_ip", "dst_ip"), "port_a": ("src_port", "dst_port"), "ip_b": ("dst_ip", "src_ip"), "port_b": ("dst_port", "src_port")}
+    keys = [F.when(from_a, F.col(x)).otherwise(F.col(y)).alias(k) for k, (x, y) in ends.items()]
+    return events.groupBy(*keys, "protocol").agg(
+        F.coalesce(F.sum(F.when(~F.col("late"), F.col("packets"))), F.lit(0)).alias("accepted"), F.count_if("late").alias("late")
+    )
 
 
-@query("detection_sink", CLOSED + "SELECT n >= 20 AS is_attack, count(*) AS flows FROM closed GROUP BY 1")
-def detection_sink(spark, sf):
-    from flowguard.streaming.runs import run_folder, write_detections_stream
+@query("late_ledger", JUDGED + "SELECT pkt_id, ts_us, line_ms * 1000 AS line_us FROM judged WHERE late")
+def late_ledger(spark, sf):
+    """Every late packet, with the line it missed."""
+    return late_of(arrived_events(spark, sf)).select("pkt_id", "ts_us", "line_us")
 
-    flows = flow_table_stream(stream_view(spark, sf, "packets"), watermark="0 seconds")
-    detections = flows.select(*FLOW_ID_COLUMNS, "packets", (F.col("packets") >= 20).alias("is_attack"))
-    folder = run_folder(spark)
-    write_detections_stream(detections, f"{folder}/detections", f"{folder}/checkpoint", available_now=True).awaitTermination()
-    stored = spark.read.parquet(f"{folder}/detections").withColumn("is_attack", F.col("is_attack").cast("boolean"))
-    return stored.groupBy("is_attack").agg(F.count(F.lit(1)).alias("flows"))
+
+ON_TIME = SESSIONS.replace(f"WITH packets AS ({fixtures.duckdb_view('packets')})", JUDGED.strip() + ", ontime AS (SELECT * EXCLUDE (arrival, line_ms, late) FROM judged WHERE NOT late)")
 
 
-# Every packet stands for one closed flow here; the last tick stays open until the watermark passes it.
+@query("late_flow_features", FLOWS.replace(SESSIONS, ON_TIME.replace("FROM packets),\nconv", "FROM ontime),\nconv")) + f"SELECT {FEATURE_IDENT}, {features_sql()} FROM kept")
+def late_flow_features(spark, sf):
+    """Features of the flows of all packets that were on time, whatever their order inside the delay."""
+    packets = arriving(spark, sf)
+    return drain_to_end(packets, lambda p: flow_features_stream(p, watermark=f"{_DELAY_MS} milliseconds").drop("closed"))
+
+
+# Every packet stands for one closed flow here.
 TICKS = f"""
-WITH packets AS ({fixtures.duckdb_view("packets")}),
-t AS (SELECT CAST(floor(ts_us / 10000000) AS BIGINT) * 10000000 AS tick_us, count(*) AS expired, count(*) FILTER (payload_len < 500) AS benign,
-  count(*) FILTER (payload_len >= 500) AS attacks FROM packets GROUP BY 1)
-SELECT * FROM t WHERE tick_us + 10000000 <= (SELECT max(ts_us) // 1000 * 1000 FROM packets)
+WITH packets AS ({fixtures.duckdb_view("packets")})
+SELECT CAST(floor(ts_us / 10000000) AS BIGINT) * 10000000 AS tick_us, count(*) AS expired, count(*) FILTER (payload_len < 500) AS benign,
+  count(*) FILTER (payload_len >= 500) AS attacks FROM packets GROUP BY 1
 """
 
 
 @query("sweep_summary_stream", TICKS)
 def sweep_summary_streamed(spark, sf):
-    p = stream_view(spark, sf, "packets")
-    return drain(rp.sweep_summary_stream(p.select(F.col("ts_us").alias("close_us"), (F.col("payload_len") >= 500).alias("is_attack"))))
+    def summary(p):
+        return rp.sweep_summary_stream(p.select(F.timestamp_micros("ts_us").alias("close_ts"), (F.col("payload_len") >= 500).alias("is_attack")))
+
+    return drain_to_end(stream_view(spark, sf, "packets"), summary)
 
 
 @query("connection_lifetimes_stream", LIFETIMES + f"SELECT {LIFE_COLS} FROM lifetimes")

@@ -12,6 +12,10 @@ PACKET_SCHEMA = (
 )
 
 
+#: Files of one micro-batch: bounds what a restart after a pause has to take at once.
+MAX_FILES = 64
+
+
 def read_flows(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
     """Every parquet file of a folder, united by column name; columns missing in a file are null."""
     try:
@@ -21,9 +25,12 @@ def read_flows(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
 
 
 def read_packet_stream(
-    spark: SparkSession, path: str | None = None, source: str = "parquet", schema: str = PACKET_SCHEMA, max_files: int | None = None, **options: str
+    spark: SparkSession, path: str | None = None, source: str = "parquet", schema: str = PACKET_SCHEMA, max_files: int | None = MAX_FILES, **options: str
 ) -> DataFrame:
-    """Continuous packet source: a folder that receives parquet files, or any other stream source by options."""
+    """Continuous packet source: a folder that receives parquet files, or any other stream source by options.
+
+    A micro-batch takes ``max_files`` files at most (None: all there are).
+    """
     reader = spark.readStream.format(source).options(**options)
     if source == "kafka":
         from pyspark.sql import functions as F

@@ -1,8 +1,15 @@
-"""Online flow building: one constant-size state per open conversation, closed by event-time timers.
+"""Online flow building in two stateful steps, both closed by event time.
 
-A micro-batch's rows of a conversation are ordered by (time, packet id), cut where the gap exceeds the
-timeout (timers only fire between micro-batches), reduced with numpy and merged into the state. State
-holds integer sums, so the emitted flows equal the batch result on the same packets.
+Step one is keyed by (bucket of conversations, lane of time slices). It holds the packets of a slice until the stream's
+time line has passed the slice's end, then reduces each conversation's packets in it to one cell of integer moments.
+Packets may arrive in any order within that delay. A packet whose slice has already been reduced is late: it leaves as a
+row of its own, with the line it missed, instead of being dropped silently.
+
+Step two is keyed by conversation. It merges cells, in time order, into the one constant-size state of the open flow and
+emits a flow when the line has passed its timeout. So no step sorts a conversation's packets, neighbouring slices of a hot
+conversation are reduced by different tasks, and the flows equal the batch result on the accepted packets.
+
+``end_of_input`` adds a marker to a stream of packets; when it arrives, all open flows are emitted.
 """
 
 from __future__ import annotations
@@ -12,58 +19,207 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from flowguard.operators.flows import (
     FLOW_TIMEOUT_S, IDLE_THRESHOLD_S, KEY, MIN_PACKETS, TCP_ACK, TCP_PSH, TCP_RST, TCP_SYN, TCP_URG,
-    features_of, flow_key, with_micros,
+    features_of, flow_key, slice_width_us, with_micros,
 )
 
 SIDES = ("fwd", "bwd")
-_LONGS = ["n", "bytes", "len_min", "len_max", "header", "header_min", "data", "psh", "win", "last_us"]
-_GAPS = ["n", "sum", "min", "max"]
+ENDS = ("a", "b")
+#: Conversations are dealt to buckets and their slices to lanes in turn; a stream keeps both numbers for life.
+BUCKETS, LANES = 16, 4
+#: Event time of the end marker (the year 2200); no packet is as new.
+END_US = 7_258_118_400_000_000
+
+_KEY_TYPES = {"ip_a": "string", "port_a": "int", "ip_b": "string", "port_b": "int", "protocol": "int"}
+_PACKET = ["ts_us", "pkt_id", "from_a", "payload_len", "header_len", "tcp_flags", "window_size"]
 _FLAGS = {"syn": TCP_SYN, "ack": TCP_ACK, "urg": TCP_URG, "rst": TCP_RST}
-_PERIODS = ["min", "max", "sum"]
-
-_FIELDS: list[tuple[str, str]] = [
-    ("flow_id", "bigint"), ("src_ip", "string"), ("src_port", "int"), ("dst_ip", "string"), ("dst_port", "int"),
-    ("protocol", "int"), ("start_us", "bigint"), ("last_us", "bigint"), ("packets", "bigint"),
-]
+_GAPS = ["n", "sum", "sq", "min", "max"]
+_SIDE = ["n", "bytes", "bytes_sq", "len_min", "len_max", "header", "header_min", "data", "psh", "first_us", "last_us", "win"]
+
+#: A cell's numbers; what has no packet or gap is 0 beside a count of 0.
+_CELL = (
+    ["first_us", "last_us", "open_pkt", "open_from_a"]
+    + [f"{n}_{e}" for e in ENDS for n in _SIDE]
+    + [f"{g}_{n}" for g in ("gap", "gap_a", "gap_b") for n in _GAPS]
+    + list(_FLAGS)
+)
+#: Numbers travel as one array: a frame of few columns is what a step receives and returns for each key.
+#: Of a late packet the cell holds first_us (its time), open_pkt (its id) and last_us (the line it missed).
+CELL_SCHEMA = ", ".join(f"{k} {t}" for k, t in _KEY_TYPES.items()) + ", late boolean, cell array<bigint>, line_ts timestamp"
+
+_NUMBERS = ["flow_id", "start_us", "last_us", "packets"]
 for _d in SIDES:
-    _FIELDS += [(f"{_d}_{n}", "bigint") for n in _LONGS] + [(f"{_d}_bytes_sq", "decimal(38,0)")]
+    _NUMBERS += [f"{_d}_{n}" for n in ("n", "bytes", "len_min", "len_max", "header", "header_min", "data", "psh", "win")]
 for _p in ("iat", "fwd_iat", "bwd_iat"):
-    _FIELDS += [(f"{_p}_{n}", "bigint") for n in _GAPS] + [(f"{_p}_sq", "decimal(38,0)")]
-_FIELDS += [(f, "bigint") for f in _FLAGS] + [("idle_count", "bigint")]
+    _NUMBERS += [f"{_p}_{n}" for n in ("n", "sum", "min", "max")]
+_NUMBERS += [*_FLAGS, "idle_count"]
 for _p in ("active", "idle"):
-    _FIELDS += [(f"{_p}_{n}", "bigint") for n in _PERIODS] + [(f"{_p}_sq", "decimal(38,0)")]
+    _NUMBERS += [f"{_p}_{n}" for n in ("min", "max", "sum")]
+#: Sums of squares need more than 64 bits.
+_SQUARES = ["fwd_bytes_sq", "bwd_bytes_sq", "iat_sq", "fwd_iat_sq", "bwd_iat_sq", "active_sq", "idle_sq"]
+_ENDPOINTS = {"src_ip": "string", "src_port": "int", "dst_ip": "string", "dst_port": "int", "protocol": "int"}
+_HELD = [*_NUMBERS, "fwd_last_us", "bwd_last_us", "active_start_us", "timer_ms"]
+_FLOW = ", ".join(f"{k} {t}" for k, t in _ENDPOINTS.items()) + ", numbers array<bigint>, squares array<decimal(38,0)>"
+STATE_SCHEMA = f"{_FLOW}, fwd_from_a boolean"
+EVENT_SCHEMA = f"{_FLOW}, closed boolean, late boolean, line_us bigint, sweep_ts timestamp"
+_EVENT = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
+_UNKNOWN = ("active_sum", "idle_sum", "fwd_last_us", "bwd_last_us", "fwd_win", "bwd_win", "last_us")
+_EMPTY_STATE = {n: None if n.endswith(("_min", "_max")) or n in _UNKNOWN else 0 for n in (*_HELD, *_SQUARES)}
+
+
+def _per_cell(out: dict[str, np.ndarray], prefix: str, values: np.ndarray, cell: np.ndarray, names: dict[str, str]) -> np.ndarray:
+    """Counts, sums and extremes of ``values`` by ascending ``cell`` into the columns named; first index of each cell present."""
+    at = np.flatnonzero(np.diff(cell, prepend=-1))
+    if not len(at):
+        return at
+    ids = cell[at]
+    totals = {
+        "n": np.diff(np.append(at, len(cell))),
+        "sum": np.add.reduceat(values, at),
+        "sq": np.add.reduceat(values * values, at),
+        "min": np.minimum.reduceat(values, at),
+        "max": np.maximum.reduceat(values, at),
+    }
+    for total, name in names.items():
+        out[name.format(prefix)][ids] = totals[total]
+    return at
+
+
+def reduce_cells(packets: pd.DataFrame) -> pd.DataFrame:
+    """Packets -> one cell per (conversation, slice), any order in, one sort for all of them."""
+    codes = [pd.factorize(packets[k], use_na_sentinel=False)[0] for k in (*KEY, "slice_us")]
+    ts, pkt = packets["ts_us"].to_numpy(np.int64), packets["pkt_id"].to_numpy(np.int64)
+    order = np.lexsort((pkt, ts, *codes))
+    opens = np.zeros(len(order), dtype=bool)
+    opens[:1] = True
+    for code in codes:
+        opens[1:] |= np.diff(code[order]) != 0
+    cell, first = np.cumsum(opens) - 1, np.flatnonzero(opens)
+    ts, pkt = ts[order], pkt[order]
+    from_a = packets["from_a"].to_numpy(bool)[order]
+    length, header, flags, window = (packets[c].to_numpy(np.int64)[order] for c in ("payload_len", "header_len", "tcp_flags", "window_size"))
+    out = {n: np.zeros(len(first), dtype=np.int64) for n in _CELL}
+    last = np.append(first[1:], len(ts)) - 1
+    out["first_us"], out["last_us"], out["open_pkt"], out["open_from_a"] = ts[first], ts[last], pkt[first], from_a[first].astype(np.int64)
+    inner = np.flatnonzero(~opens)
+    _per_cell(out, "gap", ts[inner] - ts[inner - 1], cell[inner], {n: f"{{}}_{n}" for n in _GAPS})
+    for end, mine in (("a", np.flatnonzero(from_a)), ("b", np.flatnonzero(~from_a))):
+        own, size = cell[mine], length[mine]
+        lead = _per_cell(out, end, size, own, {"n": "n_{}", "sum": "bytes_{}", "sq": "bytes_sq_{}", "min": "len_min_{}", "max": "len_max_{}"})
+        if len(lead):
+            ids = own[lead]
+            _per_cell(out, end, header[mine], own, {"sum": "header_{}", "min": "header_min_{}"})
+            _per_cell(out, end, (size > 0).astype(np.int64), own, {"sum": "data_{}"})
+            _per_cell(out, end, (flags[mine] & TCP_PSH != 0).astype(np.int64), own, {"sum": "psh_{}"})
+            _per_cell(out, end, ts[mine], own, {"min": "first_us_{}", "max": "last_us_{}"})
+            out[f"win_{end}"][ids] = window[mine][lead]
+        same = np.flatnonzero(np.diff(own) == 0) + 1
+        _per_cell(out, f"gap_{end}", ts[mine][same] - ts[mine][same - 1], own[same], {n: f"{{}}_{n}" for n in _GAPS})
+    for name, bit in _FLAGS.items():
+        out[name] = np.add.reduceat((flags & bit != 0).astype(np.int64), first)
+    cells = packets[[*KEY, "slice_us"]].iloc[order[first]].reset_index(drop=True)
+    cells["cell"] = list(np.column_stack([out[n] for n in _CELL]))
+    return cells
+
+
+def _stamp(ms: int) -> pd.Timestamp:
+    return pd.Timestamp(ms * 1_000_000)
 
-_TYPES = {"bigint": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "decimal(38,0)": DecimalType(38, 0)}
-_EXTRA = [("active_start_us", "bigint"), ("fwd_from_a", "boolean"), ("timer_ms", "bigint")]
-FLOW_SCHEMA = StructType([StructField(n, _TYPES[t]) for n, t in _FIELDS])
-STATE_SCHEMA = StructType([StructField(n, _TYPES[t]) for n, t in _FIELDS + _EXTRA])
-STATE_NAMES = STATE_SCHEMA.fieldNames()
-DECIMALS = {n for n, t in _FIELDS if t.startswith("decimal")}
+
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    batch = pa.RecordBatch.from_pandas(rows[[*KEY, "slice_us", *_PACKET]], preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+class SliceReducer(StatefulProcessor):
+    """(bucket, lane): holds packets until the line passes their slice's end; packets that come later are late."""
+
+    def __init__(self, width_us: int) -> None:
+        self.width_us = width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "rows binary")
+        self.next = handle.getValueState("next", "timer_ms bigint")
+
+    def _ends(self, rows: pd.DataFrame) -> np.ndarray:
+        return -(-(rows["slice_us"].to_numpy(np.int64) + self.width_us) // 1000)
+
+    def _wake(self, at: int) -> None:
+        """One timer, at the earliest end of a slice that is held."""
+        known = self.next.get()[0] if self.next.exists() else None
+        if known is None or at < known:
+            if known is not None:
+                self.handle.deleteTimer(known)
+            self.handle.registerTimer(at)
+            self.next.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        line, wake = timerValues.getCurrentWatermarkInMs(), None
+        for part in rows:
+            ends = self._ends(part)
+            late = ends <= line
+            if late.any():
+                yield self._late(part[late], line)
+            if not late.all():
+                self.held.appendValue(_packed(part[~late]))
+                wake = min(int(ends[~late].min()), wake or END_US)
+        if wake is not None:
+            self._wake(wake)
+
+    def _late(self, part: pd.DataFrame, line: int) -> pd.DataFrame:
+        out = part[KEY].reset_index(drop=True)
+        out["late"] = True
+        cell = np.zeros((len(part), len(_CELL)), dtype=np.int64)
+        for n, values in (("first_us", part["ts_us"]), ("open_pkt", part["pkt_id"]), ("last_us", line * 1000)):
+            cell[:, _CELL.index(n)] = values
+        out["cell"] = list(cell)
+        out["line_ts"] = _stamp(line + 1)
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pa.concat_tables([pa.ipc.open_stream(r[0]).read_all() for r in self.held.get()], promote_options="permissive").to_pandas()
+        self.next.clear()
+        ends = self._ends(held)
+        done = ends <= timerValues.getCurrentWatermarkInMs()
+        if done.all():
+            self.held.clear()
+        else:
+            self.held.put([_packed(held[~done])])
+            self._wake(int(ends[~done].min()))
+        cells = reduce_cells(held[done])
+        cells["line_ts"] = pd.to_datetime(self._ends(cells) * 1_000_000)
+        cells = cells.drop(columns="slice_us")
+        cells.insert(len(KEY), "late", False)
+        yield cells
+
+    def close(self) -> None:
+        pass
 
 
 def _low(a, b):
-    return b if a is None else (a if b is None else min(a, b))
+    return b if a is None else min(a, b)
 
 
 def _high(a, b):
-    return b if a is None else (a if b is None else max(a, b))
+    return b if a is None else max(a, b)
 
 
-def _add_values(s: dict, prefix: str, values: np.ndarray) -> None:
-    """Fold whole numbers into count/sum/min/max/sum of squares."""
-    if not len(values):
-        return
-    s[f"{prefix}_n"] += len(values)
-    s[f"{prefix}_sum"] += int(values.sum())
-    s[f"{prefix}_sq"] += sum(int(v) * int(v) for v in values) if values.max() > 2_000_000 else int((values * values).sum())
-    s[f"{prefix}_min"] = _low(s[f"{prefix}_min"], int(values.min()))
-    s[f"{prefix}_max"] = _high(s[f"{prefix}_max"], int(values.max()))
+def _add(s: dict, prefix: str, n: int, total: int, square: int, low: int, high: int) -> None:
+    s[f"{prefix}_n"] += n
+    s[f"{prefix}_sum"] += total
+    s[f"{prefix}_sq"] += square
+    s[f"{prefix}_min"] = _low(s[f"{prefix}_min"], low)
+    s[f"{prefix}_max"] = _high(s[f"{prefix}_max"], high)
 
 
 def _add_period(s: dict, prefix: str, value: int) -> None:
@@ -73,71 +229,64 @@ def _add_period(s: dict, prefix: str, value: int) -> None:
     s[f"{prefix}_max"] = _high(s[f"{prefix}_max"], value)
 
 
-def open_flow(first: pd.Series) -> dict:
-    """Empty accumulators of a flow opened by a packet."""
-    s: dict = {}
-    for name in STATE_NAMES:
-        s[name] = 0
-    for name in STATE_NAMES:
-        if name.endswith(("_min", "_max")) or name in ("active_sum", "idle_sum", "fwd_last_us", "bwd_last_us", "fwd_win", "bwd_win", "last_us"):
-            s[name] = None
-    s.update(
-        flow_id=int(first["pkt_id"]), src_ip=first["src_ip"], src_port=int(first["src_port"]), dst_ip=first["dst_ip"],
-        dst_port=int(first["dst_port"]), protocol=int(first["protocol"]), start_us=int(first["ts_us"]),
-        active_start_us=int(first["ts_us"]), fwd_from_a=bool(first["from_a"]), timer_ms=0,
-    )
-    return s
-
-
-def extend_flow(s: dict, rows: pd.DataFrame, idle_us: int) -> None:
-    """Fold ordered packets of one flow into its state; gaps that would be negative count as 0."""
-    ts = rows["ts_us"].to_numpy(np.int64)
-    length = rows["payload_len"].to_numpy(np.int64)
-    header = rows["header_len"].to_numpy(np.int64)
-    flags = rows["tcp_flags"].to_numpy(np.int64)
-    window = rows["window_size"].to_numpy(np.int64)
-    forward = rows["from_a"].to_numpy(bool) == s["fwd_from_a"]
-    before = ts[0] if s["last_us"] is None else s["last_us"]
-    clock = np.maximum.accumulate(np.concatenate([[before], ts]))
-    gaps = np.diff(clock)
-    _add_values(s, "iat", gaps[1:] if s["last_us"] is None else gaps)
-    for i in np.flatnonzero(gaps > idle_us):
-        _add_period(s, "active", int(clock[i] - s["active_start_us"]))
-        _add_period(s, "idle", int(gaps[i]))
-        s["idle_count"] += 1
-        s["active_start_us"] = int(clock[i + 1])
-    for d, mask in (("fwd", forward), ("bwd", ~forward)):
-        if not mask.any():
+def open_flow(key: dict, c: dict) -> dict:
+    """Empty accumulators of a flow opened by a cell's first packet."""
+    a, b = (key["ip_a"], key["port_a"]), (key["ip_b"], key["port_b"])
+    (src_ip, src_port), (dst_ip, dst_port) = (a, b) if c["open_from_a"] else (b, a)
+    return _EMPTY_STATE | {
+        "flow_id": c["open_pkt"], "src_ip": src_ip, "src_port": src_port, "dst_ip": dst_ip, "dst_port": dst_port,
+        "protocol": key["protocol"], "start_us": c["first_us"], "active_start_us": c["first_us"], "fwd_from_a": bool(c["open_from_a"]),
+    }
+
+
+def merge_cell(s: dict, c: dict, idle_us: int) -> None:
+    """Fold the next cell of the flow into its state; only the gaps between them are new."""
+    if s["last_us"] is not None:
+        link = c["first_us"] - s["last_us"]
+        _add(s, "iat", 1, link, link * link, link, link)
+        if link > idle_us:
+            _add_period(s, "active", s["last_us"] - s["active_start_us"])
+            _add_period(s, "idle", link)
+            s["idle_count"] += 1
+            s["active_start_us"] = c["first_us"]
+    if c["gap_n"]:
+        _add(s, "iat", *(c[f"gap_{n}"] for n in _GAPS))
+    for d, e in zip(SIDES, ENDS if s["fwd_from_a"] else ENDS[::-1], strict=True):
+        if not c[f"n_{e}"]:
             continue
-        mine = clock[1:][mask]
-        last = s[f"{d}_last_us"]
-        _add_values(s, f"{d}_iat", np.diff(mine) if last is None else np.diff(np.concatenate([[last], mine])))
-        part = length[mask]
-        s[f"{d}_n"] += int(mask.sum())
-        s[f"{d}_bytes"] += int(part.sum())
-        s[f"{d}_bytes_sq"] += int((part * part).sum())
-        s[f"{d}_len_min"] = _low(s[f"{d}_len_min"], int(part.min()))
-        s[f"{d}_len_max"] = _high(s[f"{d}_len_max"], int(part.max()))
-        s[f"{d}_header"] += int(header[mask].sum())
-        s[f"{d}_header_min"] = _low(s[f"{d}_header_min"], int(header[mask].min()))
-        s[f"{d}_data"] += int((part > 0).sum())
-        s[f"{d}_psh"] += int((flags[mask] & TCP_PSH != 0).sum())
+        if s[f"{d}_last_us"] is not None:
+            link = c[f"first_us_{e}"] - s[f"{d}_last_us"]
+            _add(s, f"{d}_iat", 1, link, link * link, link, link)
+        if c[f"gap_{e}_n"]:
+            _add(s, f"{d}_iat", *(c[f"gap_{e}_{n}"] for n in _GAPS))
+        for n in ("n", "bytes", "bytes_sq", "header", "data", "psh"):
+            s[f"{d}_{n}"] += c[f"{n}_{e}"]
+        for n in ("len_min", "header_min"):
+            s[f"{d}_{n}"] = _low(s[f"{d}_{n}"], c[f"{n}_{e}"])
+        s[f"{d}_len_max"] = _high(s[f"{d}_len_max"], c[f"len_max_{e}"])
         if s[f"{d}_win"] is None:
-            s[f"{d}_win"] = int(window[mask][0])
-        s[f"{d}_last_us"] = int(mine[-1])
-    for name, bit in _FLAGS.items():
-        s[name] += int((flags & bit != 0).sum())
-    s["packets"] += len(rows)
-    s["last_us"] = int(clock[-1])
+            s[f"{d}_win"] = c[f"win_{e}"]
+        s[f"{d}_last_us"] = c[f"last_us_{e}"]
+    for n in _FLAGS:
+        s[n] += c[n]
+    s["packets"] += c["n_a"] + c["n_b"]
+    s["last_us"] = c["last_us"]
+
+
+def _row(s: dict, numbers: list[str]) -> tuple:
+    return (*(s[n] for n in _ENDPOINTS), [s[n] for n in numbers], [Decimal(s[n]) for n in _SQUARES])
 
 
-def _as_row(s: dict, names: list[str]) -> tuple:
-    return tuple(Decimal(int(s[n])) if n in DECIMALS else s[n] for n in names)
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_EVENT)
+    return out.astype({"src_port": "Int32", "dst_port": "Int32", "protocol": "Int32", "line_us": "Int64"})
 
 
 class FlowProcessor(StatefulProcessor):
-    def __init__(self, timeout_us: int, idle_us: int, min_packets: int) -> None:
-        self.timeout_us, self.idle_us, self.min_packets = timeout_us, idle_us, min_packets
+    """One conversation: merges its cells and emits its flows; late packets pass through."""
+
+    def __init__(self, width_us: int, timeout_us: int, idle_us: int, min_packets: int, end_us: int | None) -> None:
+        self.width_us, self.timeout_us, self.idle_us, self.min_packets, self.end_us = width_us, timeout_us, idle_us, min_packets, end_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -146,49 +295,64 @@ class FlowProcessor(StatefulProcessor):
     def _load(self) -> dict | None:
         if not self.flow.exists():
             return None
-        s = dict(zip(STATE_NAMES, self.flow.get()))
-        for n in DECIMALS:
-            s[n] = int(s[n])
-        return s
-
-    def _emitted(self, flows: list[dict]) -> pd.DataFrame:
-        names = [n for n, _ in _FIELDS]
-        kept = [_as_row(s, names) for s in flows if s["packets"] >= self.min_packets]
-        out = pd.DataFrame(kept, columns=names).astype(object)
-        for n, t in _FIELDS:
-            if t in ("bigint", "int"):
-                out[n] = out[n].astype("Int64")
-        return out
+        *ends, numbers, squares, fwd_from_a = self.flow.get()
+        s = dict(zip(_ENDPOINTS, ends, strict=True)) | dict(zip(_HELD, numbers, strict=True))
+        return s | {n: int(v) for n, v in zip(_SQUARES, squares, strict=True)} | {"fwd_from_a": fwd_from_a}
+
+    def _sweep_ms(self, s: dict) -> int:
+        """End of the slice in which the flow's timeout lies: no packet of it can come after."""
+        last = s["last_us"] + self.timeout_us
+        return -(-(last - last % self.width_us + self.width_us) // 1000)
+
+    def _emitted(self, flows: list[tuple[dict, bool]]) -> list[tuple]:
+        return [(*_row(s, _NUMBERS), closed, False, None, _stamp(self._sweep_ms(s))) for s, closed in flows if s["packets"] >= self.min_packets]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "pkt_id"], ignore_index=True)
-        state, closed = self._load(), []
-        ts = batch["ts_us"].to_numpy(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(ts) > self.timeout_us) + 1), len(batch)]
-        for at, to in zip(cuts, cuts[1:]):
-            part = batch.iloc[at:to]
-            if state is not None and ts[at] - state["last_us"] > self.timeout_us:
-                closed.append(state)
-                self._forget_timer(state)
+        named, late, cells = dict(zip(KEY, key, strict=True)), [], []
+        for part in rows:
+            for is_late, at, cell in zip(part["late"].tolist(), part["line_ts"].tolist(), part["cell"].tolist(), strict=True):
+                (late if is_late else cells).append((at, dict(zip(_CELL, cell.tolist(), strict=True))))
+        out = [self._late_row(named, at, c) for at, c in late]
+        if cells:
+            out += self._emitted(self._merged(named, [c for _, c in sorted(cells, key=lambda x: x[1]["first_us"])]))
+        if out:
+            yield _frame(out)
+
+    def _late_row(self, named: dict, at, c: dict) -> tuple:
+        a, b = (named["ip_a"], named["port_a"]), (named["ip_b"], named["port_b"])
+        known = {"flow_id": c["open_pkt"], "start_us": c["first_us"], "last_us": c["first_us"], "packets": 1}
+        numbers = [known.get(n) for n in _NUMBERS]
+        return (*a, *b, named["protocol"], numbers, [], False, True, c["last_us"], at)
+
+    def _merged(self, named: dict, cells: list[dict]) -> list[tuple[dict, bool]]:
+        state, done = self._load(), []
+        before = state["timer_ms"] if state else 0
+        for c in cells:
+            if state is not None and c["first_us"] - state["last_us"] > self.timeout_us:
+                done.append((state, True))
                 state = None
             if state is None:
-                state = open_flow(part.iloc[0])
-            extend_flow(state, part, self.idle_us)
-        self._forget_timer(state)
-        state["timer_ms"] = (state["last_us"] + self.timeout_us) // 1000 + 1
-        self.handle.registerTimer(state["timer_ms"])
-        self.flow.update(_as_row(state, STATE_NAMES))
-        yield self._emitted(closed)
-
-    def _forget_timer(self, state: dict) -> None:
-        if state["timer_ms"]:
-            self.handle.deleteTimer(state["timer_ms"])
-            state["timer_ms"] = 0
+                state = open_flow(named, c)
+            merge_cell(state, c, self.idle_us)
+        state["timer_ms"] = self._sweep_ms(state)
+        if before != state["timer_ms"]:
+            if before:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(state["timer_ms"])
+        self.flow.update((*_row(state, _HELD), state["fwd_from_a"]))
+        return done
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
         self.flow.clear()
-        yield self._emitted([state] if state is not None else [])
+        if state is None:
+            return
+        closed = True
+        if timerValues.getCurrentWatermarkInMs() * 1000 >= END_US - 1_000_000_000_000:  # the end marker less any delay
+            closed = self.end_us is not None and state["last_us"] + self.timeout_us < self.end_us
+        rows = self._emitted([(state, closed)])
+        if rows:
+            yield _frame(rows)
 
     def close(self) -> None:
         pass
@@ -197,33 +361,95 @@ class FlowProcessor(StatefulProcessor):
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def flow_table_stream(
+def end_of_input(packets: DataFrame, folder: str) -> DataFrame:
+    """``packets`` (a stream) united with a folder in which ``mark_end`` leaves the end marker."""
+    spark = packets.sparkSession
+    marks = spark.readStream.schema(packets.schema).option("pathGlobFilter", "*.parquet").parquet(folder)
+    return packets.unionByName(marks)
+
+
+def mark_end(spark: SparkSession, schema: StructType, folder: str) -> None:
+    """Leave the end marker: a packet row of the year 2200, which moves the line past every open flow and is left out itself."""
+    end = F.lit(END_US)
+    time = {"ts_us": end, "ts": F.timestamp_micros(end)}
+    columns = [time.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*columns).write.mode("append").parquet(folder)
+
+
+def flow_events_stream(
     packets: DataFrame,
     timeout_s: float = FLOW_TIMEOUT_S,
     idle_s: float = IDLE_THRESHOLD_S,
     min_packets: int = MIN_PACKETS,
     watermark: str = "1 second",
+    slice_s: float | None = None,
+    buckets: int = BUCKETS,
+    lanes: int = LANES,
+    end_us: int | None = None,
 ) -> DataFrame:
-    """Packet stream -> closed flows (append). Packets at or before the watermark are dropped by Spark as late.
+    """Packet stream -> flows and late packets (``late``), append mode, with the event time ``sweep_ts``.
 
-    A micro-batch of one conversation is held by one task; its size is set by the source's rate limit.
+    A hot conversation is held and reduced by ``lanes`` tasks, a slice each in turn. ``end_us``, the time the capture ended, tells for
+    flows that the end marker flushed whether they had timed out by then (``closed``).
     """
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    keyed = flow_key(with_micros(packets))
-    timed = keyed.withColumn("event_ts", F.timestamp_micros("ts_us")).withWatermark("event_ts", watermark)
-    used = timed.select(
-        *KEY, "event_ts", "ts_us", "pkt_id", "from_a", "src_ip", "src_port", "dst_ip", "dst_port",
-        "payload_len", "header_len", "tcp_flags", "window_size",
-    )
-    flows = used.groupBy(*KEY).transformWithStateInPandas(
-        FlowProcessor(int(timeout_s * 1_000_000), int(idle_s * 1_000_000), min_packets),
-        outputStructType=FLOW_SCHEMA,
+    width = slice_width_us(timeout_s, idle_s, slice_s)
+    timed = with_micros(packets).withColumn("event_ts", F.timestamp_micros("ts_us")).withWatermark("event_ts", watermark)
+    # The marker has moved the line by now. Below, time is a plain number, so that Spark drops nothing as late by itself.
+    real = flow_key(timed.filter(F.col("event_ts") < F.timestamp_micros(F.lit(END_US))))
+    slice_us = F.col("ts_us") - F.pmod("ts_us", F.lit(width))
+    used = real.select(
+        F.pmod(F.xxhash64(*KEY), F.lit(buckets)).alias("bucket"),
+        F.pmod(slice_us / width, F.lit(lanes)).cast("int").alias("lane"),
+        slice_us.alias("slice_us"),
+        *[F.col(k).cast(t).alias(k) for k, t in _KEY_TYPES.items()],
+        "ts_us",
+        F.col("pkt_id").cast("long").alias("pkt_id"),
+        F.coalesce("from_a", F.lit(True)).alias("from_a"),
+        *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in _PACKET[3:]],
+    )
+    cells = used.groupBy("bucket", "lane").transformWithStateInPandas(
+        SliceReducer(width), outputStructType=CELL_SCHEMA, outputMode="Append", timeMode="EventTime", eventTimeColumnName="line_ts"
+    )
+    return cells.groupBy(*KEY).transformWithStateInPandas(
+        FlowProcessor(width, int(timeout_s * 1_000_000), int(idle_s * 1_000_000), min_packets, end_us),
+        outputStructType=EVENT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
+        eventTimeColumnName="sweep_ts",
     )
-    return flows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fwd_win", "bwd_win")}).drop("fwd_last_us", "bwd_last_us")
 
 
-def flow_features_stream(packets: DataFrame, timeout_s: float = FLOW_TIMEOUT_S, watermark: str = "1 second") -> DataFrame:
-    """Packet stream -> identity and 54 features of every flow, emitted when it closes."""
-    return features_of(flow_table_stream(packets, timeout_s, watermark=watermark))
+def flows_of(events: DataFrame) -> DataFrame:
+    """The flows among ``flow_events_stream``'s rows, as a flow table."""
+    numbers = [F.get("numbers", F.lit(i)).alias(n) for i, n in enumerate(_NUMBERS)]
+    squares = [F.get("squares", F.lit(i)).alias(n) for i, n in enumerate(_SQUARES)]
+    flows = events.filter(~F.col("late")).select(*_ENDPOINTS, *numbers, *squares, "closed", "sweep_ts")
+    return flows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fwd_win", "bwd_win")})
+
+
+def number_of(name: str):
+    """One of the numbers of ``flow_events_stream``'s rows."""
+    return F.get("numbers", F.lit(_NUMBERS.index(name)))
+
+
+def late_of(events: DataFrame) -> DataFrame:
+    """The late packets among ``flow_events_stream``'s rows: conversation, packet, its time and the line it missed."""
+    ends = {"ip_a": "src_ip", "port_a": "src_port", "ip_b": "dst_ip", "port_b": "dst_port", "protocol": "protocol"}
+    named = [F.col(c).alias(k) for k, c in ends.items()]
+    return events.filter("late").select(*named, number_of("flow_id").alias("pkt_id"), number_of("start_us").alias("ts_us"), "line_us")
+
+
+def flow_table_stream(packets: DataFrame, **settings) -> DataFrame:
+    """Packet stream -> flow table with ``closed`` and ``sweep_ts`` (append); settings as in ``flow_events_stream``."""
+    return flows_of(flow_events_stream(packets, **settings))
+
+
+def late_packets_stream(packets: DataFrame, **settings) -> DataFrame:
+    """Packet stream -> the packets that came after their slice had been reduced."""
+    return late_of(flow_events_stream(packets, **settings))
+
+
+def flow_features_stream(packets: DataFrame, **settings) -> DataFrame:
+    """Packet stream -> identity and 54 features of every flow, emitted when it closes or the input ends."""
+    return features_of(flow_table_stream(packets, **settings))

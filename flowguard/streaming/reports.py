@@ -7,13 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from flowguard.operators.monitor import SWEEP_SECONDS
 from flowguard.operators.ordered import latest
 from flowguard.operators.telemetry import CONNECTION_KEY
+from flowguard.streaming.flows import END_US
 
 
-def sweep_summary_stream(detections: DataFrame, seconds: int = SWEEP_SECONDS, watermark: str = "0 seconds") -> DataFrame:
-    """Per tumbling tick: flows expired, benign, attacks; a tick is appended once the watermark has passed it."""
-    timed = detections.withColumn("close_ts", F.timestamp_micros("close_us")).withWatermark("close_ts", watermark)
+def sweep_summary_stream(detections: DataFrame, seconds: int = SWEEP_SECONDS, watermark: str | None = "0 seconds") -> DataFrame:
+    """Per tumbling tick: flows expired, benign, attacks; a tick is appended once the watermark has passed it.
+
+    ``detections`` has ``close_us``, or an event time ``close_ts`` (a chained stateful step brings its own watermark:
+    pass ``watermark=None``). The end marker of the input closes the last tick and is not counted.
+    """
+    timed = detections if "close_ts" in detections.columns else detections.withColumn("close_ts", F.timestamp_micros("close_us"))
+    if watermark is not None:
+        timed = timed.withWatermark("close_ts", watermark)
     return (
-        timed.groupBy(F.window("close_ts", f"{seconds} seconds").alias("tick"))
+        timed.filter(F.col("close_ts") < F.timestamp_micros(F.lit(END_US)))
+        .groupBy(F.window("close_ts", f"{seconds} seconds").alias("tick"))
         .agg(
             F.count(F.lit(1)).alias("expired"),
             F.count_if(~F.col("is_attack")).alias("benign"),

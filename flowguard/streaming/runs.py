@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,10 +28,13 @@ def write_detections_stream(detections: DataFrame, path: str, checkpoint: str, a
     return writer.trigger(**({"availableNow": True} if available_now else trigger or {"processingTime": "10 seconds"})).start(path)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available into a parquet table and return the table."""
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over everything available into a parquet table and return the table.
+
+    Called again with the same ``folder`` it goes on where it stopped, for what has come since.
+    """
     spark = stream.sparkSession
-    folder = run_folder(spark)
+    folder = folder or run_folder(spark)
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(f"{folder}/table")
@@ -43,3 +48,26 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         query = writer.foreachBatch(save).outputMode(mode).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema.add("batch_id", "long") if mode != "append" else stream.schema).parquet(f"{folder}/table")
+
+
+def drain_to_end(packets: DataFrame, build: Callable[[DataFrame], DataFrame], run: Callable[[DataFrame, str], object] | None = None):
+    """Drain ``build`` (packets) over everything available, then end the input and drain what was still open.
+
+    ``run(stream, folder)`` does one pass, by default ``drain``; the result of the second is returned.
+    """
+    from flowguard.streaming.flows import end_of_input, mark_end
+
+    spark = packets.sparkSession
+    folder = run_folder(spark)
+    run = run or (lambda stream, at: drain(stream, folder=at))
+    marks = f"{folder}/marks"
+    spark.createDataFrame([], packets.schema).write.parquet(marks)
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")  # the second pass emits what a batch without data would
+    try:
+        run(build(end_of_input(packets, marks)), folder)
+    finally:
+        spark.conf.set(idle, before)
+    mark_end(spark, packets.schema, marks)
+    return run(build(end_of_input(packets, marks)), folder)

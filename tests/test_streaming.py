@@ -1,10 +1,12 @@
+import random
+
 from pyspark.sql import functions as F
 
 from flowguard.operators import flows as fl
 from flowguard.sources.flows import read_packet_stream
 from flowguard.streaming import reports as rp
-from flowguard.streaming.flows import flow_features_stream, flow_table_stream
-from flowguard.streaming.runs import drain
+from flowguard.streaming.flows import _CELL, flow_events_stream, flow_features_stream, flow_table_stream, flows_of, late_of, reduce_cells
+from flowguard.streaming.runs import drain, drain_to_end
 
 from test_flows import SCHEMA, A, B, back, frame, packet, random_packets
 
@@ -22,28 +24,62 @@ def sentinel(t):
     return packet(10**9, t, ("9.9.9.9", 9), ("8.8.8.8", 8))
 
 
-def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
-    rows = random_packets(120, 11)
-    last = rows[-1][1] / 1e6
-    batches = [rows[:50], rows[50:51], rows[51:], [sentinel(last + 1000)], [sentinel(last + 2000)]]
-    write_batches(spark, tmp_path, batches)
-    got = drain(flow_features_stream(stream(spark, tmp_path))).orderBy("flow_id").collect()
-    want = fl.flow_features(frame(spark, rows)).orderBy("flow_id").collect()
-    assert got == want
+def run_to_end(packets, build):
+    """Rows of a stream drained to its end, and the last progress report."""
+    seen = []
+
+    def run(flow, folder):
+        table = f"{folder}/table"
+        query = flow.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").start(table)
+        query.awaitTermination()
+        seen.append(query.lastProgress)
+        return flow.sparkSession.read.schema(flow.schema).parquet(table)
+
+    return drain_to_end(packets, build, run).collect(), seen[-1]
+
+
+def test_stream_equals_batch_in_any_order_within_the_delay(spark, tmp_path):
+    rows = random_packets(160, 11)
+    rng = random.Random(5)
+    delayed = sorted(rows, key=lambda r: r[1] + rng.random() * 25_000_000)  # up to 25 s late
+    write_batches(spark, tmp_path, [delayed[i : i + 40] for i in range(0, 160, 40)])
+    end = max(r[1] for r in rows)
+    got, progress = run_to_end(stream(spark, tmp_path), lambda p: flow_features_stream(p, watermark="25 seconds", buckets=2, end_us=end))
+    want = fl.flow_features(frame(spark, rows)).collect()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r["closed"] for r in got} == {True, False}
+    assert sum(s["numRowsTotal"] for s in progress["stateOperators"]) == 0  # nothing is held after the end
 
 
 def test_boundary_inside_one_batch(spark, tmp_path):
-    write_batches(spark, tmp_path, [[packet(1, 10), packet(2, 130), back(3, 251), back(4, 252)], [sentinel(5000)], [sentinel(9000)]])
-    got = [(r["flow_id"], r["packets"], r["src_ip"]) for r in drain(flow_table_stream(stream(spark, tmp_path))).orderBy("flow_id").collect()]
-    assert got == [(1, 2, A[0]), (3, 2, B[0])]
+    write_batches(spark, tmp_path, [[packet(1, 10), packet(2, 130), back(3, 251), back(4, 252)]])
+    got, _ = run_to_end(stream(spark, tmp_path), flow_table_stream)
+    assert sorted((r["flow_id"], r["packets"], r["src_ip"], r["closed"]) for r in got) == [(1, 2, A[0], True), (3, 2, B[0], False)]
 
 
-def test_late_packets_are_dropped(spark, tmp_path):
-    # Spark judges lateness by the watermark of the batch before the previous one.
-    batches = [[packet(1, 10), packet(2, 11)], [sentinel(1000)], [sentinel(1001)], [sentinel(1002), packet(3, 12)], [sentinel(5000)], [sentinel(9000)]]
+def test_late_packets_leave_as_rows_with_their_line(spark, tmp_path):
+    batches = [[packet(1, 10), packet(2, 11)], [sentinel(1000)], [packet(3, 12), packet(4, 999.5), packet(5, 994)], [packet(6, 998), packet(7, 991)]]
     write_batches(spark, tmp_path, batches)
-    got = {r["flow_id"]: r["packets"] for r in drain(flow_table_stream(stream(spark, tmp_path), min_packets=1)).collect()}
-    assert got[1] == 2 and 3 not in got
+    rows, _ = run_to_end(stream(spark, tmp_path), lambda p: flow_events_stream(p, min_packets=1, watermark="0 seconds"))
+    found = spark.createDataFrame(rows, flow_events_stream(stream(spark, tmp_path)).schema)
+    late = {r["pkt_id"]: (r["ts_us"], r["line_us"], r["ip_a"]) for r in late_of(found).collect()}
+    # slices of 5 s: all up to 1000 s have ended when the sentinel of 1000 s has been seen
+    assert late == {i: (int(t * 1e6), 1_000_000_000, B[0]) for i, t in ((3, 12), (4, 999.5), (5, 994), (6, 998), (7, 991))}
+    assert {r["flow_id"]: r["packets"] for r in flows_of(found).collect()} == {1: 2, 10**9: 1}
+
+
+def test_cells_of_a_hot_conversation_equal_the_batch_cells(spark):
+    rng = random.Random(8)
+    rows = [(packet if rng.random() < 0.6 else back)(i, rng.random() * 40, payload=rng.randrange(1500)) for i in range(3000)]
+    width = 5_000_000
+    keyed = fl.flow_key(frame(spark, rows)).withColumn("slice_us", F.col("ts_us") - F.pmod("ts_us", F.lit(width))).toPandas()
+    cells = [dict(zip(_CELL, c.tolist(), strict=True)) for c in reduce_cells(keyed.sample(frac=1, random_state=1))["cell"]]
+    want = fl.flow_cells(frame(spark, rows)).orderBy("slice_us").collect()
+    assert len(cells) == len(want) == 8
+    for c, w in zip(sorted(cells, key=lambda c: c["first_us"]), want, strict=True):
+        for n in ("first_us", "last_us", "n_a", "n_b", "bytes_a", "bytes_sq_b", "len_max_a", "psh_b", "gap_n", "gap_sq", "gap_a_max", "gap_b_min", "ack"):
+            assert c[n] == w[n], n
+        assert (c["win_a"], c["open_pkt"]) == (w["win_a"]["window_size"], w["opening"]["pkt_id"])
 
 
 def test_sweep_stream(spark, tmp_path):
