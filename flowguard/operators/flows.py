@@ -355,10 +355,10 @@ def _feature_texts() -> dict[str, str]:
 FLOW_ID_COLUMNS = ["flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "start_us", "last_us"]
 
 
-def features_of(flows: DataFrame) -> DataFrame:
-    """The 54 feature columns, in order, beside the flow's identity and ``closed`` (names differ by more than case)."""
+def features_of(flows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The 54 feature columns, in order, beside the flow's identity, ``closed`` and columns to keep (names differ by more than case)."""
     texts = _feature_texts()
-    identity = ["protocol AS ip_protocol" if c == "protocol" else c for c in [*FLOW_ID_COLUMNS, "closed"]]
+    identity = ["protocol AS ip_protocol" if c == "protocol" else c for c in [*FLOW_ID_COLUMNS, "closed", *(keep or [])]]
     return flows.selectExpr(*identity, *[f"{texts[name]} AS `{name}`" for name in FEATURE_NAMES])
 
 

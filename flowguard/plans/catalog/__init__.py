@@ -1,3 +1,3 @@
 """Registered queries, one module per area."""
 
-from flowguard.plans.catalog import artifacts, detectors, evaluation, flows, monitoring, preparation, sources, streams, telemetry  # noqa: F401
+from flowguard.plans.catalog import artifacts, detection, detectors, evaluation, flows, monitoring, preparation, sources, streams, telemetry  # noqa: F401

@@ -6,8 +6,9 @@ import uuid
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from flowguard.session import ensure_checkpoint_dir
 
@@ -17,15 +18,26 @@ def run_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/flowguard-{uuid.uuid4().hex}"
 
 
+def save_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Write a micro-batch to its own folder, over whatever an earlier attempt at the same batch has left there."""
+    rows.write.mode("overwrite").partitionBy("is_attack").parquet(f"{path}/batch={batch_id}")
+
+
 def write_detections_stream(detections: DataFrame, path: str, checkpoint: str, available_now: bool = False, **trigger) -> StreamingQuery:
-    """Append every classified flow to parquet, partitioned by the decision."""
-    writer = (
-        detections.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("is_attack")
-        .outputMode("append")
-    )
-    return writer.trigger(**({"availableNow": True} if available_now else trigger or {"processingTime": "10 seconds"})).start(path)
+    """Record every classified flow once, by micro-batch and decision.
+
+    A batch that is run again after a failure replaces its own folder, so each flow is recorded exactly once. The table
+    is the folder ``path``, which Spark reads with the partition columns ``batch`` and ``is_attack``.
+    """
+    writer = detections.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
+    writer = writer.foreachBatch(lambda rows, batch_id: save_batch(rows, batch_id, path))
+    return writer.trigger(**({"availableNow": True} if available_now else trigger or {"processingTime": "10 seconds"})).start()
+
+
+def read_detections(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    """The recorded flows, with the decision as boolean."""
+    stored = spark.read.schema(columns).option("basePath", path).parquet(f"{path}/batch=*")
+    return stored.withColumn("is_attack", F.col("is_attack").cast("boolean")).select(*columns.fieldNames())
 
 
 def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
@@ -41,8 +53,6 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     else:
         # Changed rows per micro-batch; readers take the newest version of a key.
         def save(rows: DataFrame, batch_id: int) -> None:
-            from pyspark.sql import functions as F
-
             rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/table/part={batch_id}")
 
         query = writer.foreachBatch(save).outputMode(mode).start()
