@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowguard.functions.stats import moments_variance, safe_ratio
+from flowguard.operators.ordered import prefix_offsets, time_slice
 
 # Defaults of the online agent.
 FLOW_TIMEOUT_S = 120
@@ -442,19 +443,22 @@ def iat_stats(flows: DataFrame) -> DataFrame:
     return flows.selectExpr(*FLOW_ID_COLUMNS, *out)
 
 
-def active_flows(flows: DataFrame, at_us: list[int] | Column, timeout_s: float = FLOW_TIMEOUT_S) -> DataFrame:
-    """Open flows at given moments: first packet <= at <= last packet + timeout (pass flows with min_packets=1)."""
-    timeout_us = int(timeout_s * 1_000_000)
-    moments = at_us if isinstance(at_us, Column) else F.array(*[F.lit(m).cast("long") for m in at_us])
-    hits = flows.select(
-        F.explode(
-            F.transform(
-                moments,
-                lambda m: F.struct(
-                    m.alias("at_us"),
-                    ((F.col("start_us") <= m) & (m <= F.col("last_us") + timeout_us)).cast("long").alias("open"),
-                ),
-            )
-        ).alias("m")
-    )
-    return hits.groupBy(F.col("m.at_us").alias("at_us")).agg(F.sum("m.open").alias("active_flows"))
+def active_flows(flows: DataFrame, at_us: list[int] | DataFrame, timeout_s: float = FLOW_TIMEOUT_S, slice_s: float = 1.0) -> DataFrame:
+    """Open flows at given moments: first packet <= at <= last packet + timeout (pass flows with min_packets=1).
+
+    A sweep over events: a flow adds 1 at its first packet and takes 1 away just after its timeout; a moment reads the sum so
+    far. Events are summed inside time slices and slices by prefix sums, so the cost is that of flows plus moments.
+    ``at_us`` is a list, or a table with the column ``at_us``.
+    """
+    spark, timeout_us = flows.sparkSession, int(timeout_s * 1_000_000)
+    moments = at_us if isinstance(at_us, DataFrame) else spark.createDataFrame([(int(m),) for m in at_us], "at_us long")
+    opened = F.struct(F.col("start_us").alias("at_us"), F.lit(1).cast("long").alias("step"))
+    closed = F.struct((F.col("last_us") + timeout_us + 1).alias("at_us"), F.lit(-1).cast("long").alias("step"))
+    changes = flows.select(F.explode(F.array(opened, closed)).alias("e")).select("e.*", F.lit(False).alias("asked"))
+    asked = moments.select(F.col("at_us").cast("long").alias("at_us"), F.lit(0).cast("long").alias("step"), F.lit(True).alias("asked"))
+    events = changes.unionByName(asked).groupBy("at_us").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    sliced = events.withColumn("_slice", time_slice("at_us", slice_s)).repartition("_slice")
+    totals = sliced.groupBy("_slice").agg(F.sum("step").alias("open"))
+    upto = Window.partitionBy("_slice").orderBy("at_us").rowsBetween(Window.unboundedPreceding, 0)
+    read = sliced.withColumn("_open", F.sum("step").over(upto)).filter("asked")
+    return read.join(prefix_offsets(totals, [], "_slice", ["open"]), "_slice").select("at_us", (F.col("_open") + F.col("open_before")).alias("active_flows"))

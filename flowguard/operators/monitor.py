@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard.functions.net import protocol_name
 from flowguard.functions.text import to_fixed
-from flowguard.operators.ordered import number_rows, prefix_offsets, time_slice
+from flowguard.operators.ordered import number_rows, prefix_offsets, ranged, time_slice
 
 # Report sizes and intervals.
 REPORT_EVERY = 1000
 SWEEP_SECONDS = 10
 LOG_LINES = 1000
+#: A page within so many rows of either end is a top-k.
+SHALLOW_ROWS = 10_000
 
 
 def rate_every_n(packets: DataFrame, n: int = REPORT_EVERY, slice_s: float = 1.0) -> DataFrame:
@@ -123,8 +125,35 @@ def latest_n(df: DataFrame, n: int = LOG_LINES, order_by: list[str] | None = Non
     return df.orderBy(*[F.desc(c) for c in (order_by or ["ts_us", "pkt_id"])]).limit(n)
 
 
-def page(df: DataFrame, order_by: list, size: int, start: int = 0, follow: bool = False) -> DataFrame:
-    """Rows start .. start+size of an ordered result; the start is clamped, ``follow`` shows the last page."""
-    last = max(0, df.count() - size)
+def _turned(order_by: list[str]) -> list[Column]:
+    return [F.asc_nulls_first(c[1:]) if c.startswith("-") else F.desc_nulls_last(c) for c in order_by]
+
+
+def _sorted(order_by: list[str]) -> list[Column]:
+    return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_first(c) for c in order_by]
+
+
+def page(df: DataFrame, order_by: list[str], size: int, start: int = 0, follow: bool = False, shallow: int = SHALLOW_ROWS) -> DataFrame:
+    """Rows start .. start+size of an ordered result; the start is clamped, ``follow`` shows the last page.
+
+    ``order_by`` names columns, a leading ``-`` turns one around. A page near either end is a top-k from that end. Any other
+    is found by order statistics: the rows are dealt to ranges, ranges are counted, and only those with the page are sorted.
+    """
+    rows = df.count()
+    last = max(0, rows - size)
     at = last if follow else min(max(0, start), last)
-    return df.orderBy(*order_by).offset(at).limit(size)
+    if at + size <= shallow:
+        return df.orderBy(*_sorted(order_by)).limit(at + size).offset(at)
+    if rows - at <= shallow:
+        tail = df.orderBy(*_turned(order_by)).limit(rows - at).offset(max(0, rows - at - size))
+        return tail.orderBy(*_sorted(order_by))
+    dealt = ranged(df, _sorted(order_by), "_range")
+    counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())  # a row per range
+    before, held = 0, []
+    for no, n in counts:
+        if before < at + size and before + n > at:
+            held.append((no, before))
+        before += n
+    part = dealt.filter(F.col("_range").isin([no for no, _ in held])).drop("_range")
+    skip = at - held[0][1]
+    return part.orderBy(*_sorted(order_by)).limit(skip + size).offset(skip)

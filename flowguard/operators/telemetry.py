@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowguard.functions.net import geo_label, is_private_ip, remote_ip
 from flowguard.functions.text import format_bytes, format_rate
+from flowguard.operators.bursts import accepted_rows
 from flowguard.operators.ordered import latest, rolling, time_slice, with_neighbours
 
 # Sampling and retention limits.
@@ -27,31 +28,16 @@ def accepted_samples(counters: DataFrame, min_gap_us: int = MIN_SAMPLE_GAP_US) -
     """Drop samples closer than ``min_gap_us`` to the last accepted one.
 
     A sample that follows its predecessor by at least the gap is always accepted, so only bursts
-    (maximal chains of closer samples) need to be walked.
+    (maximal chains of closer samples) go through ``bursts.accepted_rows``.
     """
     order = ["ts_us", "sample_id"]
     near = with_neighbours(counters, IFACE, time_slice("ts_us", SLICE_S), order, [], "_prev", "_next")
     starts = F.col("_prev").isNull() | (F.col("ts_us") - F.col("_prev.ts_us") >= min_gap_us)
     followed = F.coalesce(F.col("_next.ts_us") - F.col("ts_us") < min_gap_us, F.lit(False))
     marked = near.withColumns({"_starts": starts, "_followed": followed}).drop("_prev", "_next")
-    lone = marked.filter(F.col("_starts") & ~F.col("_followed")).drop("_starts", "_followed")
-    burst_rows = marked.filter(~F.col("_starts") | F.col("_followed"))
-    chain = Window.partitionBy(*IFACE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    row = F.struct(*order, *[c for c in counters.columns if c not in order and c not in IFACE])
-    bursts = (
-        burst_rows.withColumn("_burst", F.sum(F.col("_starts").cast("long")).over(chain))
-        .groupBy(*IFACE, "_burst")
-        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    )
-    kept = F.aggregate(
-        F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))),
-        F.slice("_rows", 1, 1),
-        lambda acc, r: F.when(
-            r["ts_us"] - F.element_at(acc, -1)["ts_us"] >= min_gap_us, F.concat(acc, F.array(r))
-        ).otherwise(acc),
-    )
-    walked = bursts.select(*IFACE, F.inline(kept))
-    return lone.unionByName(walked.select(*counters.columns))
+    lone = marked.filter(F.col("_starts") & ~F.col("_followed"))
+    burst = marked.filter(~F.col("_starts") | F.col("_followed")).select(*counters.columns)
+    return lone.select(*counters.columns).unionByName(accepted_rows(burst, IFACE, order, min_gap_us))
 
 
 def counter_rates(counters: DataFrame, min_gap_us: int = MIN_SAMPLE_GAP_US) -> DataFrame:

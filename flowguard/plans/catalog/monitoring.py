@@ -101,3 +101,24 @@ SELECT flow_id, message FROM n WHERE rn > least(100, greatest(total - 25, 0)) AN
 )
 def page(spark, sf):
     return mo.page(log_lines(spark, sf), ["close_us", "flow_id"], 25, 100).select("flow_id", "message")
+
+
+@query(
+    "page_deep",
+    PACKETS
+    + """, n AS (SELECT *, row_number() OVER (ORDER BY payload_len DESC, pkt_id) AS rn, count(*) OVER () AS total FROM packets)
+SELECT pkt_id, payload_len FROM n WHERE rn > total * 6 // 10 AND rn <= total * 6 // 10 + 40""",
+)
+def page_deep(spark, sf):
+    packets = spark_view(spark, sf, "packets")
+    found = mo.page(packets, ["-payload_len", "pkt_id"], 40, packets.count() * 6 // 10, shallow=100)
+    return found.select("pkt_id", "payload_len")
+
+
+@query(
+    "page_follow",
+    PACKETS + "SELECT pkt_id, payload_len FROM (SELECT * FROM packets ORDER BY payload_len, pkt_id DESC LIMIT 40)",
+)
+def page_follow(spark, sf):
+    """The last page by falling payload."""
+    return mo.page(spark_view(spark, sf, "packets"), ["-payload_len", "pkt_id"], 40, follow=True).select("pkt_id", "payload_len")

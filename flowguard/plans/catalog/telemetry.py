@@ -47,6 +47,26 @@ def counter_rates(spark, sf):
     return rates(spark, sf).select("host", "iface", "sample_id", "ts_us", "rx_rate", "tx_rate")
 
 
+# The same counters a million times faster: chains of hundreds of samples less than 10 ms apart.
+FAST = "SELECT * REPLACE (ts_us // 1000000 AS ts_us)"
+GREEDY = f"""
+WITH RECURSIVE counters AS ({FAST} FROM ({duckdb_view("counters")})),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY host, iface ORDER BY ts_us, sample_id) AS rn FROM counters),
+firsts AS (SELECT host, iface, ts_us, min(rn) AS rn FROM n GROUP BY ALL),
+jumps AS MATERIALIZED (SELECT a.host, a.iface, a.rn, b.rn AS next_rn FROM n a ASOF JOIN firsts b ON a.host = b.host AND a.iface = b.iface AND a.ts_us + 10000 <= b.ts_us),
+taken AS (SELECT host, iface, rn FROM n WHERE rn = 1 UNION ALL SELECT t.host, t.iface, j.next_rn FROM taken t JOIN jumps j ON t.host = j.host AND t.iface = j.iface AND t.rn = j.rn),
+kept AS (SELECT n.* FROM n JOIN taken USING (host, iface, rn)),
+steps AS (SELECT *, ts_us - lag(ts_us) OVER s AS g, rx_bytes - lag(rx_bytes) OVER s AS drx FROM kept WINDOW s AS (PARTITION BY host, iface ORDER BY ts_us, sample_id))
+SELECT host, iface, sample_id, ts_us, CASE WHEN g IS NULL THEN 0.0::DOUBLE ELSE CAST(greatest(drx, 0) AS DOUBLE) / (g / 1000000.0::DOUBLE) END AS rx_rate FROM steps
+"""
+
+
+@query("counter_rates_bursts", GREEDY)
+def counter_rates_bursts(spark, sf):
+    fast = spark_view(spark, sf, "counters").withColumn("ts_us", F.floor(F.col("ts_us") / 1_000_000).cast("long"))
+    return tm.counter_rates(fast).select("host", "iface", "sample_id", "ts_us", "rx_rate")
+
+
 @query(
     "rate_history",
     RATES

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,60 @@ def test_pages(spark):
     ids = lambda **kw: [r[0] for r in mo.page(df, ["id"], 10, **kw).collect()]
     assert ids(start=20) == list(range(20, 30)) and ids(start=500) == list(range(85, 95)) == ids(follow=True) and ids(start=-3) == list(range(10))
     assert [r[0] for r in mo.latest_n(df, 3, ["id"]).collect()] == [94, 93, 92]
+
+
+def greedy(times, gap):
+    kept, last = [], None
+    for t, i in sorted(times):
+        if last is None or t - last >= gap:
+            kept.append(i)
+            last = t
+    return sorted(kept)
+
+
+def test_bursts_of_thousands_through_composed_slices(spark, monkeypatch):
+    from flowguard.operators import bursts
+
+    monkeypatch.setattr(bursts, "GROUP_SLICES", 4)
+    rng = random.Random(12)
+    made, t = [], 0
+    for i in range(6000):  # chains across many slices, ties, pauses and a dense stretch
+        t += rng.choice([0, 1, 300, 900, 4_000, 9_999]) if i % 500 else rng.choice([10_000, 60_000, 900_000])
+        made.append((t, i))
+    rows = [("h", f"eth{k}", ts + 777 * k, i, i, i) for k in range(2) for ts, i in made[k * 900 :]]
+    df = spark.createDataFrame(rows, COUNTER)
+    got = tm.accepted_samples(df).select("iface", "sample_id").collect()
+    for k in range(2):
+        assert sorted(r[1] for r in got if r[0] == f"eth{k}") == greedy([(ts, i) for ts, i in made[k * 900 :]], 10_000)
+    direct = bursts.accepted_rows(df.filter("iface = 'eth0'"), ["host", "iface"], ["ts_us", "sample_id"], 2_500, slice_us=20_000)
+    assert sorted(r["sample_id"] for r in direct.collect()) == greedy(made, 2_500)
+    plan = tm.accepted_samples(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_active_flows_by_events(spark):
+    from flowguard.operators.flows import active_flows
+
+    rng = random.Random(3)
+    spans = [(a := rng.randrange(500_000_000), a + rng.randrange(90_000_000)) for _ in range(400)]
+    moments = sorted({0, *rng.sample(range(800_000_000), 60), spans[0][0], spans[1][1] + 120_000_000, spans[2][1] + 120_000_001})
+    flows = spark.createDataFrame(spans, "start_us long, last_us long")
+    want = {m: sum(a <= m <= b + 120_000_000 for a, b in spans) for m in moments}
+    assert {r[0]: r[1] for r in active_flows(flows, moments).collect()} == want
+    table = spark.createDataFrame([(m,) for m in moments * 2], "at_us long")
+    assert {r[0]: r[1] for r in active_flows(flows, table, slice_s=37.0).collect()} == want
+    plan = active_flows(flows, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "Join Cross" not in plan
+
+
+def test_any_page_is_the_slice_of_the_sorted_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, 1, 2, 2, 3])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(5)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for start in (0, 3, 700, 711, 1480, 1499, 5000):
+        at = min(start, len(want) - 25)
+        assert [tuple(r) for r in mo.page(df, ["-v", "id"], 25, start, shallow=50).collect()] == want[at : at + 25]
+    assert [tuple(r) for r in mo.page(df, ["-v", "id"], 25, follow=True, shallow=10).collect()] == want[-25:]
+    deep = mo.page(df, ["-v", "id"], 25, 700, shallow=50)._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in deep and "TakeOrderedAndProject" in deep
