@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowguard.llm.common import stage
+from flowguard.llm.common import stage, text_key
 
 SPACING = 22  # bytes between boundaries, on average
 LEAST_CHUNK = 80
@@ -47,7 +47,7 @@ def chunks(data: bytes, spacing: int = SPACING, least: int = LEAST_CHUNK) -> tup
     return edges[good], edges[ends[good]]
 
 
-CHUNK = "doc_id long, digest long, start int, end int"
+CHUNK = "doc_id long, text_key long, digest_high long, digest_low long, start int, end int"
 
 
 def _chunk_rows(spacing: int, least: int):
@@ -55,29 +55,31 @@ def _chunk_rows(spacing: int, least: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, digests, starts, ends = [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+                digest, digests, starts, ends = xxhash.xxh3_128_digest, [], [], []
+                for text in part.column("text"):
                     data = (text.as_py() or "").encode()
                     first, last = chunks(data, spacing, least)
-                    digest = xxhash.xxh3_64_intdigest
-                    digests.append(np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)))
-                    ids.extend([doc_id] * len(first))
+                    digests += [digest(data[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                     starts.append(first)
                     ends.append(last)
+                halves = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
+                row = pa.array(np.repeat(np.arange(len(starts)), [len(s) for s in starts]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()),
-                        pa.array(np.concatenate(digests).view(np.int64)),
+                        part.column("doc_id").take(row),
+                        part.column("text_key").take(row),
+                        pa.array(halves[:, 0]),
+                        pa.array(halves[:, 1]),
                         pa.array(np.concatenate(starts).astype(np.int32)),
                         pa.array(np.concatenate(ends).astype(np.int32)),
                     ],
-                    ["doc_id", "digest", "start", "end"],
+                    ["doc_id", "text_key", "digest_high", "digest_low", "start", "end"],
                 )
 
     return rows
 
 
-PASSAGE = "doc_id long, start int, end int, first_doc_id long"
+PASSAGE = "doc_id long, text_key long, start int, end int, first_doc_id long"
 
 
 def _parts(least_passage: int):
@@ -109,42 +111,47 @@ def _parts(least_passage: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(doc)),
+                    batch.column("text_key").take(pa.array(doc)),
                     pa.array((edges[cells[heads]] - base[doc]).astype(np.int32)),
                     pa.array((edges[cells[tails] + 1] - base[doc]).astype(np.int32)),
                     pa.array(first[heads]),
                 ],
-                ["doc_id", "start", "end", "first_doc_id"],
+                ["doc_id", "text_key", "start", "end", "first_doc_id"],
             )
 
     return parts
 
 
 def repeated_passages(docs: DataFrame, spacing: int = SPACING, least_chunk: int = LEAST_CHUNK, least_passage: int = LEAST_PASSAGE) -> DataFrame:
-    """Passages that documents share: doc_id, start, end (UTF-8 byte offsets), n_bytes, first_doc_id, removed.
+    """Passages that documents share: doc_id, start, end (UTF-8 byte offsets), n_bytes, first_doc_id, removed, text_key.
 
     Repeated chunks that touch count from ``least_passage`` bytes on. A byte's first document is the smallest doc_id that
     holds a chunk over it, and a run of chunks is split where that changes, so a part may be shorter than
     ``least_passage``. The first document keeps the part, removed marks the later ones. Repeats
     inside one document alone do not count, nor do rows without doc_id. Null and empty texts have no chunks.
+    Different texts under one doc_id are told apart by ``text_key``; rows equal in both give one set of passages.
     """
-    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
+    digest = ["digest_high", "digest_low"]
     rows = own.mapInArrow(_chunk_rows(spacing, least_chunk), CHUNK)
-    spread = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    shared = stage(spread.filter("first_doc_id < last_doc_id").select("digest", "first_doc_id"), "chunk-shared")
-    hits = stage(rows.join(shared, "digest").select("doc_id", "start", "end", "first_doc_id"), "chunk-hits")
+    spread = rows.groupBy(*digest).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+    shared = stage(spread.filter("first_doc_id < last_doc_id").select(*digest, "first_doc_id"), "chunk-shared")
+    hits = stage(rows.join(shared, digest).select("doc_id", "text_key", "start", "end", "first_doc_id"), "chunk-hits")
     chunk = F.struct("start", "end", "first_doc_id")
-    by_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(chunk)).alias("hits"))
+    by_doc = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(chunk)).alias("hits"))
     passages = by_doc.mapInArrow(_parts(least_passage), PASSAGE)
     return passages.withColumn("n_bytes", F.col("end") - F.col("start")).select(
-        "doc_id", "start", "end", "n_bytes", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed")
+        "doc_id", "start", "end", "n_bytes", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"), "text_key"
     )
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, text) with the removed passages cut out of the texts; documents without any are left alone."""
-    cuts = passages.filter("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(cuts, "doc_id", "left").mapInArrow(_cut, "doc_id long, text string")
+    cuts = passages.filter("removed").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
+    return own.join(cuts, ["doc_id", "text_key"], "left").mapInArrow(_cut, "doc_id long, text string")
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,19 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or the first longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """Digest by which rows of one doc_id are told apart; a null text has one too."""
+    return F.xxhash64(text.cast("string"))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; pure ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
