@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowguard.llm.common import documents, sized, stage
+from flowguard.llm.common import documents, sized, stage, text_key
 from flowguard.llm.decontaminate import contamination
 from flowguard.llm.mixing import mixed_documents
 from flowguard.llm.near_dedup import near_groups
@@ -16,10 +16,10 @@ from flowguard.llm.sharding import shard
 from flowguard.llm.toxicity import score_toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (null matches null)."""
-    gone = stage(ids.select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
-    return docs.join(sized(gone, gone.count(), 16), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text is among ``rows`` (by text_key): what a text is does not hang on its doc_id."""
+    gone = stage(rows.select("text_key").distinct(), "pipeline-gone")
+    return docs.join(sized(gone, gone.count(), 16), text_key(docs["text"]) == gone["text_key"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +30,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8). Rows that repeat one doc_id and text count once."""
-    groups = near_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
-    stays = stage(groups, "pipeline-stays")
-    kept = docs.join(sized(stays, stays.count(), 24), docs["doc_id"].cast("long").eqNullSafe(stays["_stays"]))
-    once = kept.filter("_rows = 1").select(*[docs[c] for c in docs.columns])
-    if not stays.filter("_rows > 1").limit(1).count():
+    stays = stage(near_groups(docs).filter("kept").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")), "pipeline-stays")
+    marks = sized(stays, stays.count(), 32)
+    same = docs["doc_id"].cast("long").eqNullSafe(stays["doc_id"]) & (text_key(docs["text"]) == stays["text_key"])
+    kept = docs.join(marks, same)
+    once = kept.filter(stays["rows"] == 1).select(*[docs[c] for c in docs.columns])
+    if not stays.filter("rows > 1").limit(1).count():
         return once
-    return once.union(kept.filter("_rows > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"]))
+    return once.union(kept.filter(stays["rows"] > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+    """Documents that hold a passage of the benchmark go. Each text is searched under its digest as id."""
+    by_text = docs.select(text_key(docs["text"]).alias("doc_id"), docs["text"])
+    hits = contamination(by_text, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, hits.select(F.col("doc_id").alias("text_key")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

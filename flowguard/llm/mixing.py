@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowguard.llm.common import SEPARATORS, sized, stage
+from flowguard.llm.common import SEPARATORS, fresh, sized, stage
 from flowguard.operators.ordered import prefix_offsets
 
 #: Fixed values of the mix: weights by source rank, repeating, and the largest number of epochs.
@@ -67,8 +67,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return filled.select("source", "source_no", "source_size", target.alias("target"), F.floor(target).cast("long").alias("budget"))
 
 
+def mix_key(doc_id: Column, text: Column) -> Column:
+    """The hash-random key of a document."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, epochs.
+    """One row per document: doc_id, size, source_size, target, taken, epochs, key.
 
     size is the number of words (null text: 0). taken counts the words the mix takes, repeats included:
     whole epochs of the source, then the documents in key order up to the exact budget, the last one in
@@ -81,7 +86,7 @@ def mix(docs: DataFrame) -> DataFrame:
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text, F.lit(f"[^{SEPARATORS}]+")).cast("long").alias("size"),
-            F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)).alias("key"),
+            mix_key(F.col("doc_id"), F.col("text")).alias("key"),
         ),
         "mix-keys",
     )
@@ -111,6 +116,7 @@ def mix(docs: DataFrame) -> DataFrame:
             "target",
             (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
             "epochs",
+            "key",
         )
     )
 
@@ -119,13 +125,26 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``.
 
     A document appears once per whole epoch, and once more if the cut takes at least half of it.
-    Documents without words come once per whole epoch of their source.
+    Documents without words come once per whole epoch of their source. Texts under one doc_id count for themselves;
+    rows equal in both come as often as the mix takes them together.
     """
-    shares = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("epochs").alias("_epochs")).distinct()
-    copies = F.expr("CASE WHEN _size = 0 THEN _epochs ELSE _taken div _size + IF(2 * (_taken % _size) >= _size, 1, 0) END")
-    per_doc = stage(shares.groupBy("_id").agg(F.max(copies).cast("int").alias("_copies")).filter("_copies > 0"), "mix-copies")
-    joined = docs.join(sized(per_doc, per_doc.count(), 16), docs["doc_id"].cast("long").eqNullSafe(per_doc["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    size, taken = F.col("size"), F.col("taken")
+    copies = F.when(size == 0, F.col("epochs")).otherwise(F.expr("taken div size") + F.when(2 * F.pmod(taken, size) >= size, 1).otherwise(0))
+    per_key = mix(docs).withColumn("copies", copies).groupBy("key").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    wanted = stage(per_key.filter("copies > 0"), "mix-copies")
+    mark = fresh("mix_key", docs)
+    keyed = docs.withColumn(mark, mix_key(docs["doc_id"], docs["text"]))
+    single = keyed.join(sized(wanted, wanted.count(), 64), keyed[mark] == wanted["key"])
+    repeated = stage(wanted.filter("rows > 1"), "mix-repeated")
+    if repeated.limit(1).count():  # of equal rows one stands for all
+        once = single.filter(wanted["rows"] == 1).select(*[keyed[c] for c in keyed.columns], wanted["copies"].alias(f"{mark}_n"))
+        some = keyed.join(sized(repeated, repeated.count(), 64), keyed[mark] == repeated["key"])
+        some = some.select(*[keyed[c] for c in keyed.columns], repeated["copies"].alias(f"{mark}_n")).dropDuplicates([mark])
+        single = once.unionByName(some)
+    else:
+        single = single.select(*[keyed[c] for c in keyed.columns], wanted["copies"].alias(f"{mark}_n"))
+    out = single.withColumn(f"{mark}_at", F.explode(F.sequence(F.lit(1), F.col(f"{mark}_n"))))
+    return out.drop(mark, f"{mark}_n", f"{mark}_at")
 
 
 MIX_SQL = """

@@ -206,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key (tells texts under one doc_id apart).
 
     Words are lower-cased in A-Z and split at space and tab to carriage return; a text with fewer words than a
     shingle is one shingle, a text without words (or null) has none and is linked with nothing. Texts are linked
@@ -274,9 +274,10 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     placed = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = stage(placed.join(stage(smallest, "near-smallest"), "label").select("node", "component_id"), "near-of-node")
-    linked = full.select("doc_id", "n_shingles", "node").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = full.select("doc_id", "n_shingles", "node", "text_key").join(of_node, "node").select("doc_id", "n_shingles", "component_id", "text_key")
+    alone = signed.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
+    placed = linked.unionByName(alone)
+    return placed.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 
 
 def _own(docs: DataFrame) -> DataFrame:

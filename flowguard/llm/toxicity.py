@@ -18,8 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from flowguard.llm.common import give_back, sized, stage
+from flowguard.llm.common import give_back, sized, stage, text_key
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -185,10 +186,7 @@ def window_score(values: np.ndarray, window: int = WINDOW_WORDS) -> float:
     return float((sums[window:] - sums[:-window]).max() if len(values) > window else sums[-1]) / window
 
 
-PARTIAL = "doc_id long, text string, sums binary"
-
-
-def _score(model, last: bool):
+def _score(model, last: bool, carried: list[str]):
     """One pass: the ratios of every word from one slice of the model, added to ``sums``; the last pass makes the two figures."""
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +213,10 @@ def _score(model, last: bool):
                 else:
                     sums.append(values.tobytes())
             if last:
-                columns = [batch.column("doc_id"), pa.array(peaks, pa.float64()), pa.array(shares, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "peak", "share"])
+                made = {"peak": pa.array(peaks, pa.float64()), "share": pa.array(shares, pa.float64())}
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(sums, pa.binary())], ["doc_id", "text", "sums"])
+                made = {"text": batch.column("text"), "sums": pa.array(sums, pa.binary())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made.values()], [*carried, *made])
         del ratios, cache
         give_back()
 
@@ -226,12 +224,15 @@ def _score(model, last: bool):
 
 
 def scored(docs: DataFrame, model: DataFrame, entries: int = SLICE_ENTRIES) -> DataFrame:
-    """doc_id, peak, share of texts (doc_id, text) under a model of any size: one pass per slice."""
+    """peak and share of ``docs`` (text and other columns, which are carried along) under a model of any size: one pass per slice."""
     spark = docs.sparkSession
+    carried = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in carried]
+    partial, done = (StructType([*carried, *StructType.fromDDL(ddl)]) for ddl in ("text string, sums binary", "peak double, share double"))
     rows = docs.withColumn("sums", F.lit(None).cast("binary"))
     for part in model_slices(model, entries):
         shipped = spark.sparkContext.broadcast((part.gram, part.history))
-        step = rows.mapInArrow(_score(shipped, part.last), "doc_id long, peak double, share double" if part.last else PARTIAL)
+        step = rows.mapInArrow(_score(shipped, part.last, names), done if part.last else partial)
         rows = stage(step, "toxic-raw")
         shipped.destroy()  # the staged table does not need it, nor do lost executors
     return rows
@@ -267,13 +268,14 @@ def fold(doc_id: Column) -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+    """One row per document: doc_id, held_out, score, predicted, text_key (tells texts under one doc_id apart).
 
     Labels are learnt from rows whose fold is not 0: the counts from folds 1 to 3, the curve from fold 4. Only
     texts enter a score. A document with two labels counts as toxic if one says so; null labels are
     left out. Empty and null texts get the score of no evidence. Without labels every score is that.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
     known = stage(
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -298,4 +300,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (fold(F.col("doc_id")) == 0).alias("held_out"),
         score.alias("score"),
         (score >= 0.5).cast("int").alias("predicted"),
+        "text_key",
     )
