@@ -185,7 +185,7 @@ def _inside(cut: Cut) -> Column:
         return F.lit(False)
     if cut.take is None:
         return F.substring("_k", 1, len(cut.prefix)) <= cut.prefix
-    return (F.col("_k") < cut.prefix) | ((F.col("_k") == cut.prefix) & (F.col("_copy") <= cut.take))
+    return F.struct("_k", "_copy") <= F.struct(F.lit(cut.prefix).alias("_k"), F.lit(cut.take).cast("long").alias("_copy"))
 
 
 def subsample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SEED, id_columns: list[str] | None = None) -> DataFrame:

@@ -131,8 +131,8 @@ def hash_cutoffs(df: DataFrame, key_col: str, group_col: str, wanted, digits: in
                 open_[g, k] = (r["p"], below)
         if open_:
             width = min(width + PREFIX_DIGITS, digits)
-            match = F.lit(False)
-            for g, p in sorted({(g, start) for (g, _), (start, _) in open_.items()}):
-                match = match | (F.col(group_col).eqNullSafe(F.lit(g)) & F.col(key_col).startswith(p))
-            rows = counts(df.filter(match))
+            # one mention of the key: a filter is pushed below the projection that makes it, and would work it out for each
+            places = {f"{g}:{start}" for (g, _), (start, _) in open_.items()}
+            at = F.concat(F.coalesce(F.col(group_col).cast("string"), F.lit("None")), F.lit(":"), F.substring(key_col, 1, len(next(iter(open_.values()))[0])))
+            rows = counts(df.filter(at.isin(sorted(places))))
     return totals, cuts

@@ -81,16 +81,16 @@ def _opt(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-@query("parse_ss", SOCKETS + f"SELECT event_id, upper(protocol) AS protocol, local_addr, remote_addr, state, pid, process_name FROM sockets")
+@query("parse_ss", SOCKETS + f"SELECT event_id, upper(protocol) AS protocol, local_addr, remote_addr, state, pid, process_name, state AS state_norm FROM sockets")
 def parse_ss(spark, sf):
     users = F.when(F.col("pid").isNotNull(), F.format_string('users:(("%s",pid=%d,fd=3))', "process_name", "pid")).otherwise(F.lit(""))
     line = F.concat_ws("   ", "protocol", "state", F.lit("0"), F.lit("0"), "local_addr", "remote_addr", users)
-    return tx.parse_ss(spark_view(spark, sf, "sockets").select("event_id", line.alias("line"))).drop("state_norm")
+    return tx.parse_ss(spark_view(spark, sf, "sockets").select("event_id", line.alias("line")))
 
 
 @query(
     "parse_lsof",
-    SOCKETS + "SELECT event_id, upper(protocol) AS protocol, local_addr, remote_addr, state, coalesce(pid, 1) AS pid, coalesce(process_name, 'init') AS process_name FROM sockets",
+    SOCKETS + "SELECT event_id, upper(protocol) AS protocol, local_addr, remote_addr, state, coalesce(pid, 1) AS pid, coalesce(process_name, 'init') AS process_name, state AS state_norm FROM sockets",
 )
 def parse_lsof(spark, sf):
     name = F.when(F.col("remote_addr") == "*:*", F.col("local_addr")).otherwise(F.concat("local_addr", F.lit("->"), "remote_addr"))
@@ -98,21 +98,22 @@ def parse_lsof(spark, sf):
         " ", F.coalesce("process_name", F.lit("init")), F.coalesce(F.col("pid"), F.lit(1)).cast("string"), F.lit("root"), F.lit("3u"),
         F.lit("IPv4"), F.lit("0x1"), F.lit("0t0"), F.upper("protocol"), name, F.concat(F.lit("("), "state", F.lit(")")),
     )
-    return tx.parse_lsof(spark_view(spark, sf, "sockets").select("event_id", line.alias("line"))).drop("state_norm")
+    return tx.parse_lsof(spark_view(spark, sf, "sockets").select("event_id", line.alias("line")))
 
 
 @query(
     "parse_netstat",
     SOCKETS
-    + "SELECT event_id, upper(protocol) AS protocol, local_addr, remote_addr, CASE WHEN protocol = 'udp' THEN '' ELSE state END AS state, pid, process_name FROM sockets WHERE pid IS NOT NULL",
+    + "SELECT event_id, upper(protocol) AS protocol, local_addr, remote_addr, CASE WHEN protocol = 'udp' THEN '' ELSE state END AS state, pid, process_name, CASE WHEN protocol = 'udp' THEN '' ELSE state END AS state_norm FROM sockets",
 )
 def parse_netstat(spark, sf):
-    s = spark_view(spark, sf, "sockets").filter("pid IS NOT NULL")
+    s = spark_view(spark, sf, "sockets")
     state = F.when(F.col("protocol") == "udp", F.lit(None).cast("string")).otherwise(F.col("state"))
-    line = F.concat(F.lit("  "), F.concat_ws("   ", F.upper("protocol"), "local_addr", "remote_addr", state, F.col("pid").cast("string")))
+    pid = F.coalesce(F.col("pid").cast("string"), F.lit("-"))  # a socket whose owner is not shown
+    line = F.concat(F.lit("  "), F.concat_ws("   ", F.upper("protocol"), "local_addr", "remote_addr", state, pid))
     csv = F.format_string('"%s","%d","Console","1","12,345 K"', "process_name", "pid")
-    procs = tx.parse_processes(s.select("process_name", "pid").distinct().select(csv.alias("line")))
-    return tx.parse_netstat(s.select("event_id", line.alias("line")), procs).drop("state_norm")
+    known = s.filter("pid IS NOT NULL").select("process_name", "pid").distinct()
+    return tx.parse_netstat(s.select("event_id", line.alias("line")), tx.parse_processes(known.select(csv.alias("line"))))
 
 
 @query("parse_ping", PROBES + "SELECT probe_id, rtt_ms, CAST(loss_pct AS DOUBLE) AS loss_pct FROM probes")

@@ -123,3 +123,18 @@ def sweep_summary_streamed(spark, sf):
 def connection_lifetimes_streamed(spark, sf):
     changes = drain(rp.lifetime_spans(stream_view(spark, sf, "sockets")), mode="update")
     return rp.lifetimes_from_changes(changes)
+
+
+@query("tracked_connections_stream", LIFETIMES + f"SELECT {LIFE_COLS} FROM lifetimes")
+def tracked_connections_streamed(spark, sf):
+    """The stored tables of all hosts, snapshots arriving in ten files; below the retention limit they equal the lifetimes."""
+    sockets = fixtures.spark_view(spark, sf, "sockets")
+    folder = run_folder(spark)
+    tenth = F.floor(F.col("snap") / 72).cast("long")
+    for no in [r[0] for r in sockets.select(tenth.alias("no")).distinct().orderBy("no").collect()]:
+        sockets.filter(tenth == no).coalesce(1).write.parquet(f"{folder}/in/{no:06d}")
+    arriving_sockets = read_packet_stream(spark, f"{folder}/in/*", schema=sockets.schema, max_files=1)
+    tracked = rp.tracked_connections_stream(arriving_sockets)
+    writer = tracked.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda rows, batch_id: rp.save_tracked(rows, batch_id, f"{folder}/table")).start().awaitTermination()
+    return spark.read.schema(rp.TRACKED).parquet(f"{folder}/table")

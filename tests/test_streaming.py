@@ -88,3 +88,43 @@ def test_sweep_stream(spark, tmp_path):
     d = stream(spark, tmp_path).select(F.col("ts_us").alias("close_us"), (F.col("pkt_id") % 2 == 1).alias("is_attack"))
     got = sorted(tuple(r) for r in drain(rp.sweep_summary_stream(d)).collect())
     assert got == [(0, 3, 2, 1), (10_000_000, 1, 0, 1), (20_000_000, 1, 1, 0)]
+
+
+SOCKETS = "host string, snap bigint, event_id bigint, protocol string, local_addr string, remote_addr string, pid bigint, state string, process_name string"
+
+
+def greedy_tracker(batches, limit, keep_for):
+    """The same rules on plain dictionaries, one micro-batch after another."""
+    known = {}
+    for rows in batches:
+        for _, snap, event, *key, state, process in sorted(rows, key=lambda r: (r[1], r[2])):
+            first, _, name, _ = known.get(tuple(key), (snap, None, process, None))
+            known[tuple(key)] = (first, snap, name, state)
+        newest = max(v[1] for v in known.values())
+        active = {k: v for k, v in known.items() if v[1] == newest}
+        idle = sorted(((v[0], k) for k, v in known.items() if v[1] < newest and (keep_for is None or v[1] >= newest - keep_for)), reverse=True)
+        known = active | {k: known[k] for _, k in idle[: max(limit - len(active), 0)]}
+    return {k: (*v, v[1] == newest) for k, v in known.items()}
+
+
+def test_tracked_connections_stay_bounded(spark, tmp_path):
+    rng = random.Random(4)
+    batches = []
+    for no in range(5):
+        batches.append([("h", no * 3 + s, no * 1000 + s * 100 + i, "TCP", f"10.0.0.1:{rng.randrange(40)}", "1.2.3.4:443", 7, rng.choice(["ESTABLISHED", "CLOSING"]), "p") for s in range(3) for i in range(6)])
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SOCKETS).coalesce(1).write.parquet(f"file://{tmp_path}/in/b{i}")
+    for limit, keep_for in ((12, None), (1000, 4), (1000, None)):
+        snapshots = read_packet_stream(spark, f"file://{tmp_path}/in/*", schema=SOCKETS, max_files=1)
+        path = f"file://{tmp_path}/out{limit}{keep_for}"
+        stored = rp.tracked_connections_stream(snapshots, limit=limit, keep_for=keep_for).writeStream.option("checkpointLocation", f"{path}-c").trigger(availableNow=True)
+
+        def save(rows, batch_id):
+            rp.save_tracked(rows, batch_id, path)
+            rp.save_tracked(rows, batch_id, path)  # as after a failure
+
+        stored.foreachBatch(save).start().awaitTermination()
+        got = spark.read.schema(rp.TRACKED).parquet(path).collect()
+        want = greedy_tracker(batches, limit, keep_for)
+        assert {(r["protocol"], r["local_addr"], r["remote_addr"], r["pid"]): (r["first_seen"], r["last_seen"], r["process_name"], r["state"], r["is_active"]) for r in got} == want
+        assert len(got) == len(want) and (limit > 100 or len(got) <= limit)
