@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -160,3 +161,32 @@ def test_mutual_information_against_brute_force(spark):
 def test_listed_and_numeric_columns(spark):
     df = spark.createDataFrame([(1, "x", 2.0, 0)], ["a", "s", "b", "CWE Flag Count"])
     assert pp.numeric_only(pp.drop_listed(df)).columns == ["a", "b"]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_mutual_information_over_many_ranges(spark, parts):
+    """A rare class and tied values: intervals that span ranges, neighbours beyond them; against plain counting."""
+    rng = random.Random(6)
+    rows = [(f"r{i}", 1 if i % 61 == 0 else 0, rng.gauss(0, 1) + (i % 61 == 0), float(rng.randrange(4)), None if i % 9 else 1.5 * i) for i in range(2400)]
+    df = spark.createDataFrame(rows, "row_id string, label int, a double, b double, c double").repartition(parts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["feature"]: r["mi"] for r in sl.mutual_information(df, ["a", "b", "c"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert set(got) == {"a", "b", "c"}
+    one = sl.mutual_information(df.coalesce(1), ["a", "b", "c"])
+    want = {r["feature"]: r["mi"] for r in one.collect()}
+    assert all(abs(got[f] - want[f]) < 1e-9 for f in got)
+    v = np.array([r[2] for r in rows])
+    y = np.array([r[1] for r in rows])
+    near = np.abs(v[:, None] - v[None])
+    d = np.array([np.sort(near[i][y == y[i]])[5] for i in range(len(v))])
+    m = np.array([(near[i] < d[i]).sum() for i in range(len(v))])
+    digamma = lambda n: sl._digammas(np.asarray(n, float))
+    nx = np.where(y == 1, (y == 1).sum(), (y == 0).sum())
+    plain = digamma(len(v)) + digamma(5) - digamma(nx).mean() - digamma(m).mean()
+    assert abs(got["a"] - max(0.0, float(plain))) < 1e-6
