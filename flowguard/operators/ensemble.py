@@ -70,6 +70,15 @@ def fit_stacker(df: DataFrame, scores: list[str] | None = None, label: str = "la
     return EnsembleParams([float(c) for c in model.coefficients], float(model.intercept))
 
 
+def stacker_gradient(df: DataFrame, fitted: EnsembleParams, scores: list[str] | None = None, label: str = "label") -> list[float]:
+    """Gradient of ``fit_stacker``'s objective, times the rows, at the fitted coefficients and intercept: zero at the optimum."""
+    cols = scores or SCORE_COLUMNS
+    error = combine(list(cols), fitted.coefficients, fitted.intercept) - F.col(label).cast("double")
+    sums = df.agg(*[F.sum(error * F.col(c)) for c in cols], F.sum(error), F.count(F.lit(1))).first()
+    pulls = [*[c / INVERSE_REGULARISATION for c in fitted.coefficients], 0.0]
+    return [(s + pull) / sums[-1] for s, pull in zip(sums[:-1], pulls, strict=True)]
+
+
 def combine(scores: list[Column | str], coefficients: list[float], intercept: float) -> Column:
     """Probability: sigmoid of the weighted scores."""
     logit = F.lit(0.0)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowguard.functions.stats import moments_variance, safe_ratio
-from flowguard.operators.ordered import prefix_offsets, time_slice
+from flowguard.operators.ordered import sums_at
 
 # Defaults of the online agent.
 FLOW_TIMEOUT_S = 120
@@ -200,7 +200,8 @@ def sessionize(
 ) -> DataFrame:
     """Packets with ``flow_no`` (per conversation), ``flow_start_us``, ``is_fwd`` and inter-arrival times."""
     width = slice_width_us(timeout_s, idle_s, slice_s)
-    gaps = _with_inner_gaps(_sliced(packets, width))
+    # The explicit exchange serves the reduced rows and the packets: one scan.
+    gaps = _with_inner_gaps(_sliced(packets, width).repartition(*KEY, "slice_us"))
     cells = _link_cells(
         gaps.groupBy(*KEY, "slice_us").agg(*_cell_aggregates()), int(timeout_s * 1_000_000), int(idle_s * 1_000_000)
     ).select(
@@ -452,13 +453,11 @@ def active_flows(flows: DataFrame, at_us: list[int] | DataFrame, timeout_s: floa
     """
     spark, timeout_us = flows.sparkSession, int(timeout_s * 1_000_000)
     moments = at_us if isinstance(at_us, DataFrame) else spark.createDataFrame([(int(m),) for m in at_us], "at_us long")
-    opened = F.struct(F.col("start_us").alias("at_us"), F.lit(1).cast("long").alias("step"))
-    closed = F.struct((F.col("last_us") + timeout_us + 1).alias("at_us"), F.lit(-1).cast("long").alias("step"))
-    changes = flows.select(F.explode(F.array(opened, closed)).alias("e")).select("e.*", F.lit(False).alias("asked"))
-    asked = moments.select(F.col("at_us").cast("long").alias("at_us"), F.lit(0).cast("long").alias("step"), F.lit(True).alias("asked"))
-    events = changes.unionByName(asked).groupBy("at_us").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
-    sliced = events.withColumn("_slice", time_slice("at_us", slice_s)).repartition("_slice")
-    totals = sliced.groupBy("_slice").agg(F.sum("step").alias("open"))
-    upto = Window.partitionBy("_slice").orderBy("at_us").rowsBetween(Window.unboundedPreceding, 0)
-    read = sliced.withColumn("_open", F.sum("step").over(upto)).filter("asked")
-    return read.join(prefix_offsets(totals, [], "_slice", ["open"]), "_slice").select("at_us", (F.col("_open") + F.col("open_before")).alias("active_flows"))
+    return sums_at(flow_changes(flows, timeout_us), ["active_flows"], moments, slice_s)
+
+
+def flow_changes(flows: DataFrame, timeout_us: int) -> DataFrame:
+    """(at_us, active_flows): plus one at each flow's first packet, minus one just after its timeout."""
+    opened = F.struct(F.col("start_us").alias("at_us"), F.lit(1).alias("active_flows"))
+    closed = F.struct((F.col("last_us") + timeout_us + 1).alias("at_us"), F.lit(-1).alias("active_flows"))
+    return flows.select(F.explode(F.array(opened, closed)).alias("e")).select("e.*")

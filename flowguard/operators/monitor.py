@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard.functions.net import protocol_name
 from flowguard.functions.text import to_fixed
-from flowguard.operators.ordered import number_rows, prefix_offsets, ranged, time_slice
+from flowguard.operators.flows import FLOW_TIMEOUT_S, flow_changes
+from flowguard.operators.ordered import number_rows, prefix_offsets, ranged, sums_at, time_slice
 
 # Report sizes and intervals.
 REPORT_EVERY = 1000
@@ -40,6 +41,20 @@ def rate_every_n(packets: DataFrame, n: int = REPORT_EVERY, slice_s: float = 1.0
     )
 
 
+def rate_reports(packets: DataFrame, flows: DataFrame, detections: DataFrame, n: int = REPORT_EVERY, timeout_s: float = FLOW_TIMEOUT_S) -> DataFrame:
+    """``rate_every_n`` with the state at each report: active flows, flows classified and attacks so far.
+
+    ``flows`` are all flows (min_packets=1); a detection counts once its ``close_us`` has passed.
+    """
+    reports = rate_every_n(packets, n)
+    changes = flow_changes(flows, int(timeout_s * 1_000_000)).withColumns({"classified": F.lit(0), "attacks": F.lit(0)})
+    decided = detections.select(
+        (F.col("close_us") + 1).alias("at_us"), F.lit(0).alias("active_flows"), F.lit(1).alias("classified"), F.col("is_attack").cast("int").alias("attacks")
+    )
+    state = sums_at(changes.unionByName(decided), ["active_flows", "classified", "attacks"], reports.select(F.col("end_us").alias("at_us")))
+    return reports.join(state.withColumnRenamed("at_us", "end_us"), "end_us")
+
+
 def running_totals(packets: DataFrame, detections: DataFrame, step_s: float = 60.0) -> DataFrame:
     """Cumulative packets, classified flows and attacks at the end of each step."""
     zero = F.lit(0)
@@ -105,6 +120,16 @@ def format_detection(detections: DataFrame, start_us: int = 0) -> DataFrame:
     return detections.withColumn("message", line)
 
 
+def format_report(reports: DataFrame, start_us: int = 0) -> DataFrame:
+    """Rate reports as log lines."""
+    line = F.concat(
+        F.lit("["), elapsed(F.col("end_us") - start_us), F.lit("] 📦 "), F.col("total_packets").cast("string"), F.lit(" pkts ("),
+        to_fixed("packets_per_s", 0), F.lit("/s) | "), F.col("active_flows").cast("string"), F.lit(" active flows | "),
+        F.col("classified").cast("string"), F.lit(" classified | "), F.col("attacks").cast("string"), F.lit(" attacks"),
+    )
+    return reports.withColumn("message", line)
+
+
 def format_sweep(summary: DataFrame, start_us: int = 0, seconds: int = SWEEP_SECONDS) -> DataFrame:
     line = F.concat(
         F.lit("["), elapsed(F.col("tick_us") + seconds * 1_000_000 - start_us), F.lit("] ── Sweep: "),

@@ -118,6 +118,22 @@ def rolling(
     return out.filter(~F.col("_context")).drop("_row", "_block", "_context")
 
 
+def sums_at(changes: DataFrame, steps: list[str], moments: DataFrame, slice_s: float = 1.0) -> DataFrame:
+    """Sums of ``steps`` over all ``changes`` (at_us, steps) up to and including each distinct ``moments.at_us``.
+
+    Changes are summed per time, times inside a slice by a running sum, slices by prefix sums.
+    """
+    zero = [F.lit(0).cast("long").alias(s) for s in steps]
+    told = changes.select(F.col("at_us").cast("long").alias("at_us"), *[F.col(s).cast("long").alias(s) for s in steps], F.lit(False).alias("_asked"))
+    asked = moments.select(F.col("at_us").cast("long").alias("at_us"), *zero, F.lit(True).alias("_asked"))
+    events = told.unionByName(asked).groupBy("at_us").agg(*[F.sum(s).alias(s) for s in steps], F.max("_asked").alias("_asked"))
+    sliced = events.withColumn("_slice", time_slice("at_us", slice_s)).repartition("_slice")
+    totals = sliced.groupBy("_slice").agg(*[F.sum(s).alias(s) for s in steps])
+    upto = Window.partitionBy("_slice").orderBy("at_us").rowsBetween(Window.unboundedPreceding, 0)
+    read = sliced.withColumns({f"_to_{s}": F.sum(s).over(upto) for s in steps}).filter("_asked")
+    return read.join(prefix_offsets(totals, [], "_slice", steps), "_slice").select("at_us", *[(F.col(f"_to_{s}") + F.col(f"{s}_before")).alias(s) for s in steps])
+
+
 def latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """The last row of each key (combined map-side, no sort of the key)."""
     rest = [c for c in df.columns if c not in keys and c not in order_by]

@@ -193,8 +193,20 @@ def enrich_geo(connections: DataFrame, geo: DataFrame) -> DataFrame:
     return joined.withColumn("geo_label", geo_label(F.col("country_code"), F.col("city"), F.col("org"))).drop("_geo_ip")
 
 
-def remote_hosts(connections: DataFrame) -> DataFrame:
-    """Per remote host: connections, any established, distinct processes and protocols; busiest first."""
+def remote_hosts(connections: DataFrame, geo: DataFrame | None = None) -> DataFrame:
+    """Per remote host: connections, any established, distinct processes and protocols; busiest first.
+
+    With ``geo`` also the geo label, looked up once per host.
+    """
+    hosts = _remote_rollup(connections)
+    if geo is not None:
+        labels = geo.select(F.col("ip").alias("_geo_ip"), geo_label(F.col("country_code"), F.col("city"), F.col("org")).alias("_label"))
+        public = F.when(~is_private_ip(F.col("remote_ip")), F.col("remote_ip"))
+        hosts = hosts.withColumn("_geo_ip", public).join(labels, "_geo_ip", "left").withColumn("geo_label", F.coalesce("_label", F.lit(""))).drop("_geo_ip", "_label")
+    return hosts.orderBy(F.desc("connections"), "remote_ip")
+
+
+def _remote_rollup(connections: DataFrame) -> DataFrame:
     named = connections.withColumn("remote_ip", remote_ip("remote_addr")).filter(F.col("remote_ip").isNotNull())
     return (
         named.groupBy("remote_ip")
@@ -204,7 +216,6 @@ def remote_hosts(connections: DataFrame) -> DataFrame:
             F.array_join(F.array_sort(F.collect_set("process_name")), ",").alias("processes"),
             F.array_join(F.array_sort(F.collect_set(F.upper("protocol"))), ",").alias("protocols"),
         )
-        .orderBy(F.desc("connections"), "remote_ip")
     )
 
 
@@ -279,8 +290,17 @@ def evict_inactive(lifetimes: DataFrame, limit: int = MAX_TRACKED, salts: int =
     return active.unionByName(kept.select(*active.columns))
 
 
-def timeline(lifetimes: DataFrame, now: int, window: int, ties: list[str] | None = None) -> DataFrame:
-    """Connections last seen inside the window before ``now``: active first, then oldest first."""
+def window_length(window: int | str, per_second: float = 1.0) -> int:
+    """A window's length in the units of its times, or that of a named one (1m, 5m, 15m, 30m, 1h)."""
+    return window if isinstance(window, int) else round(TIMELINE_WINDOWS_S[window] * per_second)
+
+
+def timeline(lifetimes: DataFrame, now: int, window: int | str, ties: list[str] | None = None, per_second: float = 1.0) -> DataFrame:
+    """Connections last seen inside the window before ``now``: active first, then oldest first.
+
+    ``window`` is a length or a name; ``per_second`` tells how many units of time a second has.
+    """
+    window = window_length(window, per_second)
     return lifetimes.filter(F.col("last_seen") >= now - window).orderBy(
         F.desc("is_active"), "first_seen", *(ties or ["host", *CONNECTION_KEY])
     )

@@ -210,3 +210,16 @@ def tune_threshold(spark, sf):
 def fit_stacker(spark, sf):
     p = en.fit_stacker(scored(spark, sf).filter("split = 'val'"))
     return spark.createDataFrame([(*p.coefficients, p.intercept)], "w_if double, w_ae double, w_svm double, intercept double")
+
+
+# The objective is strictly convex, so a vanishing gradient proves the optimum; SQL counts the rows it is taken over.
+@query(
+    "stacker_optimum",
+    SCORED + " SELECT p.name, 0.0::DOUBLE AS gradient, count(*) AS n_rows FROM scored, (SELECT unnest(['if_score', 'ae_score', 'svm_score', 'intercept']) AS name) p "
+    "WHERE split = 'val' GROUP BY p.name",
+)
+def stacker_optimum(spark, sf):
+    rows = scored(spark, sf).filter("split = 'val'")
+    gradient = en.stacker_gradient(rows, en.fit_stacker(rows))
+    named = zip([*en.SCORE_COLUMNS, "intercept"], [round(g, 5) + 0.0 for g in gradient], strict=True)
+    return spark.createDataFrame(list(named), "name string, gradient double").withColumn("n_rows", F.lit(rows.count()).cast("long"))

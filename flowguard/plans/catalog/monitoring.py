@@ -34,6 +34,24 @@ def rate_every_n(spark, sf):
     return mo.rate_every_n(spark_view(spark, sf, "packets"))
 
 
+# Reports with the state of the moment; a flow is active up to its timeout and counts as classified after it.
+@query(
+    "rate_reports",
+    DETECTIONS
+    + """, r AS (SELECT ts_us, row_number() OVER (ORDER BY ts_us, pkt_id) AS rn FROM packets), m AS (SELECT rn // 1000 AS report_no, ts_us FROM r WHERE rn % 1000 = 0 OR rn = 1),
+k AS (SELECT report_no, ts_us, ts_us - lag(ts_us) OVER (ORDER BY report_no) AS g FROM m),
+p AS (SELECT report_no, ts_us AS end_us, CASE WHEN g > 0 THEN 1000.0::DOUBLE / (g / 1000000.0::DOUBLE) ELSE 0 END AS pps FROM k WHERE report_no > 0),
+s AS (SELECT p.*, (SELECT count(*) FROM flows f WHERE f.start_us <= end_us AND end_us <= f.last_us + 120000000) AS active,
+  (SELECT count(*) FROM det d WHERE d.close_us < end_us) AS classified, (SELECT count(*) FROM det d WHERE d.close_us < end_us AND d.is_attack) AS attacks FROM p)
+SELECT report_no, '[' || lpad(CAST(end_us // 60000000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((end_us // 1000000) % 60 AS VARCHAR), 2, '0') || '] 📦 ' || report_no * 1000
+  || ' pkts (' || format('{:.0f}', pps) || '/s) | ' || active || ' active flows | ' || classified || ' classified | ' || attacks || ' attacks' AS message FROM s""",
+)
+def rate_reports(spark, sf):
+    packets = spark_view(spark, sf, "packets")
+    found = mo.rate_reports(packets, fl.flow_table(packets, min_packets=1), detections(spark, sf))
+    return mo.format_report(found).select("report_no", "message")
+
+
 @query(
     "running_totals",
     DETECTIONS

@@ -215,6 +215,18 @@ def remote_hosts(spark, sf):
     return tm.remote_hosts(sockets(spark, sf))
 
 
+@query(
+    "remote_hosts_located",
+    SOCKETS
+    + f""", geo AS ({duckdb_view("geo")}), ok AS (SELECT ip, countryCode AS cc, coalesce(city, '') AS city, coalesce(org, as_name, '') AS org FROM geo WHERE status = 'success' AND countryCode IS NOT NULL),
+hosts AS (SELECT rip, count(*) AS connections, bool_or(is_private) AS is_private FROM priv WHERE rip IS NOT NULL AND rip NOT IN ('', '*') GROUP BY rip)
+SELECT rip AS remote_ip, connections, CASE WHEN cc IS NULL THEN '' WHEN city = '' THEN concat(cc, ' ', org) ELSE concat(cc, ' ', city, ', ', org) END AS geo_label
+FROM hosts p LEFT JOIN ok ON ok.ip = p.rip AND NOT p.is_private""",
+)
+def remote_hosts_located(spark, sf):
+    return tm.remote_hosts(sockets(spark, sf), geo_table(spark, sf)).select("remote_ip", "connections", "geo_label")
+
+
 @query(
     "topology_summary",
     SOCKETS + "SELECT count(*) AS connections, count(DISTINCT rip) AS remotes, count(DISTINCT rip) + 4 AS nodes FROM ends",
@@ -275,6 +287,13 @@ def timeline(spark, sf):
     return tm.timeline(lifetimes(spark, sf), now, 24)
 
 
+# A snapshot counts as a minute here.
+@query("timeline_named", LIFETIMES + f"SELECT {LIFE_COLS} FROM lifetimes WHERE last_seen >= (SELECT max(snap) FROM sockets) - 15")
+def timeline_named(spark, sf):
+    now = sockets(spark, sf).agg(F.max("snap")).first()[0]
+    return tm.timeline(lifetimes(spark, sf), now, "15m", per_second=1 / 60)
+
+
 @query(
     "timeline_cells",
     LIFETIMES
