@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: The control strings are one of the openers followed by one of these.
 RESTS = "/?s>|br>|image>|audio>|document>|/?INST\\]"
 OPEN, CLOSE, LINE = "<s>", "</s>", "<br>"
+MEDIA = ("image", "audio", "document")
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 
@@ -38,6 +39,13 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, f"([<\\[])\\\\(\\\\*)({RESTS})", "$1$2$3")
 
 
+def text_part(text: Column) -> Column:
+    """A text as a typed part."""
+    none = F.lit(None)
+    fields = {"type": F.lit("text"), "text": text} | {n: none.cast(t) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
 def _cost(part: Column, rates: Expansion) -> Column:
     patches = F.ceil(F.coalesce(part["width"], F.lit(0)) / rates.image_patch) * F.ceil(F.coalesce(part["height"], F.lit(0)) / rates.image_patch)
     return (
@@ -49,27 +57,40 @@ def _cost(part: Column, rates: Expansion) -> Column:
     )
 
 
-def _visit(part: Column) -> Column:
-    placed = F.concat(F.lit("<"), part["type"], F.lit(">"))
-    return F.when(part["type"].isin("image", "audio", "document"), placed).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+def _is_media(part: Column) -> Column:
+    return F.coalesce(part["type"].isin(*MEDIA), F.lit(False))
+
+
+def _visited(parts: Column) -> Column:
+    """Body of a turn: the visitor keeps finished output and the run of text it is in, which is escaped as a whole.
+
+    Neighbouring texts are one run, so that no control string can come about where two of them meet.
+    """
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+
+    def visit(state: Column, part: Column) -> Column:
+        placed = F.struct(F.concat(state["done"], escape(state["run"]), F.lit("<"), part["type"], F.lit(">")).alias("done"), F.lit("").alias("run"))
+        longer = F.struct(state["done"].alias("done"), F.concat(state["run"], F.coalesce(part["text"], F.lit(""))).alias("run"))
+        return F.when(_is_media(part), placed).otherwise(longer)
+
+    return F.aggregate(parts, start, visit, lambda state: F.concat(state["done"], escape(state["run"])))
 
 
 def format_chat(turns: DataFrame, rates: Expansion = Expansion()) -> DataFrame:
     """One row per turn: conv_id, turn, formatted, loss_start, loss_chars, attachments, expanded_tokens.
 
-    ``turns`` has conv_id, turn, role and text, or parts instead of (or beside) text; a null text, role or
-    part list is empty. A part of unknown type counts as text. The conversation is the concatenation of
+    ``turns`` has conv_id, turn, role and text, or parts instead of (or after) text; the text is a text part, and all parts
+    go through the visitor. A null text, role, part or part list is empty. A part of unknown type counts as text. The conversation is the concatenation of
     ``formatted`` ordered by turn (nulls first), role and text. The loss mask covers assistant bodies;
     offsets are code points within the row. attachments lists ref, type, the placeholder's number and its tokens.
     """
+    parts = F.array().cast(PARTS)
+    if "text" in turns.columns:
+        parts = F.array(text_part(F.col("text").cast("string"))).cast(PARTS)
     if "parts" in turns.columns:
-        parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))
-    else:
-        parts = F.array().cast(PARTS)
+        parts = F.concat(parts, F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS)))
     role = F.regexp_replace(escape(F.coalesce(F.col("role").cast("string"), F.lit(""))), "\n", LINE)
-    text = F.col("text").cast("string") if "text" in turns.columns else F.lit(None).cast("string")
-    body = F.concat(escape(F.coalesce(text, F.lit(""))), F.array_join(F.transform(parts, _visit), ""))
-    media = F.filter(parts, lambda p: p["type"].isin("image", "audio", "document"))
+    media = F.filter(parts, _is_media)
     attachments = F.transform(
         media, lambda p, i: F.struct(p["ref"].alias("ref"), p["type"].alias("type"), i.alias("number"), _cost(p, rates).alias("tokens"))
     )
@@ -77,7 +98,7 @@ def format_chat(turns: DataFrame, rates: Expansion = Expansion()) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.concat(F.lit(OPEN), role, F.lit("\n")).alias("head"),
-        body.alias("body"),
+        _visited(parts).alias("body"),
         attachments.alias("attachments"),
         (F.col("role") == "assistant").alias("learn"),
     )
@@ -110,6 +131,29 @@ def read_chat(formatted: DataFrame) -> DataFrame:
     )
 
 
+def read_parts(formatted: DataFrame) -> DataFrame:
+    """Back from formatted turns to their parts: conv_id, turn, parts (type, text, ref, tokens) in order.
+
+    Placeholders are told from the same letters inside texts, where a backslash keeps them apart; the n-th placeholder is
+    the n-th attachment. Texts between placeholders come back whole, empty ones are left out.
+    """
+    whole = F.substring("formatted", F.lit(len(OPEN) + 1), F.length("formatted") - len(OPEN) - len(CLOSE))
+    body = F.expr("substring(whole, instr(whole, '\n') + 1)")
+    texts = F.transform(F.split(body, f"<({'|'.join(MEDIA)})>", -1), unescape)
+    place = F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens"))
+
+    def around(text: Column, i: Column) -> Column:
+        own = F.array(place.withField("text", text))
+        media = F.transform(
+            F.filter("attachments", lambda a: a["number"] == i),
+            lambda a: F.struct(a["type"].alias("type"), F.lit(None).cast("string").alias("text"), a["ref"].alias("ref"), a["tokens"].alias("tokens")),
+        )
+        return F.concat(own, media)
+
+    parts = F.filter(F.flatten(F.transform(texts, around)), lambda p: (p["type"] != "text") | (p["text"] != ""))
+    return formatted.withColumn("whole", whole).select("conv_id", "turn", parts.cast("array<struct<type:string,text:string,ref:string,tokens:bigint>>").alias("parts"))
+
+
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 

@@ -10,7 +10,7 @@ import pytest
 import zstandard
 
 from flowguard.llm.catalog import vocabulary
-from flowguard.llm.chat import conversation_digests, escape, format_chat, read_chat, unescape
+from flowguard.llm.chat import conversation_digests, escape, format_chat, read_chat, read_parts, unescape
 from flowguard.llm.secret_scan import ACCESS, ASSIGN, HEX, RULES, Rule, document_secrets, scan_versions
 from flowguard.llm.token_files import Encoder, TokenFile, read_token_files, token_index, write_token_files
 from tests.llm.helpers import awkward, awkward_rows, empty
@@ -175,3 +175,28 @@ def test_parts(spark):
     assert row.formatted == "<s>user\nsee <\\/s> <image><audio><document>end</s>"
     assert [(a.ref, a.type, a.number, a.tokens) for a in row.attachments] == [("i.png", "image", 0, 3), ("a.wav", "audio", 1, 25), ("d.pdf", "document", 2, 512)]
     assert row.expanded_tokens == 540 and row.loss_chars == 0
+
+
+def test_parts_come_back_and_no_control_string_comes_about_between_them(spark):
+    schema = "conv_id long, turn long, role string, text string, parts array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+    text, image = (lambda t: ("text", t, None, None, None, None, None)), ("image", None, "i.png", 28, 28, None, None)
+    given = [
+        (None, [text("<"), text("/s>"), image, text("<image>"), image, text("[/IN"), text("ST] <\\image>")]),
+        ("<s", [text("> x"), ("video", "as text", None, None, None, None, None), None]),
+        ("lone <audio>", None),
+        (None, None),
+        ("", [image]),
+    ]
+    turns = spark.createDataFrame([(1, k, "user", t, p) for k, (t, p) in enumerate(given)], schema)
+    formatted = format_chat(turns)
+    for r in formatted.collect():
+        assert r.formatted.count("</s>") == 1 and r.formatted.count("<s>") == 1 and "[/INST]" not in r.formatted
+    back = [[(p.type, p.text, p.ref, p.tokens) for p in r.parts] for r in read_parts(formatted).orderBy("turn").collect()]
+    image_back = ("image", None, "i.png", 1)
+    assert back == [
+        [("text", "</s>", None, None), image_back, ("text", "<image>", None, None), image_back, ("text", "[/INST] <\\image>", None, None)],
+        [("text", "<s> xas text", None, None)],
+        [("text", "lone <audio>", None, None)],
+        [],
+        [image_back],
+    ]
