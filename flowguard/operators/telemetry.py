@@ -55,6 +55,26 @@ def counter_rates(counters: DataFrame, min_gap_us: int = MIN_SAMPLE_GAP_US) -> D
     return prev.withColumns({"rx_rate": rate("rx_bytes"), "tx_rate": rate("tx_bytes")}).drop("_prev")
 
 
+def tick_rates(counters: DataFrame, tick: str = "tick", slice_ticks: int = 4096) -> DataFrame:
+    """Rates between consecutive readings of a host; ``tick`` numbers the reading a sample belongs to.
+
+    An interface that the host's previous reading did not have starts again at 0. Of several samples of an interface in
+    one reading the newest counts.
+    """
+    rest = [c for c in counters.columns if c not in (*IFACE, tick, "ts_us", "sample_id")]
+    newest = counters.groupBy(*IFACE, tick).agg(F.max(F.struct("ts_us", "sample_id", *rest)).alias("_s")).select(*IFACE, tick, "_s.*")
+    at = F.floor(F.col(tick) / slice_ticks).cast("long")
+    readings = with_neighbours(newest.select("host", tick).distinct(), ["host"], at, [tick], [], "_before")
+    paced = with_neighbours(newest, IFACE, at, [tick], ["ts_us", "rx_bytes", "tx_bytes"], "_prev").join(readings, ["host", tick])
+    seconds = (F.col("ts_us") - F.col("_prev.ts_us")).cast("double") / 1_000_000.0
+    follows = (F.col(f"_prev.{tick}") == F.col(f"_before.{tick}")) & (seconds > 0)
+
+    def rate(c: str) -> Column:
+        return F.when(follows, F.greatest(F.col(c) - F.col(f"_prev.{c}"), F.lit(0)).cast("double") / seconds).otherwise(F.lit(0.0))
+
+    return paced.select(*counters.columns, rate("rx_bytes").alias("rx_rate"), rate("tx_bytes").alias("tx_rate"))
+
+
 def rate_history(rates: DataFrame, size: int = HISTORY) -> DataFrame:
     """The last ``size`` whole-number rates up to each sample, oldest first."""
     return rolling(

@@ -67,6 +67,21 @@ def counter_rates_bursts(spark, sf):
     return tm.counter_rates(fast).select("host", "iface", "sample_id", "ts_us", "rx_rate")
 
 
+# An hour's samples are one reading of the host.
+@query(
+    "tick_rates",
+    f"""WITH counters AS ({duckdb_view("counters")}), ticked AS (SELECT *, ts_us // 3600000000 AS tick FROM counters),
+newest AS (SELECT * FROM ticked QUALIFY row_number() OVER (PARTITION BY host, iface, tick ORDER BY ts_us DESC, sample_id DESC) = 1),
+readings AS (SELECT host, tick, lag(tick) OVER (PARTITION BY host ORDER BY tick) AS before FROM (SELECT DISTINCT host, tick FROM newest)),
+paced AS (SELECT *, lag(tick) OVER s AS prev_tick, ts_us - lag(ts_us) OVER s AS g, rx_bytes - lag(rx_bytes) OVER s AS drx FROM newest WINDOW s AS (PARTITION BY host, iface ORDER BY tick))
+SELECT p.host, iface, sample_id, p.tick, CASE WHEN prev_tick = before AND g > 0 THEN CAST(greatest(drx, 0) AS DOUBLE) / (g / 1000000.0::DOUBLE) ELSE 0.0::DOUBLE END AS rx_rate
+FROM paced p JOIN readings r ON p.host = r.host AND p.tick = r.tick""",
+)
+def tick_rates(spark, sf):
+    ticked = spark_view(spark, sf, "counters").withColumn("tick", F.floor(F.col("ts_us") / 3_600_000_000).cast("long"))
+    return tm.tick_rates(ticked).select("host", "iface", "sample_id", "tick", "rx_rate")
+
+
 @query(
     "rate_history",
     RATES
