@@ -136,6 +136,8 @@ def _level(tag: str, attributes: dict[str, str], in_article: bool) -> int:
         words = _words(name)
         if words & kinds and not words & STATES:
             return _DROP
+        if "header" in words and not in_article and tag in BLOCKS and not words & (CONTENT | STATES):
+            return _DROP
     if tag != "article" and attributes.get("role", "").strip().lower() in OUTSIDE_ROLES:
         return _FORM if tag == "form" else _DROP
     return _FORM if tag == "form" else _KEEP
@@ -153,7 +155,7 @@ class _Reader:
 
     def __init__(self) -> None:
         self.page = Page()
-        # open elements: tag, container, level, in an article, in a link
+        # open elements: tag, container, level, in an article (or what is called one), in a link
         self.open: list[tuple[str, int, int, bool, bool]] = [("", 0, _KEEP, False, False)]
         self.named: Counter[str] = Counter()
         self.chunks: list[str] = []
@@ -199,14 +201,16 @@ class _Reader:
         _, at, level, in_article, in_link = self.open[-1]
         attributes = _attributes(source) if "=" in source else {}
         level = max(level, _level(tag, attributes, in_article))
+        in_article = in_article or tag == "article"
         if tag in CONTAINERS and level < _DROP:
             steps, step = self.page.containers[at].steps, _step(tag, attributes)
-            worth = 1.5 if _words(f"{attributes.get('class', '')} {attributes.get('id', '')}") & CONTENT else 1.0
+            worth = 1.5 if attributes and _words(f"{attributes.get('class', '')} {attributes.get('id', '')}") & CONTENT else 1.0
+            in_article = in_article or (worth > 1 and tag not in ("body", "main"))
             if attributes.get("role", "").strip().lower() in ("main", "article"):
                 worth = 2.0
             self.page.containers.append(Container(at, tag, steps if steps[-1:] == (step,) else (*steps, step)[-_STEPS:], worth))
             at = len(self.page.containers) - 1
-        self.open.append((tag, at, level, in_article or tag == "article", in_link or tag == "a"))
+        self.open.append((tag, at, level, in_article, in_link or tag == "a"))
         self.named[tag] += 1
 
     def end_before(self, tag: str, bounds: frozenset[str]) -> None:

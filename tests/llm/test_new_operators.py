@@ -245,6 +245,8 @@ def test_page_structures():
     assert own("<form><div class=page><p>Only text, in a form</p></div></form>") == "Only text, in a form"
     assert own("<pre><code>x <span class=comment># y</span></code></pre><p>z <span class=ad>buy</span></p>") == "x # y\nz"
     assert own("<table><tr><td>a<td>b<tr><td>c</table>") in ("a\nb\nc", "a", "b", "c")
+    site = '<div id="header">Site name and words</div><div class="site-header">x</div>'
+    assert own(f'<body class="header-fixed">{site}<div class="content"><div class="page-header"><h1>T</h1></div><p>long text here</p></div>') == "T\nlong text here"
     assert own("<nav>only menu</nav><footer>f</footer>") == "" and own("") == "" and own("<p") == "" and own("<!-- x") == ""
     assert own("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
