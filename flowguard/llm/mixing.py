@@ -17,7 +17,7 @@ from flowguard.operators.ordered import prefix_offsets
 #: Fixed values of the mix: weights by source rank, repeating, and the largest number of epochs.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-SLICE_ROWS = 4096
+SLICE_ROWS = 512  # of a slice, if all rows were one source
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
