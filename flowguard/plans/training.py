@@ -87,10 +87,19 @@ def with_decision(rows: DataFrame, e: en.EnsembleParams) -> DataFrame:
     )
 
 
+def with_row_id(flows: DataFrame, name: str = "row_id") -> DataFrame:
+    """``flows`` with an id from the content of each row, the same at any partitioning; equal rows share it, which all operators allow."""
+    return flows if name in flows.columns else flows.withColumn(name, F.hex(F.xxhash64(*[pp.q(c) for c in sorted(flows.columns)])))
+
+
 def train(flows: DataFrame, config: TrainingConfig | None = None, id_columns: list[str] | None = None) -> tuple[DetectorModel, DataFrame]:
-    """Fit on labelled flows; returns the model and the scored validation and test rows."""
+    """Fit on labelled flows; returns the model and the scored validation and test rows.
+
+    Without ``id_columns`` the column ``row_id`` tells rows apart, or an id from their content if there is none.
+    """
     cfg = config or TrainingConfig()
     ids = id_columns or ["row_id"]
+    flows = flows if id_columns else with_row_id(flows)
     started = time.time()
     info: dict[str, float] = {}
 

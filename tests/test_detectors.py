@@ -165,3 +165,15 @@ def test_models_do_not_depend_on_batches_or_partitions(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     a, b = found
     assert np.allclose(a[0], b[0], atol=1e-12) and np.allclose(a[1], b[1], atol=1e-6) and a[2].equals(b[2])
+
+
+def test_training_on_a_table_without_ids(spark):
+    rng = np.random.RandomState(3)
+    rows = [(float(a), float(b), "Benign") for a, b in rng.normal(size=(500, 2))] + [(float(a), float(b), "Syn") for a, b in rng.normal(4, 1, size=(200, 2))]
+    rows += rows[:20]  # equal rows share an id
+    flows = spark.createDataFrame(rows, "x double, y double, Label string")
+    ids = [sorted(r["row_id"] for r in tr.with_row_id(df).collect()) for df in (flows, flows.repartition(7).select("Label", "y", "x"))]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 700
+    cfg = tr.TrainingConfig(trees=20, tree_rows=64, svm_rounds=1, vae_epochs=2, vae_local_epochs=1)
+    model, scored = tr.train(flows, cfg)
+    assert model.scaler.feature_names and scored.filter("split = 'test'").count() > 0
