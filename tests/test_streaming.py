@@ -128,3 +128,16 @@ def test_tracked_connections_stay_bounded(spark, tmp_path):
         want = greedy_tracker(batches, limit, keep_for)
         assert {(r["protocol"], r["local_addr"], r["remote_addr"], r["pid"]): (r["first_seen"], r["last_seen"], r["process_name"], r["state"], r["is_active"]) for r in got} == want
         assert len(got) == len(want) and (limit > 100 or len(got) <= limit)
+
+
+def test_tracker_brings_its_state_store(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    schema = "snap long, event_id long, host string, protocol string, local_addr string, remote_addr string, state string, pid long, process_name string"
+    spark.createDataFrame([(1, 1, "h", "tcp", "a:1", "b:2", "LISTEN", 7, "p")], schema).write.parquet(f"file://{tmp_path}/in")
+    try:
+        tracked = rp.tracked_connections_stream(read_packet_stream(spark, f"file://{tmp_path}/in", schema=schema))
+        assert [(r["pid"], r["is_active"]) for r in drain(tracked).collect()] == [(7, True)]
+    finally:
+        spark.conf.set(provider, before)
