@@ -219,3 +219,15 @@ def test_any_page_is_the_slice_of_the_sorted_rows(spark):
     assert [tuple(r) for r in mo.page(df, ["-v", "id"], 25, follow=True, shallow=10).collect()] == want[-25:]
     deep = mo.page(df, ["-v", "id"], 25, 700, shallow=50)._jdf.queryExecution().executedPlan().toString()
     assert "_range" in deep and "TakeOrderedAndProject" in deep
+
+
+def test_short_bursts_need_no_walk(spark, monkeypatch):
+    made, t = [], 0
+    for i in range(300):  # copies of one moment and samples right after it, now and then a chain that goes on for several gaps
+        t += 30_000_000
+        made += [(t + (4_000 * k if i % 50 == 7 else 900 * (k // 2)), 10 * i + k) for k in range(8)]
+    walked = []
+    monkeypatch.setattr(tm, "accepted_rows", lambda rows, *a, real=tm.accepted_rows: (walked.append(rows.count()), real(rows, *a))[1])
+    df = spark.createDataFrame([("h", "eth0", ts, i, i, i) for ts, i in made], COUNTER)
+    assert sorted(r["sample_id"] for r in tm.accepted_samples(df).collect()) == greedy(made, 10_000)
+    assert walked == [6 * 6]  # of each long chain its start and the five samples from 10 ms on
