@@ -141,3 +141,31 @@ def test_tracker_brings_its_state_store(spark, tmp_path):
         assert [(r["pid"], r["is_active"]) for r in drain(tracked).collect()] == [(7, True)]
     finally:
         spark.conf.set(provider, before)
+
+
+def test_held_packets_are_reduced_in_whole_slices(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from flowguard.streaming import flows as st
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    ts = rng.integers(0, 40_000_000, n)
+    ts[:900] = rng.integers(15_000_000, 20_000_000, 900)  # one slice with more rows than are taken at once
+    packets = pd.DataFrame({"ip_a": "a", "port_a": rng.integers(1, 5, n).astype("int32"), "ip_b": "b", "port_b": np.int32(2), "protocol": np.int32(6), "slice_us": ts - ts % 5_000_000, "ts_us": ts, "pkt_id": np.arange(n), "from_a": rng.integers(0, 2, n) == 1, "payload_len": rng.integers(0, 900, n), "header_len": 20, "tcp_flags": 16, "window_size": 7})
+
+    class Held:
+        rows = [st._packed(packets[:1700]), st._packed(packets[1700:])]
+        get = exists = clear = put = lambda self, *a: self.rows
+
+    reducer = st.SliceReducer(5_000_000)
+    reducer.held, reducer.next = Held(), Held()
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 10**9})()
+    sizes = []
+    monkeypatch.setattr(st, "REDUCE_ROWS", 700, raising=False)
+    monkeypatch.setattr(st, "reduce_cells", lambda rows, real=reduce_cells: (sizes.append((len(rows), rows["slice_us"].nunique())), real(rows))[1])
+    got = pd.concat(list(reducer.handleExpiredTimer(None, clock, None)))
+    assert all(rows <= 700 or slices == 1 for rows, slices in sizes) and sum(r for r, _ in sizes) == n
+    want = reduce_cells(packets)
+    assert sorted((p, *c) for p, c in zip(got["port_a"], got["cell"])) == sorted((p, *c) for p, c in zip(want["port_a"], want["cell"]))
