@@ -26,13 +26,14 @@ STEPS = 16  # a piece is sampled at so many steps at most
 MULTIPLIER = 0x5851F42D4C957F2D
 BLOCK_CHARS = 8_000_000
 CHUNK_WORDS = 400_000
+CACHED_WORDS = 100_000  # digests kept by a task
 _U = np.uint64
 _WORD = re.compile(r"\w+")
 
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
         return value
@@ -207,6 +208,8 @@ def _search(items: list[tuple[int | None, str]], rate: float):
         if held and (rows := run(held)):
             yield batch_of(rows)
         held.clear()
+        hashes.clear()
+        block = None  # freed before the rest is handed back
         give_back()
 
     return search

@@ -88,3 +88,13 @@ def test_mix_of_repeated_ids_meets_its_budget(spark):
     targets = {r.source_size: r.target for r in mix(docs).collect()}
     for source, size in words(rows).items():
         assert abs(got[source] - targets[size]) <= 9, source
+
+
+def test_word_digests_do_not_pile_up():
+    from flowguard.llm import decontaminate as dc
+
+    kept = dc.WordHashes()
+    first = kept["word0"]
+    for k in range(250_000):
+        kept[f"word{k}"]
+    assert len(kept) <= 100_001 and kept["word0"] == first
