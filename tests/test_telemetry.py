@@ -231,3 +231,11 @@ def test_short_bursts_need_no_walk(spark, monkeypatch):
     df = spark.createDataFrame([("h", "eth0", ts, i, i, i) for ts, i in made], COUNTER)
     assert sorted(r["sample_id"] for r in tm.accepted_samples(df).collect()) == greedy(made, 10_000)
     assert walked == [6 * 6]  # of each long chain its start and the five samples from 10 ms on
+
+
+def test_repeated_samples_and_samples_without_time(spark):
+    made = [(0, 1), (0, 1), (50_000, 2), (50_000, 2), (50_300, 3), (75_000, 4), (75_000, 4), (79_000, 5), (84_000, 6), (86_000, 7)]
+    df = spark.createDataFrame([("h", "eth0", ts, i, i, i) for ts, i in made] + [("h", "eth1", None, 8, 1, 1), ("h", "eth1", 10, 9, 1, 1), ("h", "eth1", 20, 10, 1, 1)], COUNTER)
+    got = tm.accepted_samples(df).select("iface", "sample_id").collect()
+    assert sorted(r[1] for r in got if r[0] == "eth0") == [1, 2, 4, 7]
+    assert [r[1] for r in got if r[0] == "eth1"] == [9]
