@@ -87,6 +87,18 @@ def test_hash_cutoffs(spark):
             assert cut.take is None and sum(bool(cut.prefix) and h[: len(cut.prefix)] <= cut.prefix for h in hs) == k
 
 
+def test_hash_cutoffs_take_two_passes_over_the_rows(spark):
+    """Counting stops after the pass over prefixes and one over the few keys around the cuts; cuts are as short as they can be."""
+    df = spark.range(40000).select(F.md5(F.col("id").cast("string")).alias("h"), F.lit(0).alias("g"))
+    passes = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda h: passes.add(1) or h, "string").asNondeterministic()
+    _, cuts = hash_cutoffs(df.withColumn("h", seen("h")), "h", "g", lambda g, n: [n // 2, n // 3], 32)
+    assert passes.value <= 2 * 40000
+    hs = sorted(r.h for r in df.collect())
+    for (_, k), cut in cuts.items():
+        assert cut.take is None and len(cut.prefix) <= 8 and sum(h[: len(cut.prefix)] <= cut.prefix for h in hs) == k
+
+
 def test_repeated_ids_are_cut_exactly(spark):
     rows = [(None, 1.0)] * 500 + [("a", float(i % 7)) for i in range(300)] + [("a", None)] * 200
     df = spark.createDataFrame(rows, "row_id string, x double").repartition(6)
