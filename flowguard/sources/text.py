@@ -156,8 +156,10 @@ def parse_counter_files(files: DataFrame, keys: list[str]) -> DataFrame:
     named = files.select(
         *keys, F.regexp_extract("path", at, 1).alias("iface"), F.regexp_extract("path", at, 2).alias("file"), _count(F.col("text")).alias("v")
     ).filter("iface <> ''")
-    wide = named.groupBy(*keys, "iface").pivot("file", list(COUNTER_FILES)).agg(F.first("v"))
-    return wide.select(*keys, "iface", *[F.coalesce(f, F.lit(0)).alias(c) for f, c in COUNTER_FILES.items()])
+    # dealt before it is grouped: a task that reads many files holds no table of all their interfaces
+    dealt = named.repartition(*keys, "iface").groupBy(*keys, "iface")
+    firsts = {c: F.first(F.when(F.col("file") == f, F.col("v")), ignorenulls=True) for f, c in COUNTER_FILES.items()}
+    return dealt.agg(*[F.coalesce(v, F.lit(0)).alias(c) for c, v in firsts.items()])
 
 
 def read_counter_files(spark: SparkSession, path: str) -> DataFrame:

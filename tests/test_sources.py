@@ -83,6 +83,15 @@ def test_counter_files_on_disk(spark, tmp_path):
     assert (got["eth0"]["rx_bytes"], got["eth0"]["rx_drops"], got["eth0"]["tx_errors"], got["lo"]["tx_bytes"]) == (12, 3, 0, 0)
 
 
+def test_counter_files_are_dealt_before_they_are_grouped(spark):
+    """No task keeps a table of the interfaces of all files it reads: nothing is grouped below the only exchange."""
+    rows = [(h, f"/sys/class/net/eth{h % 2}/statistics/{f}", str(h)) for h in range(50) for f in ("rx_bytes", "tx_dropped", "unknown")]
+    out = tx.parse_counter_files(spark.createDataFrame(rows, "host int, path string, text string"), ["host"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan.rsplit("Exchange hashpartitioning", 1)[1]
+    assert {(r["host"], r["iface"], r["rx_bytes"], r["tx_drops"], r["rx_drops"]) for r in out.collect()} == {(h, f"eth{h % 2}", h, h, 0) for h in range(50)}
+
+
 def test_geo_file(spark, tmp_path):
     rows = [{"ip": "1.1.1.1", "status": "success", "countryCode": "AU", "city": None, "as": "AS1"}, {"ip": "2.2.2.2", "status": "fail"}, {"ip": "3.3.3.3", "status": "success"}]
     (tmp_path / "geo.json").write_text("\n".join(json.dumps(r) for r in rows))
