@@ -177,3 +177,31 @@ def test_training_on_a_table_without_ids(spark):
     cfg = tr.TrainingConfig(trees=20, tree_rows=64, svm_rounds=1, vae_epochs=2, vae_local_epochs=1)
     model, scored = tr.train(flows, cfg)
     assert model.scaler.feature_names and scored.filter("split = 'test'").count() > 0
+
+
+def test_cosine_map_holds_no_large_arrays_when_scoring():
+    """Equal to numpy's cosine, also for wide angles and NaN; scores need room for some rows of the map, not for all."""
+    import tracemalloc
+
+    w, b = ocsvm.cosine_map(3, 0.4, 512, 7)
+    x = np.random.RandomState(2).normal(size=(20_000, 3))
+    x[0], x[700], x[5000] = 1e9, np.nan, -300.0
+    with np.errstate(invalid="ignore"):
+        want = np.sqrt(2.0 / 512) * np.cos(x @ w + b)
+        assert np.allclose(ocsvm.mapped(x, w, b), want, rtol=0, atol=1e-13, equal_nan=True)
+        m = ocsvm.OneClassSVM(["x", "y", "z"], 0.4, 512, 7, np.linspace(-1, 1, 512), 0.25)
+        score = m.scorer()
+        tracemalloc.start()
+        got = score(x)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert np.allclose(got, want @ m.weights - 0.25, rtol=0, atol=1e-10, equal_nan=True)
+    assert most < 8 * 1024 * 1024
+
+
+def test_joined_arrays_are_views_of_one():
+    params, _ = vae.initial_state(4, 0)
+    flat, views = vae._joined(params)
+    assert list(views) == list(params) and all(np.array_equal(views[k], params[k]) for k in params)
+    flat += 1
+    assert all(np.array_equal(views[k], params[k] + 1) for k in params)
