@@ -202,3 +202,21 @@ def test_mutual_information_over_many_ranges(spark, parts):
     nx = np.where(y == 1, (y == 1).sum(), (y == 0).sum())
     plain = digamma(len(v)) + digamma(5) - digamma(nx).mean() - digamma(m).mean()
     assert abs(got["a"] - max(0.0, float(plain))) < 1e-6
+
+
+def test_ranges_are_sorted_by_value_without_numbering_keys(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from flowguard.operators import selection as sl
+
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"feature": rng.integers(0, 2, 500), "y": rng.integers(0, 2, 500), "v": rng.integers(-50, 50, 500), "nx": 9, "_slice": rng.integers(3, 5, 500)})
+    want = {k: part.sort_values(["v", "y"], ignore_index=True) for k, part in rows.groupby(["feature", "_slice"])}
+
+    def no_sort(*args, **kwargs):
+        raise AssertionError("pandas' sort by several keys costs three times numpy's")
+
+    monkeypatch.setattr(pd.DataFrame, "sort_values", no_sort)
+    got = {(f, no): part for f, no, part in sl._ranges(iter([rows.iloc[:123], rows.iloc[123:]]))}
+    assert list(got) == sorted(want) and all(got[k][["v", "y"]].equals(want[k][["v", "y"]]) for k in want)
+    assert list(sl._ranges(iter([rows.iloc[:0]]))) == []
