@@ -28,6 +28,10 @@ WINDOW_WORDS = 4
 HIGH_RATIO = 3.0
 PIECE = 48  # a longer word is read in pieces of so many letters
 HELD_WORDS = 200_000
+#: Words looked up at a time.
+CHUNK_WORDS = 50_000
+#: Bits of a letter in a packed n-gram; 0 stands for no letter.
+LETTER_BITS = 21
 #: Tasks hold about so many entries of the model at a time; a larger model takes more passes over the texts, and drops nothing.
 SLICE_ENTRIES = 1_000_000
 #: Grid on which the curve is fitted: cells of both figures, so its size does not grow with the rows.
@@ -71,6 +75,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
     if counts[0] or counts[1]:
         yield flush()
+    give_back()
 
 
 def _count_ngrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +97,7 @@ def _count_ngrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield flush()
     if counts:
         yield flush()
+    give_back()
 
 
 def ngram_counts(labelled: DataFrame) -> DataFrame:
@@ -119,6 +125,58 @@ class Ratios:
         return total
 
 
+class Packed:
+    """Values by n-gram of up to ORDER letters in sorted arrays, about a tenth of the memory of a dict.
+
+    The first three letters are a number, whose place among all such numbers and the other two letters are the key.
+    """
+
+    def __init__(self, values: dict[str, float]):
+        raw = np.array(list(values), dtype=f"U{ORDER}").view(np.uint32).reshape(len(values), ORDER).astype(np.int64)
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        letters = np.where(np.arange(ORDER) < sizes[:, None], raw + 1, 0)
+        head, tail = self._halves(letters)
+        self.heads = np.unique(head)
+        keys = (np.searchsorted(self.heads, head) << 2 * LETTER_BITS) | tail
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.fromiter(values.values(), np.float64, len(values))[order]
+
+    @staticmethod
+    def _halves(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = [letters[:, i] for i in range(ORDER)]
+        return (c[0] << 2 * LETTER_BITS) | (c[1] << LETTER_BITS) | c[2], (c[3] << LETTER_BITS) | c[4]
+
+    def get(self, letters: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
+        """Values of n-grams given as rows of ORDER letters (code point + 1, then zeros)."""
+        if not len(self.keys):
+            return np.broadcast_to(missing, len(letters))
+        head, tail = self._halves(letters)
+        at = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
+        keys = (at << 2 * LETTER_BITS) | tail
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.heads[at] == head) & (self.keys[place] == keys), self.values[place], missing)
+
+
+def _word_ratios(words: list[str], gram: Packed, history: Packed) -> np.ndarray:
+    """``Ratios.word`` of many words, summed in the same order."""
+    pieces, owner = [], []
+    for no, word in enumerate(words):
+        for piece in _pieces(word):
+            pieces.append(f"\x02{piece}\x03")
+            owner.append(no)
+    code = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    end = np.arange(len(code))
+    inner = end > first
+    first, end, owner = first[inner], end[inner], np.repeat(owner, sizes)[inner]
+    start = np.maximum(first, end - ORDER + 1)
+    place, size = start[:, None] + np.arange(ORDER), (end - start)[:, None]
+    letters = np.where(np.arange(ORDER) <= size, code[np.minimum(place, len(code) - 1)], 0)
+    unseen = history.get(np.where(np.arange(ORDER) < size, letters, 0), 0.0)
+    return np.bincount(owner, gram.get(letters, unseen), minlength=len(words))
+
+
 def kneser_ney(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     """Log-likelihood ratios of interpolated Kneser-Ney models per class over a shared continuation model.
 
@@ -189,22 +247,36 @@ def window_score(values: np.ndarray, window: int = WINDOW_WORDS) -> float:
 def _score(model, last: bool, carried: list[str]):
     """One pass: the ratios of every word from one slice of the model, added to ``sums``; the last pass makes the two figures."""
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = Ratios(*model.value)
-
-        class Cache(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) > HELD_WORDS:
-                    self.clear()
-                self[word] = value = ratios.word(word)
-                return value
+    def looked_up(texts: Iterable, cache: dict[str, float]) -> Iterator[np.ndarray]:
+        """The ratios of each text's words; words are looked up for several texts at once."""
+        gram, history = model.value
+        held: list[list[str]] = []
+        size = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            if len(cache) > HELD_WORDS:
+                cache.clear()
+            fresh = list({w for words in held for w in words if w not in cache})
+            if fresh:
+                cache.update(zip(fresh, _word_ratios(fresh, gram, history).tolist(), strict=True))
+            for words in held:
+                yield np.fromiter(map(cache.__getitem__, words), float, len(words))
+            held.clear()
+
+        for text in texts:
+            words = words_of(text.as_py())
+            held.append(words)
+            size += len(words)
+            if size > CHUNK_WORDS:
+                yield from flush()
+                size = 0
+        yield from flush()
 
-        cache = Cache()
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
         for batch in batches:
             peaks, shares, sums = [], [], []
-            for text, so_far in zip(batch.column("text"), batch.column("sums"), strict=True):
-                words = words_of(text.as_py())
-                values = np.fromiter(map(cache.__getitem__, words), float, len(words))
+            for values, so_far in zip(looked_up(batch.column("text"), cache), batch.column("sums"), strict=True):
                 if so_far.is_valid:
                     values += np.frombuffer(so_far.as_py())
                 if last:
@@ -217,7 +289,7 @@ def _score(model, last: bool, carried: list[str]):
             else:
                 made = {"text": batch.column("text"), "sums": pa.array(sums, pa.binary())}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made.values()], [*carried, *made])
-        del ratios, cache
+        del cache
         give_back()
 
     return score
@@ -231,7 +303,7 @@ def scored(docs: DataFrame, model: DataFrame, entries: int = SLICE_ENTRIES) -> D
     partial, done = (StructType([*carried, *StructType.fromDDL(ddl)]) for ddl in ("text string, sums binary", "peak double, share double"))
     rows = docs.withColumn("sums", F.lit(None).cast("binary"))
     for part in model_slices(model, entries):
-        shipped = spark.sparkContext.broadcast((part.gram, part.history))
+        shipped = spark.sparkContext.broadcast((Packed(part.gram), Packed(part.history)))
         step = rows.mapInArrow(_score(shipped, part.last, names), done if part.last else partial)
         rows = stage(step, "toxic-raw")
         shipped.destroy()  # the staged table does not need it, nor do lost executors

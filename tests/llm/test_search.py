@@ -14,7 +14,7 @@ from flowguard.llm import catalog, near_dedup, toxicity
 from flowguard.llm.chunk_dedup import chunks, gear, repeated_passages, without_repeats
 from flowguard.llm.decontaminate import best_end, contamination, words_of
 from flowguard.llm.near_dedup import near_groups
-from flowguard.llm.toxicity import DISCOUNT, ORDER, Ratios, fold, kneser_ney, model_slices, score_toxicity, scored, window_score
+from flowguard.llm.toxicity import DISCOUNT, ORDER, Packed, Ratios, _ngrams, _pieces, _word_ratios, fold, kneser_ney, model_slices, score_toxicity, scored, window_score
 from tests.llm.helpers import SENTENCE, awkward, awkward_rows, edit_distance, empty, near_components
 
 from pyspark.sql import functions as F
@@ -322,6 +322,27 @@ def test_distributed_models_and_slices(spark):
     assert np.allclose(np.array(once, float), np.array(often, float), atol=1e-9)
 
 
+def test_packed_ratios_equal_those_of_the_dicts():
+    """Letters of all planes, NUL at the end, long words; in a quarter of the memory or less."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ab\x00é中😀c") for _ in range(rng.randint(1, 60))) for _ in range(400)] + ["a", "a\x00", "a\x00\x00"]
+    grams = sorted({g for w in words[:300] for p in _pieces(w) for g in _ngrams(p)})
+    ratios = Ratios({g: rng.gauss(0, 1) for g in grams[::2]}, {h: rng.gauss(0, 1) for h in sorted({g[:-1] for g in grams})[::2]})
+    assert _word_ratios(words, Packed(ratios.gram), Packed(ratios.history)).tolist() == [ratios.word(w) for w in words]
+    assert not _word_ratios(words, Packed({}), Packed({})).any()
+    sizes = []
+    for make in (dict, Packed):
+        tracemalloc.start()
+        kept = make({chr(a) + chr(b) + chr(c): 0.5 + a for a in range(100, 120) for b in range(100, 150) for c in range(100, 150)})
+        sizes.append(tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+        del kept
+    assert sizes[1] * 4 < sizes[0]
+
+
 def test_toxicity_counts_expressions_seen_once(spark, monkeypatch):
     """From texts: the model equals a plain one of all n-grams, and a toxic word of one training row is evidence."""
     import zlib
