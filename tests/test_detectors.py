@@ -258,3 +258,33 @@ def test_forest_scores_cost_less_than_a_walk(monkeypatch):
     table = least(f.scorer())
     monkeypatch.setattr(iforest, "PARTS", 0, raising=False)
     assert table < 0.5 * least(f.scorer())
+
+
+def test_forest_puts_few_rows_in_order_to_draw_its_samples(spark, planted, monkeypatch):
+    """Only rows near a drawn one are sorted; the samples are those at the drawn positions of all rows in key order."""
+    from pyspark.sql import Window
+
+    from flowguard.operators.prep import SEED, row_key
+
+    ordered = []
+
+    def watched(df, order_by, *more):
+        ordered.append(df.count())
+        return ranged(df, order_by, *more)
+
+    ranged = iforest.ranged
+    monkeypatch.setattr(iforest, "ranged", watched)
+    monkeypatch.setattr(iforest, "DRAWN_DIGITS", 2, raising=False)
+    rows = planted.select("row_id", *COLS).unionByName(planted.select("row_id", *COLS).limit(200))  # ids that come twice
+    rows = rows.unionByName(planted.limit(50).select(F.lit(None).cast("string").alias("row_id"), *COLS))  # and none
+    f = iforest.IsolationForest.fit(rows, COLS, trees=3, tree_rows=8)
+    assert len(ordered) == 1 and ordered[0] < 1000 < rows.count()
+    slim = rows.select(*COLS, "row_id")
+    keyed = slim.withColumn("h", row_key(slim, SEED, ["row_id"]))
+    whole = keyed.withColumn("i", F.row_number().over(Window.orderBy("h"))).orderBy("i").toPandas()
+    grown = []
+    for tree in range(3):
+        at = np.sort(np.random.default_rng([SEED, tree]).choice(len(whole), 8, replace=False))
+        t = pd.DataFrame(iforest.grow_tree(whole[COLS].to_numpy()[at], 3, np.random.RandomState(SEED + tree)), columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
+        grown.append(t.assign(tree=tree)[["tree", *t.columns]])
+    pd.testing.assert_frame_equal(f.nodes, pd.concat(grown, ignore_index=True), check_dtype=False)
