@@ -1,3 +1,7 @@
+import os
+import sys
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +9,10 @@ from pyspark.sql import functions as F
 
 from flowguard.operators import ensemble as en, metrics as mt, normalise as nm
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+import check_oracle  # noqa: E402
+
 # Known per-type counts (rows, detected) with their published totals.
 TYPES = {
     "Benign": (14675, 13544), "DrDoS_DNS": (1832, 1822), "DrDoS_LDAP": (711, 710), "DrDoS_MSSQL": (3086, 3085), "DrDoS_NTP": (60659, 60505),
@@ -131,3 +139,21 @@ def test_evaluate_each(spark):
     r = mt.evaluate_each(df.withColumn("split", F.lit("val")).select("label", "split", "score"), ["score"], by=["split"]).first()
     one = mt.binary_metrics(df.withColumn("pred", (F.col("score") >= 0.5).cast("int"))).first()
     assert r["accuracy"] == one["accuracy"] and r["roc_auc"] == mt.roc_auc(df).first()[0]
+
+
+def test_roc_curve_rounds_as_its_sql_does(spark, tmp_path):
+    """5120 rows a class: 41/5120 = 0.0080078125 ends in half a unit of the ninth digit, where roundings part."""
+    n = 5120
+    i = np.arange(2 * n)
+    rows = pd.DataFrame(
+        {
+            "l_orderkey": i, "l_linenumber": 1, "l_partkey": i, "l_suppkey": i, "l_quantity": 1.0, "l_extendedprice": 1000.0 + i,
+            "l_discount": 0.0, "l_tax": 0.0, "l_returnflag": np.where(i % 2 == 0, "R", "A"), "l_shipdate": pd.Timestamp("1996-01-01"),
+        }
+    )
+    rows["l_shipdate"] = rows["l_shipdate"].astype("datetime64[us]")
+    rows.to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    status, count, _, note = check_oracle.compare(spark, con, "roc_curve", str(tmp_path))
+    assert (status, count) == ("ok", 2 * n + 1), note
