@@ -169,3 +169,69 @@ def test_held_packets_are_reduced_in_whole_slices(monkeypatch):
     assert all(rows <= 700 or slices == 1 for rows, slices in sizes) and sum(r for r, _ in sizes) == n
     want = reduce_cells(packets)
     assert sorted((p, *c) for p, c in zip(got["port_a"], got["cell"])) == sorted((p, *c) for p, c in zip(want["port_a"], want["cell"]))
+
+
+class Kept:
+    """A state variable and the timers of one key, without Spark."""
+
+    def __init__(self):
+        self.rows, self.timers = [], set()
+
+    def get(self):
+        return self.rows if self.many else self.rows[0]
+
+    def put(self, rows):
+        self.rows, self.many = list(rows), True
+
+    def update(self, row):
+        self.rows, self.many = [row], False
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_one_step_merges_the_flows_of_a_whole_bucket(spark):
+    import pandas as pd
+
+    from flowguard.streaming import flows as st
+
+    rng = random.Random(3)
+    timeout, width, end = 10_000, 5_000_000, 60_000
+    rows = []
+    for i in range(600):  # gaps whose squares need more than 64 bits, and a port that is missing
+        src, dst = rng.choice([(A, B), (B, A), (("1.1.1.1", 7), B), (("1.1.1.1", None), B)])
+        rows.append(packet(i, rng.random() * end * rng.random() ** 4, src, dst, payload=rng.randrange(1500), flags=rng.randrange(64), window=rng.randrange(9999)))
+    want = fl.flow_features(frame(spark, rows), timeout_s=timeout, end_us=end * 1_000_000)
+    keyed = fl.flow_key(frame(spark, rows)).withColumn("slice_us", F.col("ts_us") - F.pmod("ts_us", F.lit(width))).toPandas()
+    keyed["from_a"] = [True if x is None else x for x in keyed["from_a"]]
+    step = st.FlowProcessor(width, timeout * 1_000_000, 5_000_000, 2, end * 1_000_000)
+    step.held, step.next, step.handle = Kept(), Kept(), Kept()
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: self.ms})()
+    info = type("Info", (), {"getExpiryTimeInMs": lambda self: min(step.handle.timers)})()
+    found = []
+    for clock.ms in [*range(5_000, end * 1000, 5_000_000), st.END_US // 1000]:
+        on_time = keyed["slice_us"] + width <= clock.ms * 1000
+        if on_time.any():
+            cells = reduce_cells(keyed[on_time])
+            cells["late"], cells["line_ts"] = False, pd.Timestamp(0)
+            found += step.handleInputRows(None, iter([cells[: len(cells) // 2], cells[len(cells) // 2 :]]), clock)
+        keyed = keyed[~on_time]
+        assert len(step.handle.timers) <= 1
+        if step.handle.timers and min(step.handle.timers) < clock.ms:
+            found += step.handleExpiredTimer(None, clock, info)
+            step.handle.timers = {step.next.get()[0]} if step.next.exists() else set()
+    assert not step.held.rows and not step.next.rows
+    table = pd.concat(found, ignore_index=True)
+    events = [(*(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r[:5]), r[5].tolist(), r[6].tolist(), bool(r[7]), bool(r[8]), None, r[10].to_pydatetime()) for r in table.itertuples(index=False, name=None)]
+    got = fl.features_of(flows_of(spark.createDataFrame(events, st.EVENT_SCHEMA)))
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert got.agg(F.max("Idle Max")).first()[0] > 3.1e9 and got.agg(F.count_if("closed")).first()[0] > 0
