@@ -235,3 +235,20 @@ def test_one_step_merges_the_flows_of_a_whole_bucket(spark):
     got = fl.features_of(flows_of(spark.createDataFrame(events, st.EVENT_SCHEMA)))
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
     assert got.agg(F.max("Idle Max")).first()[0] > 3.1e9 and got.agg(F.count_if("closed")).first()[0] > 0
+
+
+def test_arrivals_come_from_one_pass_in_order(spark, tmp_path):
+    import datetime
+
+    from flowguard.plans.catalog import streams
+
+    start = datetime.datetime(2024, 1, 1)
+    times = [None, *(start + datetime.timedelta(seconds=s) for s in (5_000, 10, 400_000, 310_000, 700_000))]  # packets run a thousand times faster
+    rows = [(i, t, i, "click", 1.0, "{}") for i, t in enumerate(times)]
+    spark.createDataFrame(rows, streams.EVENTS).write.parquet(f"file://{tmp_path}/events.parquet")
+    arrivals = streams.arriving(spark, f"file://{tmp_path}")
+    assert arrivals.isStreaming
+    seen = []
+    query = arrivals.writeStream.trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c")
+    query.foreachBatch(lambda rows, no: seen.append(sorted(r["pkt_id"] for r in rows.select("pkt_id").collect()))).start().awaitTermination()
+    assert seen == [[1, 2], [3, 4], [5]]  # the packet without a time arrives never
