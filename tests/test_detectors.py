@@ -1,3 +1,5 @@
+import pathlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -288,3 +290,50 @@ def test_forest_puts_few_rows_in_order_to_draw_its_samples(spark, planted, monke
         t = pd.DataFrame(iforest.grow_tree(whole[COLS].to_numpy()[at], 3, np.random.RandomState(SEED + tree)), columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
         grown.append(t.assign(tree=tree)[["tree", *t.columns]])
     pd.testing.assert_frame_equal(f.nodes, pd.concat(grown, ignore_index=True), check_dtype=False)
+
+
+def folders(spark):
+    from urllib.parse import urlparse
+
+    from flowguard.session import ensure_checkpoint_dir
+
+    top = pathlib.Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    return {p for p in [*top.glob("flowguard-staged-*"), *top.glob("rdd-*")] if p.is_dir()}
+
+
+def test_training_keeps_only_the_tables_that_it_returns(spark):
+    from flowguard.plans.training import TrainingConfig, train
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "Benign" if i % 3 else "Syn", float(rng.normal()), float(rng.normal() + (i % 3 == 0)), float(rng.random())) for i in range(600)]
+    flows = spark.createDataFrame(rows, "row_id long, Label string, a double, b double, c double")
+    before = folders(spark)
+    _, scored = train(flows, TrainingConfig(trees=5, tree_rows=16, svm_rounds=1, vae_epochs=2, vae_local_epochs=1))
+    left = folders(spark) - before
+    assert [p.name[:17] for p in left if p.name[0] == "f"] == ["flowguard-staged-"]  # raw scores, of the tables written on the way
+    assert sum(p.name[0] == "r" for p in left) <= 1  # the drawn rows of the forest; no shards
+    assert scored.count() == 400 - 280 + 200
+
+
+def test_released_tables_are_deleted(spark):
+    from flowguard.session import materialise, release, staged
+
+    for make in (staged, materialise):
+        before = folders(spark)
+        table = make(spark.range(7))
+        assert table.count() == 7 and len(folders(spark) - before) == 1
+        release(table.filter("id > 2") if make is staged else table)
+        assert folders(spark) == before
+    kept = materialise(spark.range(7))
+    release(kept.filter("id > 2"))  # neither a checkpoint nor a staged table
+    assert kept.count() == 7
+
+
+def test_packed_ranges_come_back_by_value():
+    from flowguard.operators import selection as sl
+
+    v = np.array([5, -4 * 10**18, 4 * 10**18, 5, 0])
+    rows = pd.DataFrame({"feature": np.int32(2), "y": np.array([1, 0, 1, 0, 1], np.int32), "v": v, "_slice": 3})
+    (packed,) = sl._packed(iter([rows]))
+    ((feature, no, points),) = sl._unpacked(iter([packed]))
+    assert (feature, no) == (2, 3) and points["v"].tolist() == sorted(v.tolist()) and points["y"].tolist() == [0, 1, 0, 1, 1]
